@@ -43,8 +43,10 @@ def threshold_decode(
     v: Column, aspect: int, threshold: float = 0.5, ratings: int = RATINGS
 ) -> Column:
     """Score of one aspect from flat raw scores: its best sigmoid slot if that reaches threshold."""
-    block = sigmoid(F.slice(v, aspect * ratings + 1, ratings))
-    return F.when(F.array_max(block) >= threshold, argmax_class(block) + 1).otherwise(0)
+    return bind(
+        sigmoid(F.slice(v, aspect * ratings + 1, ratings)),
+        lambda b: F.when(F.array_max(b) >= threshold, argmax_class(b) + 1).otherwise(0),
+    )
 
 
 def nll(v: Column, label: Column) -> Column:

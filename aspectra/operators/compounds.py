@@ -8,6 +8,9 @@ from aspectra.functions.text import tokenize
 from aspectra.operators.lookup import find, lookup_join, small_count, word_table
 from aspectra.session import materialise
 
+# Grouping ids of the rollup in ``mine_compounds``.
+PAIR, WORD, CORPUS = 0, 1, 3
+
 
 def mine_compounds(
     df: DataFrame, min_count: int = 20, min_pmi: float | None = 1.0, text: str = "text"
@@ -15,37 +18,24 @@ def mine_compounds(
     """Adjacent pairs seen at least ``min_count`` times with pointwise mutual information of at
     least ``min_pmi``: (first, second, count, pmi).
 
-    Pairs, single words and the corpus length are counted in one scan and one shuffle. A pair is
-    never more frequent than its words, so the count filter loses no word that a kept pair needs;
-    only the filtered counts are stored and joined.
+    A rollup counts pairs, single words and the corpus length in one scan and one shuffle (the last
+    word of a text forms a pair with nothing). A pair is never more frequent than its words, so the
+    count filter loses no word that a kept pair needs; only the filtered counts are stored, and they
+    are read three times.
     """
     tokens = df.select(tokenize(F.col(text)).alias("t"))
-    no_word = F.lit(None).cast("string")
-
-    def entry(first, second, n):
-        return F.struct(first.alias("first"), second.alias("second"), n.alias("n"))
-
-    one = F.lit(1)
     following = F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))
-    entries = F.concat(
-        F.array(entry(no_word, no_word, F.size("t"))),
-        F.transform("t", lambda w: entry(w, no_word, one)),
-        F.filter(
-            F.zip_with("t", following, lambda a, b: entry(a, b, one)),
-            lambda e: e["second"].isNotNull(),
-        ),
-    )
     counts = (
-        tokens.select(F.inline(entries))
-        .groupBy("first", "second")
-        .agg(F.sum("n").alias("count"))
-        .where(F.col("first").isNull() | (F.col("count") >= min_count))
+        tokens.select(F.inline(F.arrays_zip(F.col("t").alias("first"), following.alias("second"))))
+        .rollup("first", "second")
+        .agg(F.count("*").alias("count"), F.grouping_id().alias("level"))
+        .where((F.col("count") >= min_count) | (F.col("level") == CORPUS))
     )
     counts = materialise(counts)
 
-    total = counts.where(F.col("first").isNull()).select("count").scalar()
-    words = counts.where(F.col("first").isNotNull() & F.col("second").isNull())
-    pairs = counts.where(F.col("second").isNotNull())
+    total = counts.where(F.col("level") == CORPUS).select("count").scalar()
+    words = counts.where(F.col("level") == WORD)
+    pairs = counts.where((F.col("level") == PAIR) & F.col("second").isNotNull())
     for side in ("first", "second"):
         side_counts = words.select(
             F.col("first").alias(side), F.col("count").cast("double").alias(f"{side}_count")

@@ -3,8 +3,9 @@
 A stratum is the set of aspects a review mentions. Reviews are ranked by (stratum, hash, id) and
 dealt out by rank, so fold sizes differ by at most one, in the whole and inside every stratum. The
 ranking is never done in one place: each stratum is cut into cells by the leading hash digits, rows
-are ranked inside their cell, and the small table of cell sizes supplies the running offset. The
-result does not depend on the number of cells.
+are ranked inside their cell, and the table of cell sizes supplies the running offset. The result
+does not depend on the number of cells, so it can grow with the data: with four digits, a stratum
+that holds a third of 10^11 reviews is ranked in 65,536 cells of half a million rows.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aspectra.schema import ASPECTS
 
-HASH_DIGITS = 3
-MAX_CELLS = 1 << 18
+HASH_DIGITS = 4
+MAX_ASPECTS = 10
 
 
 def stratum(aspects=ASPECTS) -> Column:
@@ -23,23 +24,37 @@ def stratum(aspects=ASPECTS) -> Column:
     return sum(bits[1:], bits[0])
 
 
+def _running_total(count: str, window) -> Column:
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(count).over(before), F.lit(0))
+
+
 def _with_rank(df: DataFrame, aspects, seed: int, key: str, digits: int) -> DataFrame:
-    if (1 << len(aspects)) * 16**digits > MAX_CELLS:
-        raise ValueError("too many cells: use fewer hash digits or fewer aspects")
+    if len(aspects) > MAX_ASPECTS:
+        raise ValueError(f"at most {MAX_ASPECTS} aspects, that is {1 << MAX_ASPECTS} strata")
     row_hash = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     keyed = df.withColumns({"stratum": stratum(aspects), "row_hash": row_hash}).withColumn(
         "cell", F.substring("row_hash", 1, digits)
     )
-    sizes = keyed.groupBy("stratum", "cell").count()
-    # At most MAX_CELLS rows by construction: one small sort, then a bounded broadcast.
-    before = Window.orderBy("stratum", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "stratum", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")
+    sizes = keyed.groupBy("stratum", "cell").agg(F.count("*").alias("n"))
+    # One row per stratum, so its ordering window and its broadcast are bounded by MAX_ASPECTS.
+    strata = (
+        sizes.groupBy("stratum")
+        .agg(F.sum("n").alias("n"))
+        .select("stratum", _running_total("n", Window.orderBy("stratum")).alias("base"))
+    )
+    cell_order = Window.partitionBy("stratum").orderBy("cell")
+    offsets = (
+        sizes.select("stratum", "cell", _running_total("n", cell_order).alias("inside"))
+        .join(F.broadcast(strata), "stratum")
+        .select("stratum", "cell", (F.col("base") + F.col("inside")).alias("offset"))
     )
+    # The ranking window has partitioned the rows by (stratum, cell), which is also the join key:
+    # only the small side moves.
     inside = Window.partitionBy("stratum", "cell").orderBy("row_hash", key)
-    ranked = keyed.withColumn("rank", F.row_number().over(inside) - 1)
-    return ranked.join(F.broadcast(offsets), ["stratum", "cell"]).withColumn(
-        "rank", F.col("rank") + F.col("offset")
+    ranked = keyed.withColumn("place", F.row_number().over(inside) - 1)
+    return ranked.join(offsets, ["stratum", "cell"]).withColumn(
+        "rank", F.col("place") + F.col("offset")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from aspectra.functions.labels import one_hot as one_hot_array, one_hot_decode as decode_aspect
 from aspectra.schema import ASPECTS
@@ -19,6 +19,13 @@ def unpivot_aspects(df: DataFrame, aspects=ASPECTS, key="review_id", value: str
     return df.unpivot(ids, list(aspects), "aspect", value)
 
 
+def aspect_rows(df: DataFrame, keep: list[str], values: dict[str, dict[str, Column]]) -> DataFrame:
+    """One row per aspect with several values: ``{aspect: {column: expression}}``."""
+    names = list(next(iter(values.values())))
+    cells = [x for a, columns in values.items() for x in (F.lit(a), *columns.values())]
+    return df.select(*keep, F.stack(F.lit(len(values)), *cells).alias("aspect", *names))
+
+
 def one_hot(df: DataFrame, aspects=ASPECTS, col: str = "one_hot") -> DataFrame:
     return df.withColumn(col, one_hot_array([F.col(a) for a in aspects]))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from aspectra.operators.labels import aspect_rows
 from aspectra.schema import ASPECTS, METRICS, RATINGS
 
 # Fixed value: squared distance between the best and the worst rating.
@@ -21,17 +22,9 @@ def align(
     both = truth.select(key, F.struct(*aspects).alias("t")).join(
         pred.select(key, F.struct(*aspects).alias("p")), key, "full_outer"
     )
-    pairs = {a: F.struct(F.col("t")[a].alias("truth"), F.col("p")[a].alias("pred")) for a in aspects}
-    return (
-        both.select(
-            key,
-            F.col("t").isNotNull().alias("has_truth"),
-            F.col("p").isNotNull().alias("has_pred"),
-            *[c.alias(a) for a, c in pairs.items()],
-        )
-        .unpivot([key, "has_truth", "has_pred"], list(aspects), "aspect", "pair")
-        .select(key, "aspect", "pair.truth", "pair.pred", "has_truth", "has_pred")
-    )
+    both = both.withColumns({"has_truth": F.col("t").isNotNull(), "has_pred": F.col("p").isNotNull()})
+    pairs = {a: {"truth": F.col("t")[a], "pred": F.col("p")[a]} for a in aspects}
+    return aspect_rows(both, [key, "has_truth", "has_pred"], pairs)
 
 
 def align_report(aligned: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aspectra.functions.text import lower_text, tokenize
-from aspectra.operators.labels import unpivot_aspects
+from aspectra.operators.labels import aspect_rows, unpivot_aspects
 from aspectra.schema import ASPECTS, CLASSES, RATINGS
 from aspectra.session import spread
 
@@ -88,29 +88,22 @@ def labelled_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(review_id, aspect, truth, pred)"""
     counts = keyword_counts(spark, sf_dir)
-    both = [
-        F.struct(t.alias("truth"), p.alias("pred")).alias(a)
-        for a, t, p in zip(ASPECTS, _scores(counts, "odd"), _scores(counts, "even"))
-    ]
-    long = counts.select("review_id", *both).unpivot(
-        ["review_id"], list(ASPECTS), "aspect", "pair"
-    )
-    return long.select("review_id", "aspect", "pair.truth", "pair.pred")
+    sides = zip(ASPECTS, _scores(counts, "odd"), _scores(counts, "even"))
+    return aspect_rows(counts, ["review_id"], {a: {"truth": t, "pred": p} for a, t, p in sides})
 
 
 def large_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(aspect, truth, pred) of every order line, from its keys."""
     lines = table(spark, sf_dir, "lineitem")
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
-    both = [
-        F.struct(
-            ((key * 7 + line * (i + 1)) % CLASSES).alias("truth"),
-            ((key * 5 + line * (i + 2)) % CLASSES).alias("pred"),
-        ).alias(a)
+    both = {
+        a: {
+            "truth": (key * 7 + line * (i + 1)) % CLASSES,
+            "pred": (key * 5 + line * (i + 2)) % CLASSES,
+        }
         for i, a in enumerate(ASPECTS)
-    ]
-    long = lines.select(*both).unpivot([], list(ASPECTS), "aspect", "pair")
-    return long.select("aspect", "pair.truth", "pair.pred")
+    }
+    return aspect_rows(lines, [], both)
 
 
 def _density(a: str):
@@ -134,16 +127,13 @@ def flat_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(review_id, aspect, logits, label): six raw scores per aspect, ``0 - (x - class)^2``."""
     counts = keyword_counts(spark, sf_dir)
-    heads = [
-        F.struct(label.alias("label"), _density(a).alias("x")).alias(a)
-        for a, label in zip(ASPECTS, _scores(counts, "odd"))
-    ]
-    long = counts.select("review_id", *heads).unpivot(["review_id"], list(ASPECTS), "aspect", "h")
-    x = F.col("h.x")
+    labels = zip(ASPECTS, _scores(counts, "odd"))
+    long = aspect_rows(counts, ["review_id"], {a: {"label": s, "x": _density(a)} for a, s in labels})
+    x = F.col("x")
     logits = F.transform(
         F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.lit(0.0) - (x - k) * (x - k)
     )
-    return long.select("review_id", "aspect", logits.alias("logits"), "h.label")
+    return long.select("review_id", "aspect", logits.alias("logits"), "label")
 
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:

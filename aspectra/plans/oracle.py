@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from aspectra.functions.text import ABBREVIATIONS, ALLOWED_LETTERS
 from aspectra.plans.fixtures import KEYWORDS
-from aspectra.plans.queries import MAX_LEN, MIN_PAIR_COUNT, MIN_PMI, STOP_WORDS, VOCAB_SIZE
+from aspectra.plans.queries import MAX_LEN, MIN_PAIR_COUNT, MIN_PMI, RULES, STOP_WORDS, VOCAB_SIZE
 from aspectra.schema import ASPECTS
 
 WORD = r"[\p{L}\p{N}_]"
@@ -115,18 +115,24 @@ LOWER_SPACED = (
     r"regexp_replace(regexp_replace(lower(text), '[[:punct:]]', ' ', 'g'), '\p{Nd}+', ' ', 'g')"
 )
 KEPT = f"regexp_replace({LOWER_SPACED}, '[^{ALLOWED}]', '', 'g')"
-EXPANDED = (
-    f"array_to_string(list_transform(string_split({KEPT}, ' '), lambda w: CASE w "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ABBREVIATIONS.items())
-    + " ELSE w END), ' ')"
-)
-CLEAN = f"clean AS (SELECT doc_id AS review_id, {EXPANDED} AS text FROM documents)"
+
+
+def cleaned(rules: dict[str, str]) -> str:
+    expanded = (
+        f"array_to_string(list_transform(string_split({KEPT}, ' '), lambda w: CASE w "
+        + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.items())
+        + " ELSE w END), ' ')"
+    )
+    return f"clean AS (SELECT doc_id AS review_id, {expanded} AS text FROM documents)"
+
+
+CLEAN = cleaned(ABBREVIATIONS)
 
 
 def raw_abbreviations() -> str:
     """Two rounds, since neighbouring abbreviations share the separator that a match consumes."""
     out = "text"
-    for short, full in ABBREVIATIONS.items():
+    for short, full in RULES.items():
         for _ in range(2):
             out = (
                 rf"regexp_replace({out}, '(^|{EDGE})(?i:{short})({EDGE}|$)', '\1{full}\2', 'g')"
@@ -259,7 +265,7 @@ ORACLE = {
     f" regexp_replace(text, '[^{ALLOWED}]', '', 'g') AS text FROM documents",
     "text_allowlist_spaced": "SELECT doc_id AS review_id, regexp_replace("
     rf"regexp_replace(text, '[\s\v]', ' ', 'g'), '[^{ALLOWED}]', '', 'g') AS text FROM documents",
-    "abbrev_expand": cte(CLEAN) + "SELECT review_id, text FROM clean",
+    "abbrev_expand": cte(cleaned(RULES)) + "SELECT review_id, text FROM clean",
     "abbrev_expand_raw": f"SELECT doc_id AS review_id, {raw_abbreviations()} AS text"
     " FROM documents",
     "token_counts": cte(WORDS, TOKENS) + "SELECT word, count(*) AS count FROM tok GROUP BY word",
@@ -291,7 +297,7 @@ ORACLE = {
         " GROUP BY review_id)",
     )
     + "SELECT review_id, coalesce(g.text, '') AS text FROM w LEFT JOIN g USING (review_id)",
-    "prepare_text_default": cte(CLEAN) + "SELECT review_id, text FROM clean",
+    "prepare_text": cte(CLEAN) + "SELECT review_id, text FROM clean",
     "prepare_text_full": cte(
         *MINED,
         CLEAN,
