@@ -13,9 +13,16 @@ def concat_last(
     keys: tuple[str, ...] = ("doc_id", "pos"),
     layer: str = "layer",
     vec: str = "vec",
+    n_layers: int | None = None,
 ) -> DataFrame:
     """The last ``k`` layer vectors of each token, joined in layer order; all of them when a token
-    has fewer. A group holds one row per model layer, so its size does not grow with the data."""
+    has fewer. A group holds one row per model layer, so its size does not grow with the data.
+
+    When every token is known to have the layers 0 to ``n_layers`` - 1, pass that number: the other
+    layers are then filtered out in the scan instead of being shuffled.
+    """
+    if n_layers is not None:
+        df = df.where(F.col(layer) >= n_layers - k)
     layers = F.array_sort(F.collect_list(F.struct(layer, vec)))
     grouped = df.groupBy(*keys).agg(layers.alias("layers"))
     last = F.slice("layers", F.greatest(F.lit(1), F.size("layers") - (k - 1)), k)

@@ -171,7 +171,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.dayofmonth("ts").alias("epoch"),
             F.col("event_type").alias("aspect"),
         )
-        .agg(F.round(F.avg("value"), 6).alias("final_score"))
+        .agg(F.avg("value").alias("final_score"))
     )
 
 

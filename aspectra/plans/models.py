@@ -77,7 +77,7 @@ def fit_aspect_heads(
 
     try:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            jobs = [pool.submit(inheritable_thread_target(fit), a) for a in aspects]
+            jobs = [pool.submit(inheritable_thread_target(train.sparkSession)(fit), a) for a in aspects]
             heads = {a: job.result() for a, job in zip(aspects, jobs)}
     finally:
         cached.unpersist()

@@ -198,7 +198,7 @@ LAST4 = (
 )
 HISTORY = [
     "hist AS (SELECT user_id % 3 AS run_id, CAST(day(ts) AS INT) AS epoch, event_type AS aspect,"
-    " round(avg(value), 6) AS final_score FROM events GROUP BY ALL)",
+    " avg(value) AS final_score FROM events GROUP BY ALL)",
     "means AS (SELECT run_id, epoch, avg(final_score) AS mean_score FROM hist GROUP BY ALL)",
     "marked AS (SELECT *, coalesce(mean_score > max(mean_score) OVER (PARTITION BY run_id"
     " ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved"
