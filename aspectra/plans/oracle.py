@@ -24,8 +24,13 @@ def cte(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def r6(value: str) -> str:
+    """Six digits; adding zero turns a negative zero into zero."""
+    return f"(round({value}, 6) + 0.0::DOUBLE)"
+
+
 def rnd(*cols: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    return ", ".join(f"{r6(c)} AS {c}" for c in cols)
 
 
 # (review_id, t): all words; (review_id, pos, word): one row per word.
@@ -91,7 +96,7 @@ REPORT = (
 )
 ALL_METRICS = rnd("precision", "recall", "f1_score", "r2_score", "final_score")
 ALL_MEANS = ", ".join(
-    f"round(avg({m}), 6) AS {m}"
+    f"{r6(f'avg({m})')} AS {m}"
     for m in ("precision", "recall", "f1_score", "r2_score", "final_score")
 )
 SCORED = [*RATED, PAIRS, TALLY, REPORT]
@@ -179,7 +184,7 @@ TOP = "row_number() OVER (ORDER BY count(*) DESC, word)"
 
 
 def vector_rows(select: str) -> str:
-    return f"SELECT {select}, CAST(dim - 1 AS INT) AS dim, round(value, 6) AS value FROM"
+    return f"SELECT {select}, CAST(dim - 1 AS INT) AS dim, {r6('value')} AS value FROM"
 
 
 DIMS = (
@@ -279,7 +284,7 @@ ORACLE = {
     )
     + "SELECT review_id, coalesce(kept.text, '') AS text FROM w LEFT JOIN kept USING (review_id)",
     "compound_mine": cte(*MINED)
-    + f"SELECT first, second, count, round(pmi, 6) AS pmi FROM mined WHERE pmi >= {MIN_PMI}",
+    + f"SELECT first, second, count, {r6('pmi')} AS pmi FROM mined WHERE pmi >= {MIN_PMI}",
     "compound_tag": cte(
         *MINED,
         tagged("seq", "tags"),
@@ -333,12 +338,12 @@ ORACLE = {
     "label_distribution": cte(*RATED, TRUTH) + distribution("", "truth"),
     "split_report": cte(*SPLITS) + distribution("split", "splits"),
     "head_softmax": cte(*RATED, HEADS, CLASSES, PROBS)
-    + "SELECT review_id, aspect, k AS dim, round(p, 6) AS value FROM p",
+    + f"SELECT review_id, aspect, k AS dim, {r6('p')} AS value FROM p",
     "head_argmax": cte(*RATED, HEADS, CLASSES)
     + "SELECT review_id, aspect, k AS pred FROM z QUALIFY row_number() OVER"
     " (PARTITION BY review_id, aspect ORDER BY z DESC, k) = 1",
     "head_top_class": cte(*RATED, HEADS, CLASSES, PROBS)
-    + "SELECT review_id, aspect, k AS pred, round(p, 6) AS prob FROM p QUALIFY row_number() OVER"
+    + f"SELECT review_id, aspect, k AS pred, {r6('p')} AS prob FROM p QUALIFY row_number() OVER"
     " (PARTITION BY review_id, aspect ORDER BY p DESC, k) = 1",
     "threshold_decode": cte(*RATED, "x AS (SELECT review_id, " + each(DENSITY + " AS {a}")
                             + " FROM c)")
@@ -374,12 +379,12 @@ ORACLE = {
     + f"SELECT aspect, {ALL_METRICS} FROM report",
     "macro_report": cte(*SCORED) + f"SELECT {ALL_MEANS} FROM report",
     "head_loss": cte(*RATED, HEADS, CLASSES, PROBS)
-    + "SELECT aspect, round(avg(nll), 6) AS loss FROM p WHERE k = label GROUP BY aspect",
+    + f"SELECT aspect, {r6('avg(nll)')} AS loss FROM p WHERE k = label GROUP BY aspect",
     "cross_entropy": cte(*RATED, HEADS, CLASSES, PROBS)
-    + "SELECT round(sum(loss), 6) AS loss FROM"
+    + f"SELECT {r6('sum(loss)')} AS loss FROM"
     " (SELECT avg(nll) AS loss FROM p WHERE k = label GROUP BY aspect)",
     "batch_mean_loss": cte(*RATED, HEADS, CLASSES, PROBS)
-    + "SELECT count(*) AS batches, round(avg(loss), 6) AS loss FROM (SELECT b, sum(loss) AS loss"
+    + f"SELECT count(*) AS batches, {r6('avg(loss)')} AS loss FROM (SELECT b, sum(loss) AS loss"
     " FROM (SELECT review_id // 16 AS b, aspect, avg(nll) AS loss FROM p WHERE k = label"
     " GROUP BY ALL) GROUP BY b)",
     "concat_layers": cte(DIMS, LAYERS, LAST4)
@@ -396,11 +401,11 @@ ORACLE = {
     + " (SELECT doc_id, dim, avg(x) AS value FROM last4 GROUP BY ALL UNION ALL"
     " SELECT doc_id, dim + 256 AS dim, max(x) AS value FROM last4 GROUP BY ALL)",
     "head_scores": cte(*RATED, TRUTH, DIMS, *CENTRES)
-    + "SELECT vec_id AS review_id, aspect, k AS pred, round(z, 6) AS top_logit FROM logit"
+    + f"SELECT vec_id AS review_id, aspect, k AS pred, {r6('z')} AS top_logit FROM logit"
     " QUALIFY row_number() OVER (PARTITION BY vec_id, aspect ORDER BY z DESC, k) = 1",
     "best_epoch": cte(*HISTORY)
-    + "SELECT run_id, epoch, round(mean_score, 6) AS mean_score, improved, is_best FROM best",
+    + f"SELECT run_id, epoch, {r6('mean_score')} AS mean_score, improved, is_best FROM best",
     "variant_rank": cte(*HISTORY)
-    + "SELECT run_id, epoch, round(mean_score, 6) AS mean_score, CAST(row_number() OVER"
+    + f"SELECT run_id, epoch, {r6('mean_score')} AS mean_score, CAST(row_number() OVER"
     " (ORDER BY mean_score DESC, run_id) AS INT) AS place FROM best WHERE is_best",
 }
