@@ -32,7 +32,9 @@ def _running_total(count: str, window) -> Column:
 def _with_rank(df: DataFrame, aspects, seed: int, key: str, digits: int) -> DataFrame:
     if len(aspects) > MAX_ASPECTS:
         raise ValueError(f"at most {MAX_ASPECTS} aspects, that is {1 << MAX_ASPECTS} strata")
-    row_hash = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    # A null key hashes like an empty one, so that no row is lost to the join below.
+    row_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    row_hash = F.md5(F.concat(row_key, F.lit(f":{seed}")))
     keyed = df.withColumns({"stratum": stratum(aspects), "row_hash": row_hash}).withColumn(
         "cell", F.substring("row_hash", 1, digits)
     )
@@ -66,7 +68,7 @@ def stratified_folds(
     key: str = "review_id",
     digits: int = HASH_DIGITS,
 ) -> DataFrame:
-    """Add ``fold`` (0 to k-1). ``key`` must be unique and not null."""
+    """Add ``fold`` (0 to k-1). ``key`` must be unique for the result to be repeatable."""
     ranked = _with_rank(df, aspects, seed, key, digits)
     return ranked.select(*df.columns, (F.col("rank") % k).cast("int").alias("fold"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF
@@ -15,8 +14,10 @@ from pyspark.util import inheritable_thread_target
 
 from aspectra.functions.labels import argmax_class, pad
 from aspectra.functions.text import tokenize
-from aspectra.operators.metrics import align, macro_report, matched_pairs, score_report
+from aspectra.operators.labels import aspect_rows
+from aspectra.operators.metrics import macro_report, matched_pairs, score_report
 from aspectra.schema import ASPECTS
+from aspectra.session import materialise
 
 
 @dataclass(frozen=True)
@@ -53,16 +54,17 @@ def fit_aspect_heads(
 ) -> AspectModel:
     """TF-IDF features, computed once and shared, then one classifier per aspect.
 
-    ``train`` holds prepared text and one score column per aspect. The heads are independent fits
-    over the same cached features; their jobs run side by side. Raise ``aggregation_depth`` on many
-    executors, so that gradients are merged in more steps before the driver.
+    ``train`` holds prepared text and one score column per aspect. The features are stored in the
+    shared folder, so that neither six fits nor a lost executor repeats the text work; each fit
+    caches its own blocks of them. The fits are independent and run side by side, ``parallelism`` at
+    a time. Raise ``aggregation_depth`` on many executors, so that gradients are merged in more
+    steps before the driver.
     """
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
     idf = IDF(inputCol="tf", outputCol="features", minDocFreq=2)
     counted = tf.transform(_with_tokens(train.select(text, *aspects), text))
     features = PipelineModel(stages=[tf, idf.fit(counted)])
-    cached = features.stages[1].transform(counted).select("features", *aspects)
-    cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(features.stages[1].transform(counted).select("features", *aspects))
 
     def fit(aspect: str) -> LogisticRegressionModel:
         head = LogisticRegression(
@@ -73,40 +75,56 @@ def fit_aspect_heads(
             regParam=reg_param,
             aggregationDepth=aggregation_depth,
         )
-        return head.fit(cached.where(F.col(aspect).isNotNull()))
-
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            jobs = [pool.submit(inheritable_thread_target(train.sparkSession)(fit), a) for a in aspects]
-            heads = {a: job.result() for a, job in zip(aspects, jobs)}
-    finally:
-        cached.unpersist()
+        return head.fit(rows.where(F.col(aspect).isNotNull()))
+
+    run = inheritable_thread_target(train.sparkSession)(fit)
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        heads = dict(zip(aspects, pool.map(run, aspects)))
     return AspectModel(features, heads)
 
 
 def predict(
-    df: DataFrame, model: AspectModel, text: str = "text", key: str = "review_id"
+    df: DataFrame,
+    model: AspectModel,
+    text: str = "text",
+    key: str = "review_id",
+    keep: tuple[str, ...] = (),
+    all_probs: bool = False,
 ) -> DataFrame:
-    """(key, one class per aspect, ``<aspect>_prob`` of that class) for prepared text. No shuffle."""
-    out = model.features.transform(_with_tokens(df.select(key, text), text)).select(key, "features")
+    """(key, ``keep`` columns, one class per aspect, ``<aspect>_prob`` of that class) for prepared
+    text; with ``all_probs`` also ``<aspect>_probs``, the probability of every class. No shuffle."""
+    out = model.features.transform(_with_tokens(df.select(key, text, *keep), text))
+    out = out.select(key, *keep, "features")
     for aspect, head in model.heads.items():
         applied = head.copy()
         applied.setFeaturesCol("features")
         applied.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"{aspect}_p")
         out = applied.transform(out)
     probs = {a: pad(vector_to_array(F.col(f"{a}_p"))) for a in model.heads}
+    out = out.select(key, *keep, *[p.alias(f"{a}_probs") for a, p in probs.items()])
+    probs = {a: F.col(f"{a}_probs") for a in model.heads}
     return out.select(
         key,
+        *keep,
         *[argmax_class(p).alias(a) for a, p in probs.items()],
         *[F.array_max(p).alias(f"{a}_prob") for a, p in probs.items()],
+        *(probs.values() if all_probs else ()),
     )
 
 
 def evaluate(
     df: DataFrame, model: AspectModel, text: str = "text", key: str = "review_id"
 ) -> tuple[DataFrame, DataFrame]:
-    """Per-aspect report and its mean over aspects, for a labelled table."""
-    aspects = list(model.heads)
-    aligned = align(df.select(key, *aspects), predict(df, model, text, key), aspects, key)
-    report = score_report(matched_pairs(aligned))
+    """Per-aspect report and its mean over aspects, for a labelled table.
+
+    Truth stays in the row that is classified, so nothing is joined; predictions that come as a
+    table of their own go through ``metrics.align`` instead.
+    """
+    true = {a: f"true_{a}" for a in model.heads}
+    labelled = df.select(key, text, *[F.col(a).alias(t) for a, t in true.items()])
+    scored = predict(labelled, model, text, key, keep=tuple(true.values()))
+    pairs = aspect_rows(
+        scored, [key], {a: {"truth": F.col(t), "pred": F.col(a)} for a, t in true.items()}
+    )
+    report = score_report(matched_pairs(pairs))
     return report, macro_report(report)

@@ -88,6 +88,10 @@ def test_model_beats_the_majority_class(spark, model_and_data):
         assert predicted.where(F.col(a) == F.col(f"t_{a}")).count() / n >= top / n
     report, macro = models.evaluate(data.where(F.col("split") == "test"), model)
     assert report.count() == 6
+    probs = models.predict(train, model, all_probs=True)
+    off = F.abs(F.aggregate("food_probs", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9
+    assert probs.where(off | (F.size("food_probs") != 6)).count() == 0
+    assert probs.where(F.element_at("food_probs", F.col("food") + 1) != F.col("food_prob")).count() == 0
     assert 0 < macro.first().final_score <= 1
 
 

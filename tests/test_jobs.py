@@ -47,6 +47,11 @@ def test_folds_are_balanced_under_skew(spark, skewed):
     assert spread.first()[0] <= 1
 
 
+def test_folds_keep_rows_without_a_key(skewed):
+    nulls = skewed.withColumn("review_id", F.when(F.col("review_id") > 10, F.col("review_id")))
+    assert folds.train_val_test(nulls).count() == 10000
+
+
 def test_folds_do_not_depend_on_cells_or_partitions(spark, skewed):
     base = folds.train_val_test(skewed).select("review_id", "split")
     other = folds.train_val_test(skewed.repartition(3), digits=1).select("review_id", "split")
