@@ -71,9 +71,9 @@ def dot(a: Column, b: Column) -> Column:
     return array_sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
-def pad(v: Column, size: int = CLASSES) -> Column:
-    """Fill a probability array with zeros up to ``size`` classes."""
-    return F.concat(v, F.array_repeat(F.lit(0.0), F.lit(size) - F.size(v)))
+def pad(v: Column, fill: float = 0.0, size: int = CLASSES) -> Column:
+    """Extend a score array to ``size`` classes."""
+    return F.concat(v, F.array_repeat(F.lit(fill), F.lit(size) - F.size(v)))
 
 
 def aspect_index(aspect: Column, aspects=ASPECTS) -> Column:

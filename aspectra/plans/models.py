@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.util import inheritable_thread_target
 
-from aspectra.functions.labels import argmax_class, pad
+from aspectra.functions.labels import argmax_class, pad, softmax
 from aspectra.functions.text import tokenize
 from aspectra.operators.labels import aspect_rows
 from aspectra.operators.metrics import macro_report, matched_pairs, score_report
@@ -83,35 +83,66 @@ def fit_aspect_heads(
     return AspectModel(features, heads)
 
 
-def predict(
+def head_logits(
     df: DataFrame,
     model: AspectModel,
     text: str = "text",
     key: str = "review_id",
     keep: tuple[str, ...] = (),
-    all_probs: bool = False,
 ) -> DataFrame:
-    """(key, ``keep`` columns, one class per aspect, ``<aspect>_prob`` of that class) for prepared
-    text; with ``all_probs`` also ``<aspect>_probs``, the probability of every class. No shuffle."""
+    """(key, ``keep`` columns, ``<aspect>_logits``): six raw class scores per aspect, minus infinity
+    for a class the fit has not seen. No shuffle."""
     out = model.features.transform(_with_tokens(df.select(key, text, *keep), text))
     out = out.select(key, *keep, "features")
     for aspect, head in model.heads.items():
         applied = head.copy()
-        applied.setFeaturesCol("features")
-        applied.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"{aspect}_p")
+        applied.setFeaturesCol("features").setRawPredictionCol(f"{aspect}_raw")
+        applied.setPredictionCol("").setProbabilityCol("")
         out = applied.transform(out)
-    probs = {a: pad(vector_to_array(F.col(f"{a}_p"))) for a in model.heads}
-    out = out.select(key, *keep, *[p.alias(f"{a}_probs") for a, p in probs.items()])
-    probs = {a: F.col(f"{a}_probs") for a in model.heads}
+    raw = {a: vector_to_array(F.col(f"{a}_raw")) for a in model.heads}
     return out.select(
+        key, *keep, *[pad(v, float("-inf")).alias(f"{a}_logits") for a, v in raw.items()]
+    )
+
+
+def predict(
+    df: DataFrame,
+    model: AspectModel,
+    text: str = "text",
+    key: str = "review_id",
+    keep: tuple[str, ...] = (),
+    all_probs: bool = False,
+) -> DataFrame:
+    """(key, ``keep`` columns, one class per aspect, ``<aspect>_prob`` of that class) for prepared
+    text; with ``all_probs`` also ``<aspect>_probs``, the probability of every class."""
+    probs = head_logits(df, model, text, key, keep).select(
+        key, *keep, *[softmax(F.col(f"{a}_logits")).alias(f"{a}_probs") for a in model.heads]
+    )
+    each = {a: F.col(f"{a}_probs") for a in model.heads}
+    return probs.select(
         key,
         *keep,
-        *[argmax_class(p).alias(a) for a, p in probs.items()],
-        *[F.array_max(p).alias(f"{a}_prob") for a, p in probs.items()],
-        *(probs.values() if all_probs else ()),
+        *[argmax_class(p).alias(a) for a, p in each.items()],
+        *[F.array_max(p).alias(f"{a}_prob") for a, p in each.items()],
+        *(each.values() if all_probs else ()),
     )
 
 
+def _labelled(df: DataFrame, model: AspectModel, text: str, key: str):
+    true = {a: f"true_{a}" for a in model.heads}
+    return true, df.select(key, text, *[F.col(a).alias(t) for a, t in true.items()])
+
+
+def loss_rows(
+    df: DataFrame, model: AspectModel, text: str = "text", key: str = "review_id"
+) -> DataFrame:
+    """(key, aspect, logits, label) of a labelled table, the input of the losses."""
+    true, labelled = _labelled(df, model, text, key)
+    scored = head_logits(labelled, model, text, key, tuple(true.values()))
+    heads = {a: {"logits": F.col(f"{a}_logits"), "label": F.col(t)} for a, t in true.items()}
+    return aspect_rows(scored, [key], heads)
+
+
 def evaluate(
     df: DataFrame, model: AspectModel, text: str = "text", key: str = "review_id"
 ) -> tuple[DataFrame, DataFrame]:
@@ -120,8 +151,7 @@ def evaluate(
     Truth stays in the row that is classified, so nothing is joined; predictions that come as a
     table of their own go through ``metrics.align`` instead.
     """
-    true = {a: f"true_{a}" for a in model.heads}
-    labelled = df.select(key, text, *[F.col(a).alias(t) for a, t in true.items()])
+    true, labelled = _labelled(df, model, text, key)
     scored = predict(labelled, model, text, key, keep=tuple(true.values()))
     pairs = aspect_rows(
         scored, [key], {a: {"truth": F.col(t), "pred": F.col(a)} for a, t in true.items()}

@@ -1,10 +1,12 @@
 """Files, stored tables, models and streams."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from aspectra import session
-from aspectra.operators import folds
+from aspectra.operators import folds, loss
 from aspectra.plans import fixtures as fx, models
 from aspectra.plans.prepare import prepare_text
 from aspectra.schema import ASPECT_HEADERS, ASPECTS, TEXT_HEADER
@@ -88,6 +90,8 @@ def test_model_beats_the_majority_class(spark, model_and_data):
         assert predicted.where(F.col(a) == F.col(f"t_{a}")).count() / n >= top / n
     report, macro = models.evaluate(data.where(F.col("split") == "test"), model)
     assert report.count() == 6
+    seen = models.loss_rows(train, model)
+    assert 0 < loss.cross_entropy(seen).first().loss < 6 * math.log(6)
     probs = models.predict(train, model, all_probs=True)
     off = F.abs(F.aggregate("food_probs", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9
     assert probs.where(off | (F.size("food_probs") != 6)).count() == 0
