@@ -60,6 +60,8 @@ def keep_chars(c: Column, letters: str = ALLOWED_LETTERS, whitespace: str = "del
 
 def expand_abbrev(c: Column, rules: dict[str, str] = ABBREVIATIONS) -> Column:
     """Replace whole-word abbreviations in cleaned text, where spaces are the only separators."""
+    if not rules:
+        return c
     full_form = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
     words = F.transform(
         F.split(c, " "), lambda w: F.coalesce(F.try_element_at(full_form, F.lower(w)), w)

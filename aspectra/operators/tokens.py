@@ -75,3 +75,30 @@ def _remove_by_join(df: DataFrame, words: DataFrame, text: str, key: str) -> Dat
     )
     emptied = F.when(F.col(text).isNotNull(), F.coalesce("kept_text", F.lit("")))
     return df.join(joined, key, "left").withColumn(text, emptied).drop("kept_text")
+
+
+def expand_terms(
+    df: DataFrame, terms: DataFrame, text: str = "text", key: str = "review_id"
+) -> DataFrame:
+    """Replace whole words of cleaned text by their full forms, from a table (short, full) with one
+    row per short form. For a handful of rules the expression ``expand_abbrev`` does the same."""
+    n = small_count(terms)
+    if n is not None:
+        table = word_table(terms, "short", "full", n)
+        words = F.transform(
+            F.split(text, " "), lambda w: F.coalesce(find(F.col("term_table"), w, n), w)
+        )
+        return (
+            df.select("*", table.alias("term_table"))
+            .withColumn(text, F.array_join(words, " "))
+            .drop("term_table")
+        )
+    rows = df.select(key, F.posexplode(F.split(text, " ")).alias("pos", "short"))
+    matched = lookup_join(rows, terms.select("short", "full"), ["short"], "left")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("full", "short").alias("w"))))
+    joined = matched.groupBy(key).agg(
+        F.array_join(F.transform(ordered, lambda e: e["w"]), " ").alias("full_text")
+    )
+    return df.drop(text).join(joined, key, "left").withColumnRenamed("full_text", text).select(
+        *df.columns
+    )

@@ -271,6 +271,7 @@ ORACLE = {
     "text_allowlist_spaced": "SELECT doc_id AS review_id, regexp_replace("
     rf"regexp_replace(text, '[\s\v]', ' ', 'g'), '[^{ALLOWED}]', '', 'g') AS text FROM documents",
     "abbrev_expand": cte(cleaned(RULES)) + "SELECT review_id, text FROM clean",
+    "abbrev_expand_table": cte(cleaned(RULES)) + "SELECT review_id, text FROM clean",
     "abbrev_expand_raw": f"SELECT doc_id AS review_id, {raw_abbreviations()} AS text"
     " FROM documents",
     "token_counts": cte(WORDS, TOKENS) + "SELECT word, count(*) AS count FROM tok GROUP BY word",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from aspectra.functions.text import ABBREVIATIONS, clean_text
 from aspectra.operators.compounds import merge_compounds, tag_compounds
-from aspectra.operators.tokens import KEEP_WORDS, remove_stopwords
+from aspectra.operators.tokens import KEEP_WORDS, expand_terms, remove_stopwords
 
 
 def prepare_text(
@@ -16,18 +16,23 @@ def prepare_text(
     lexicon: DataFrame | None = None,
     stop_words: DataFrame | Iterable[str] | None = None,
     keep: Iterable[str] = KEEP_WORDS,
-    rules: dict[str, str] = ABBREVIATIONS,
+    rules: dict[str, str] | DataFrame = ABBREVIATIONS,
     whitespace: str = "delete",
     text: str = "text",
     key: str = "review_id",
 ) -> DataFrame:
     """Lowercase, punctuation, numbers, allow-list, abbreviations, compounds, stop words.
 
-    The first five are one projection. Compounds are merged when a ``lexicon`` (first, second) is
+    The first five are one projection. ``rules`` is a short mapping or a table (short, full) of
+    abbreviations. Compounds are merged when a ``lexicon`` (first, second) is
     given, stop words go when a list is given; both are off by default, and neither shuffles the
     reviews unless its list is too large to broadcast.
     """
-    out = df.withColumn(text, clean_text(F.col(text), rules=rules, whitespace=whitespace))
+    by_table = isinstance(rules, DataFrame)
+    cleaned = clean_text(F.col(text), rules={} if by_table else rules, whitespace=whitespace)
+    out = df.withColumn(text, cleaned)
+    if by_table:
+        out = expand_terms(out, rules, text, key)
     if lexicon is not None:
         out = merge_compounds(tag_compounds(out, lexicon, text, key), text)
     if stop_words is not None:

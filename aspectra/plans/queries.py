@@ -138,6 +138,12 @@ def abbrev_expand(spark: SparkSession, sf: str) -> DataFrame:
     return fx.reviews(spark, sf).withColumn("text", X.clean_text(F.col("text"), rules=RULES))
 
 
+@query
+def abbrev_expand_table(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(list(RULES.items()), "short string, full string")
+    return prepare.prepare_text(fx.reviews(spark, sf), rules=rules)
+
+
 @query
 def abbrev_expand_raw(spark: SparkSession, sf: str) -> DataFrame:
     return fx.reviews(spark, sf).withColumn("text", X.expand_abbrev_raw(F.col("text"), RULES))

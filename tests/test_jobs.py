@@ -91,16 +91,33 @@ def test_join_paths_give_the_same_result(spark, sf, small_bounds):
     words = spark.createDataFrame([("the",), ("of",), ("is",)], "word string")
     joined_tags = compounds.tag_compounds(docs, lexicon).select("review_id", "tokens", "tags")
     joined_text = tokens.remove_stopwords(docs, words, keep=["is"])
+    terms = spark.createDataFrame([("the", "all the"), ("of", "from")], "short string, full string")
+    joined_terms = tokens.expand_terms(docs, terms)
     with pytest.MonkeyPatch.context() as patch:
         for module in (tokens, compounds):
             patch.setattr(module, "small_count", lambda table: table.count())
         tags = compounds.tag_compounds(docs, lexicon).select("review_id", "tokens", "tags")
         text = tokens.remove_stopwords(docs, words, keep=["is"])
+        expanded = tokens.expand_terms(docs, terms)
     assert joined_tags.count() == tags.count() == docs.count()
     assert tags.exceptAll(joined_tags).count() == 0
+    assert joined_terms.columns == expanded.columns and joined_terms.count() == docs.count()
+    assert expanded.exceptAll(joined_terms).count() == 0 < expanded.exceptAll(docs).count()
     assert text.select("review_id", "text").exceptAll(joined_text.select("review_id", "text")).count() == 0
 
 
+def test_one_word_may_be_most_of_the_corpus(spark):
+    docs = spark.range(2000).select(
+        F.col("id").alias("review_id"),
+        F.concat(F.repeat(F.lit("hot "), 50), F.lit("w"), (F.col("id") % 7).cast("string"))
+        .alias("text"),
+    )
+    counts = {r.word: r["count"] for r in tokens.token_counts(docs).collect()}
+    assert counts["hot"] == 100000 and sum(counts.values()) == 102000
+    mined = {(r.first, r.second): r["count"] for r in compounds.mine_compounds(docs, 20, None).collect()}
+    assert mined["hot", "hot"] == 98000 and sum(mined.values()) == 100000
+
+
 def test_mining_with_salted_joins(spark, sf, small_bounds):
     docs = fx.lower_reviews(spark, sf)
     salted = compounds.mine_compounds(docs)

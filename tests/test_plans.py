@@ -8,7 +8,7 @@ from aspectra.plans import fixtures as fx
 
 NARROW = [
     "text_lower", "text_punct", "text_numbers", "text_allowlist", "abbrev_expand",
-    "abbrev_expand_raw", "prepare_text", "one_hot_encode", "one_hot_decode", "aspect_unpivot",
+    "abbrev_expand_raw", "abbrev_expand_table", "prepare_text", "one_hot_encode", "one_hot_decode", "aspect_unpivot",
     "head_softmax", "head_argmax", "head_top_class", "threshold_decode", "compound_tag",
     "compound_merge", "prepare_text_full", "stopword_filter", "sequence_encode", "head_scores",
 ]
