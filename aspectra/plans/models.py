@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -14,6 +15,7 @@ from pyspark.util import inheritable_thread_target
 
 from aspectra.functions.labels import argmax_class, pad, softmax
 from aspectra.functions.text import tokenize
+from aspectra.operators.history import rank_variants
 from aspectra.operators.labels import aspect_rows
 from aspectra.operators.metrics import macro_report, matched_pairs, score_report
 from aspectra.schema import ASPECTS
@@ -158,3 +160,39 @@ def evaluate(
     )
     report = score_report(matched_pairs(pairs))
     return report, macro_report(report)
+
+
+def fit_best(
+    train: DataFrame,
+    val: DataFrame,
+    variants: dict[str, dict],
+    epochs: tuple[int, ...] = (5, 10, 20),
+    aspects=ASPECTS,
+    text: str = "text",
+    key: str = "review_id",
+) -> tuple[AspectModel, DataFrame]:
+    """Fit every variant (settings of ``fit_aspect_heads``) for several numbers of passes and keep
+    the model with the best mean final score on ``val``, the earliest on ties.
+
+    Also returns the history (run_id, epoch, aspect, final_score), ready for ``best_epoch`` and
+    ``rank_variants``. Each fit leaves six rows; the reviews never reach the driver.
+    """
+    fits, reports = {}, []
+    for run_id, settings in variants.items():
+        for epoch in epochs:
+            model = fit_aspect_heads(train, aspects, text, max_iter=epoch, **settings)
+            report, _ = evaluate(val, model, text, key)
+            fits[run_id, epoch] = model
+            reports.append(
+                materialise(
+                    report.select(
+                        F.lit(run_id).alias("run_id"),
+                        F.lit(epoch).alias("epoch"),
+                        "aspect",
+                        "final_score",
+                    )
+                )
+            )
+    history = reduce(DataFrame.unionByName, reports)
+    best = rank_variants(history).where("place = 1").first()
+    return fits[best.run_id, best.epoch], history

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aspectra import session
-from aspectra.operators import folds, loss
+from aspectra.operators import folds, history, loss
 from aspectra.plans import fixtures as fx, models
 from aspectra.plans.prepare import prepare_text
 from aspectra.schema import ASPECT_HEADERS, ASPECTS, TEXT_HEADER
@@ -99,6 +99,17 @@ def test_model_beats_the_majority_class(spark, model_and_data):
     assert 0 < macro.first().final_score <= 1
 
 
+def test_best_variant_is_kept(model_and_data):
+    _, data = model_and_data
+    train, val = (data.where(F.col("split") == s) for s in ("train", "val"))
+    variants = {"narrow": {"num_features": 16}, "wide": {"num_features": 512}}
+    best, runs = models.fit_best(train, val, variants, epochs=(1, 8))
+    assert runs.count() == 2 * 2 * len(ASPECTS)
+    ranked = {r.run_id: r.mean_score for r in history.rank_variants(runs).collect()}
+    _, macro = models.evaluate(val, best)
+    assert macro.first().final_score == pytest.approx(max(ranked.values()))
+
+
 def test_model_round_trip_and_stream(spark, model_and_data, tmp_path):
     model, data = model_and_data
     model.save(str(tmp_path / "model"))
