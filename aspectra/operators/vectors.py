@@ -35,8 +35,9 @@ def pool(
     """One vector per group: ``mean``, ``mean_max`` (both joined) or ``last`` (highest position).
 
     All three are partial aggregates: a group of any size leaves each task as one buffer, so a hot
-    group neither moves its rows nor meets in one task.
+    group neither moves its rows nor meets in one task. A null vector is not a position of its group.
     """
+    df = df.where(F.col(vec).isNotNull())
     if how == "last":
         return df.groupBy(group).agg(F.max_by(vec, pos).alias(vec))
     if how not in ("mean", "mean_max"):

@@ -168,7 +168,9 @@ def test_vectors(spark):
     assert joined[1] == [2, -1, 3, -1, 4, -1, 5, -1]
     assert joined[2] == [0, 0, 0, 1]
     assert vectors.concat_last(df, n_layers=6).where("pos = 1").first().vec == joined[1]
-    tokens_ = df.where("layer = 1").select("doc_id", "pos", "vec")
+    tokens_ = df.where("layer = 1").select("doc_id", "pos", "vec").union(
+        spark.createDataFrame([(1, 3, None)], "doc_id long, pos int, vec array<float>")
+    )
     assert vectors.pool(tokens_).first().vec == [0.5, 0]
     assert vectors.pool(tokens_, "mean_max").first().vec == [0.5, 0, 1, 1]
     assert vectors.pool(tokens_, "last").first().vec == [0, 1]
