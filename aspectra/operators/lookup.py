@@ -3,7 +3,8 @@
 A word table within ``MAX_ENTRIES`` rows and ``MAX_BYTES`` characters becomes one value (a scalar
 subquery) that every task reads, so token arrays are looked up in place and documents are not
 shuffled. A larger one is joined: tokens are exploded and the keys salted, since one frequent word
-may hold a third of all tokens.
+may hold a third of all tokens. Only that second way needs the review key, which must then be unique
+and not null, to put the words of a review back together.
 """
 
 from __future__ import annotations
