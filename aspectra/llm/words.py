@@ -44,6 +44,24 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
+    """Hash of every k consecutive values, by doubling."""
+    out, have, power, width = None, 0, h, 1
+    while True:
+        if k & width:
+            if out is None:
+                out = power
+            else:
+                m = min(len(out), len(power) - have)
+                out = out[:m] + power[have : have + m] * np.uint64(pow(base, have, 1 << 64))
+            have += width
+        width *= 2
+        if width > k:
+            return mix(out)
+        m = len(power) - width // 2
+        power = power[: max(m, 0)] + power[width // 2 :] * np.uint64(pow(base, width // 2, 1 << 64))
+
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
