@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from aspectra.llm.fingerprints import fingerprints
+from aspectra.llm.language import identify_languages
+from aspectra.llm.mixing import mix_sources
+from aspectra.llm.neighbours import near_duplicates
+from aspectra.llm.packing import pack
 from aspectra.llm.substrings import remove_repeats
 
 
@@ -17,6 +22,31 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), 35)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), words=2, percent=80)
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_documents(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), 1024)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir), (5, 2, 1), 150, 2)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_packing": op4_packing,
+    "op8_source_mixing": op8_source_mixing,
+    "op10_language_id": op10_language_id,
 }
