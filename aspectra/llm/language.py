@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aspectra.llm.sampling import per_class, remainder
 from aspectra.llm.words import chunks
@@ -137,13 +138,13 @@ def fit(labelled: DataFrame, seed: int = 0) -> ByteNetwork | None:
     return train(np.array(windows), np.array(labels), languages, seed=seed)
 
 
-def _predict(net: ByteNetwork | None):
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def _predict(net: ByteNetwork | None, names: list[str]):
+    """Adds lang_pred and score to rows of the columns ``names`` beside text and letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = batch.column("letters").to_pylist()
-            for chunk in chunks(batch.column("text"), 1 << 18):
+            letters = batch.column("_letters").to_pylist()
+            for chunk in chunks(batch.column("_text"), 1 << 18):
                 m = len(chunk.bounds) - 1
                 langs: list[str] = [UNDECIDED] * m
                 scores = np.zeros(m)
@@ -158,10 +159,23 @@ def _predict(net: ByteNetwork | None):
                     for i in range(m):
                         if letters[chunk.rows.start + i]:
                             langs[i], scores[i] = net.languages[best[i]], p[i, best[i]]
-                ids = batch.column("doc_id").slice(chunk.rows.start, m)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(langs), pa.array(scores)], schema=schema)
+                kept = [batch.column(c).slice(chunk.rows.start, m) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs), pa.array(scores)], [*names, "_lang", "_lang_score"])
 
-    return run, "doc_id long, lang_pred string, score double"
+    return run
+
+
+def with_languages(docs: DataFrame, divisor: int = 4, held: int = 2, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (None: all) of ``docs`` with _lang and _lang_score; cases as in ``identify_languages``."""
+    names = docs.columns if keep is None else keep
+    rest = remainder("doc_id", divisor)
+    text = F.col("text").cast("string")
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("lang").cast("string").alias("lang"))
+    net = fit(labelled.where(F.coalesce(rest != held, F.lit(True)) & F.col("lang").isNotNull()), seed)
+    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(*(F.col(f"`{c}`") for c in names), text.alias("_text"), letters.alias("_letters"))
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("_lang", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    return rows.mapInArrow(_predict(net, names), schema)
 
 
 def identify_languages(docs: DataFrame, divisor: int = 4, held: int = 2, seed: int = 0) -> DataFrame:
@@ -175,8 +189,5 @@ def identify_languages(docs: DataFrame, divisor: int = 4, held: int = 2, seed: i
     """
     rest = remainder("doc_id", divisor)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    net = fit(docs.where(F.coalesce(rest != held, F.lit(True)) & F.col("lang").isNotNull()), seed)
-    run, schema = _predict(net)
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    scored = docs.select("doc_id", "text", letters.alias("letters")).mapInArrow(run, schema)
-    return scored.select("doc_id", F.coalesce(rest == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    scored = with_languages(docs, divisor, held, seed, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(rest == held, F.lit(False)).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))

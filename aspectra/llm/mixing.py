@@ -69,13 +69,25 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: in
     Rows that repeat a doc_id are taken alike. An empty table gives an empty table. The table of sources is summed
     before it is ordered and has one row per source.
     """
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, percent, cap).withColumnRenamed("source", "s")
+    taken = with_copies(docs.select("doc_id", "text", "source"), weights, percent, cap, seed)
+    return taken.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"))
+
+
+def with_copies(docs: DataFrame, weights: Sequence[int], percent: int, cap: int, seed: str) -> DataFrame:
+    """``docs`` with _size, source_size, target and _copies."""
+    sized = docs.withColumn("_size", word_count())
+    sizes = sized.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum("_size").alias("source_size"))
+    targets = source_targets(sizes, weights, percent, cap).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", rate)
-    extra = uniform(seed, F.col("doc_id")) < F.col("rate") - F.floor("rate")
-    copies = F.least(F.floor("rate") + F.when(extra, 1).otherwise(0), F.lit(cap)).cast("long")
-    return joined.withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
-    )
+    joined = sized.join(targets, F.col("source").cast("string").eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
+    extra = uniform(seed, F.col("doc_id")) < F.col("_rate") - F.floor("_rate")
+    return joined.withColumn("_copies", F.least(F.floor("_rate") + F.when(extra, 1).otherwise(0), F.lit(cap)).cast("long"))
+
+
+def repeat_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150, cap: int = 2, seed: str = "mix") -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as many times as it is taken, with the columns of ``docs``.
+
+    Cases as in ``mix_sources``; columns named _size, source_size, target, _source, _rate or _copies must not be in ``docs``.
+    """
+    taken = with_copies(docs, weights, percent, cap, seed).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -270,3 +270,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     full = filled.select("doc_id", "n_shingles", "node").join(nodes, "node").select("doc_id", "n_shingles", "component_id")
     bare = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document of the least doc_id, and all without shingles.
+
+    All columns stay. Cases as in ``near_duplicates``.
+    """
+    kept = near_duplicates(docs, words, percent, miss).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from aspectra.llm.ctw import score_texts
 from aspectra.llm.fingerprints import fingerprints
 from aspectra.llm.language import identify_languages
 from aspectra.llm.mixing import mix_sources
 from aspectra.llm.neighbours import near_duplicates
 from aspectra.llm.packing import pack
+from aspectra.llm.personal import find_personal_data
+from aspectra.llm.quality import score_quality
+from aspectra.llm.search import top_inner_products
 from aspectra.llm.substrings import remove_repeats
 
 
@@ -34,10 +38,26 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), 1024)
 
 
+def op5_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_documents(spark, sf_dir))
+
+
+def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_kd_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, divisor=50)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir), (5, 2, 1), 150, 2)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_documents(spark, sf_dir))
 
@@ -47,6 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_packing": op4_packing,
+    "op5_context_tree_scoring": op5_context_tree_scoring,
+    "op6_quality_nbsvm": op6_quality_nbsvm,
+    "op7_kd_tree_search": op7_kd_tree_search,
     "op8_source_mixing": op8_source_mixing,
+    "op9_personal_data": op9_personal_data,
     "op10_language_id": op10_language_id,
 }
