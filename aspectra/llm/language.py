@@ -3,7 +3,7 @@
 Filters of several widths slide over the bytes of a window; each filter keeps its largest response in the
 window, and a softmax layer turns these into language probabilities. A filter response is a sum of one table
 entry per byte of its width, so a batch of windows costs one lookup per position, width and filter. A text is
-cut into fixed-length windows that cover it whole; the mean of their log-probabilities decides.
+cut into fixed-length windows that cover it whole; the sum of their log-probabilities over the root of their number decides.
 """
 
 from __future__ import annotations
@@ -152,7 +152,8 @@ def _predict(net: ByteNetwork | None, names: list[str]):
                     windows, row = windows_of(chunk.data, chunk.bounds)
                     logs = np.concatenate([net.log_probabilities(windows[i : i + 1024]) for i in range(0, len(windows), 1024)])
                     total = np.stack([np.bincount(row, weights=logs[:, c], minlength=m) for c in range(logs.shape[1])], axis=1)
-                    mean = total / np.maximum(np.bincount(row, minlength=m), 1)[:, None]
+                    # More windows are more evidence, but not as much as if they were independent.
+                    mean = total / np.sqrt(np.maximum(np.bincount(row, minlength=m), 1))[:, None]
                     p = np.exp(mean - mean.max(axis=1, keepdims=True))
                     p /= p.sum(axis=1, keepdims=True)
                     best = p.argmax(axis=1)
