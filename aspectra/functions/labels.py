@@ -7,14 +7,21 @@ from pyspark.sql import Column, functions as F
 from aspectra.schema import ASPECTS, CLASSES, RATINGS
 
 
+def checked_class(score: Column, classes: int = CLASSES) -> Column:
+    """The score itself; a score outside 0..classes-1 ends the job, null passes."""
+    wrong = F.raise_error(F.concat(F.lit("score out of range: "), score.cast("string")))
+    return F.when(score.isNull() | score.between(0, classes - 1), score).otherwise(wrong.cast("int"))
+
+
 def one_hot(scores: list[Column], ratings: int = RATINGS) -> Column:
-    """Scores 0..ratings of each aspect as one flat 0/1 array; score 0 is all zeros."""
+    """Scores 0..ratings of each aspect as one flat 0/1 array; score 0 is all zeros, any other
+    score is refused."""
     slots = F.sequence(F.lit(1), F.lit(ratings))
 
     def block(score: Column) -> Column:
         return F.transform(slots, lambda j: (score == j).cast("int"))
 
-    return F.concat(*[block(s) for s in scores])
+    return F.concat(*[bind(checked_class(s, ratings + 1), block) for s in scores])
 
 
 def one_hot_decode(v: Column, aspect: int, ratings: int = RATINGS) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from aspectra.functions.text import tokenize
-from aspectra.operators.lookup import find, lookup_join, small_count, word_table
+from aspectra.operators.lookup import ROW, find, lookup_join, numbered, salted_join, small_count, word_table
 from aspectra.session import materialise
 
 # Grouping ids of the rollup in ``mine_compounds``.
@@ -41,21 +41,24 @@ def mine_compounds(
             F.col("first").alias(side), F.col("count").cast("double").alias(f"{side}_count")
         )
         pairs = lookup_join(pairs, side_counts, [side], "inner")
-    pmi = F.log(F.col("count") * total / (F.col("first_count") * F.col("second_count")))
+    # As doubles: the product of two counts may pass 2^63.
+    pmi = F.log(
+        F.col("count").cast("double") * total.cast("double") / (F.col("first_count") * F.col("second_count"))
+    )
     pairs = pairs.select("first", "second", "count", pmi.alias("pmi"))
     return pairs if min_pmi is None else pairs.where(F.col("pmi") >= min_pmi)
 
 
 def tag_compounds(
-    df: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "review_id"
+    df: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "review_id", large: bool = False
 ) -> DataFrame:
     """Add ``tokens`` and ``tags``: a token is ``I`` when it and the one before it are a listed
     pair, else ``B``. ``lexicon`` is (first, second); it is read several times, so pass a stored
-    table."""
+    table. ``large`` takes the way of lists beyond the bounds; the rows are the same."""
     lexicon = lexicon.select("first", "second").distinct()
-    n = small_count(lexicon)
+    n = None if large else small_count(lexicon)
     if n is None:
-        return _tag_by_join(df, lexicon, text, key)
+        return _tag_by_join(df, lexicon, text)
     pairs = lexicon.select(F.concat_ws(" ", "first", "second").alias("pair"))
     table = word_table(pairs, "pair", "pair", n)
 
@@ -71,27 +74,29 @@ def tag_compounds(
     )
 
 
-def _tag_by_join(df: DataFrame, lexicon: DataFrame, text: str, key: str) -> DataFrame:
-    tokens = df.select(key, tokenize(F.col(text)).alias("t"))
+def _tag_by_join(df: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
+    stored = numbered(df)
+    tokens = stored.select(ROW, tokenize(F.col(text)).alias("t"))
     shifted = F.concat(F.array(F.lit(None).cast("string")), F.col("t"))
     pairs = F.arrays_zip(shifted.alias("first"), F.col("t").alias("second"))
     rows = (
-        tokens.select(key, F.posexplode(pairs).alias("pos", "pair"))
-        .select(key, "pos", "pair.first", "pair.second")
+        tokens.select(ROW, F.posexplode(pairs).alias("pos", "pair"))
+        .select(ROW, "pos", "pair.first", "pair.second")
         .where(F.col("second").isNotNull())
     )
-    tagged = lookup_join(rows, lexicon.withColumn("tag", F.lit("I")), ["first", "second"], "left")
+    tagged = salted_join(rows, lexicon.withColumn("tag", F.lit("I")), ["first", "second"], "left")
     entry = F.struct("pos", F.col("second").alias("word"), F.coalesce("tag", F.lit("B")).alias("tag"))
-    regrouped = tagged.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    regrouped = tagged.groupBy(ROW).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     listed = regrouped.select(
-        key,
+        ROW,
         F.transform("entries", lambda e: e["word"]).alias("tokens"),
         F.transform("entries", lambda e: e["tag"]).alias("tags"),
     )
     nothing = F.when(F.col(text).isNotNull(), F.array().cast("array<string>"))
-    return df.join(listed, key, "left").withColumns(
+    tagged = stored.join(listed, ROW, "left").withColumns(
         {c: F.coalesce(c, nothing) for c in ("tokens", "tags")}
     )
+    return tagged.select(*df.columns, "tokens", "tags")
 
 
 def merge_compounds(tagged: DataFrame, text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from aspectra.functions.labels import argmax_class
+from aspectra.functions.labels import argmax_class, checked_class
 from aspectra.operators.labels import unpivot_aspects
 from aspectra.schema import ASPECTS, CLASSES
 
@@ -32,13 +32,13 @@ def fit_mean_heads(
 
     Each task reduces its rows to one running mean per (aspect, class), so a class of any size is
     one buffer per task. Only aspects x classes vectors reach the driver. A class never seen gets
-    bias minus infinity, that is probability 0.
+    bias minus infinity, that is probability 0. A score outside 0..classes-1 is refused.
     """
     vectors = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v"), *aspects)
     means = (
         unpivot_aspects(vectors, aspects, key="v")
         .where(F.col("score").isNotNull() & F.col("v").isNotNull())
-        .groupBy("aspect", "score")
+        .groupBy("aspect", checked_class(F.col("score"), classes).alias("score"))
         .agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("mean"))
         .collect()
     )
@@ -64,6 +64,9 @@ def score_heads(df: DataFrame, heads: LinearHeads, vec: str = "vec") -> DataFram
     @F.arrow_udf("array<double>")
     def product(vectors: pa.Array) -> pa.Array:
         valid = np.asarray(vectors.is_valid())
+        lengths = vectors.drop_null().value_lengths().to_numpy(zero_copy_only=False)
+        if (lengths != weights.shape[1]).any():
+            raise ValueError(f"every vector must have {weights.shape[1]} components")
         flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False)
         scores = flat.astype(np.float64).reshape(-1, weights.shape[1]) @ weights.T + bias
         ends = np.concatenate(([0], np.cumsum(valid * len(bias)))).astype(np.int32)

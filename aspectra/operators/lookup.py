@@ -2,15 +2,22 @@
 
 A word table within ``MAX_ENTRIES`` rows and ``MAX_BYTES`` characters becomes one value (a scalar
 subquery) that every task reads, so token arrays are looked up in place and documents are not
-shuffled. A larger one is joined: tokens are exploded and the keys salted, since one frequent word
-may hold a third of all tokens. Only that second way needs the review key, which must then be unique
-and not null, to put the words of a review back together.
+shuffled. A larger one is first cut down to the words that the corpus has, counted with a partial
+aggregate, and is then often small enough for the first way. What is still too large is joined: tokens
+are exploded and the keys salted, since one frequent word may hold a third of all tokens. Words are put
+back together by a row number that is stored with the rows, so both ways give the same rows whatever the
+review keys are, null or repeated ones included.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from aspectra.session import new_table_path
+
+#: Column with the stored row number.
+ROW = "_row"
+
 MAX_ENTRIES = 1 << 17
 MAX_BYTES = 16 << 20
 SALTS = 32
@@ -55,6 +62,13 @@ def find(table: Column, key: Column, max_entries: int) -> Column:
     return F.get(F.filter(slot, lambda e: e["key"] == key), F.lit(0))["value"]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with a number of their own, stored, so that every later read sees the same numbers."""
+    path = new_table_path(df.sparkSession, "numbered")
+    df.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def lookup_join(
     facts: DataFrame, table: DataFrame, on: list[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:

@@ -24,13 +24,17 @@ def batch_mean_loss(
     """Loss averaged in each batch of ``size`` consecutive ordinals, then over the batches, so a
     short last batch weighs as much as the others.
 
-    One aggregate per batch holds the mean of every head, so rows are shuffled once.
+    One aggregate per batch holds the mean of every head, so rows are shuffled once. Ordinals must be
+    consecutive (``sources.reviews.with_ordinal`` makes them so); a batch that lacks a head or its
+    scores is refused.
     """
     losses = rows.select(
-        F.floor(F.col(ordinal) / size).alias("batch"),
+        F.expr(f"`{ordinal}` div {int(size)}").alias("batch"),
         "aspect",
         nll(F.col("logits"), F.col("label")).alias("nll"),
     )
     heads = [F.avg(F.when(F.col("aspect") == a, F.col("nll"))) for a in aspects]
     batches = losses.groupBy("batch").agg(sum(heads[1:], heads[0]).alias("loss"))
+    missing = F.raise_error(F.concat(F.lit("a head has no scores in batch "), F.col("batch").cast("string")))
+    batches = batches.select("batch", F.coalesce("loss", missing.cast("double")).alias("loss"))
     return batches.agg(F.count("*").alias("batches"), F.avg("loss").alias("loss"))

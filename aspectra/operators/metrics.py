@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aspectra.operators.labels import aspect_rows
 from aspectra.schema import ASPECTS, METRICS, RATINGS
@@ -14,21 +14,31 @@ MAX_SQUARED_ERROR = (RATINGS - 1) ** 2
 def align(
     truth: DataFrame, pred: DataFrame, aspects=ASPECTS, key: str = "review_id"
 ) -> DataFrame:
-    """Match wide truth and prediction tables: (key, aspect, truth, pred, has_truth, has_pred).
+    """Match wide truth and prediction tables: (key, aspect, truth, pred, has_truth, has_pred,
+    truth_place, pred_place).
 
     The wide rows are joined first and unpivoted after, so each review is shuffled once, not once
-    per aspect. ``key`` must be unique on both sides.
+    per aspect. A key that is repeated matches every row of the other side; the place of a row
+    among those of its key (from 1) shows this, and the numbering uses the join's partitions. A
+    null key matches nothing and is never a repetition.
     """
-    both = truth.select(key, F.struct(*aspects).alias("t")).join(
-        pred.select(key, F.struct(*aspects).alias("p")), key, "full_outer"
-    )
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(key, F.struct(*aspects).alias(name))
+        place = F.row_number().over(Window.partitionBy(key).orderBy(name))
+        numbered = rows.where(F.col(key).isNotNull()).withColumn(f"{name}_place", place)
+        return numbered.unionByName(rows.where(F.col(key).isNull()).withColumn(f"{name}_place", F.lit(1)))
+
+    both = side(truth, "t").join(side(pred, "p"), key, "full_outer")
     both = both.withColumns({"has_truth": F.col("t").isNotNull(), "has_pred": F.col("p").isNotNull()})
+    both = both.withColumnsRenamed({"t_place": "truth_place", "p_place": "pred_place"})
     pairs = {a: {"truth": F.col("t")[a], "pred": F.col("p")[a]} for a in aspects}
-    return aspect_rows(both, [key, "has_truth", "has_pred"], pairs)
+    return aspect_rows(both, [key, "has_truth", "has_pred", "truth_place", "pred_place"], pairs)
 
 
 def align_report(aligned: DataFrame) -> DataFrame:
-    """Matched and missing rows per aspect, and matched rows with a null score."""
+    """Matched and missing rows per aspect, matched rows with a null score, and the rows of each
+    side that repeat a key."""
     matched = F.col("has_truth") & F.col("has_pred")
     null_score = F.col("truth").isNull() | F.col("pred").isNull()
     return aligned.groupBy("aspect").agg(
@@ -36,19 +46,37 @@ def align_report(aligned: DataFrame) -> DataFrame:
         F.count_if(~F.col("has_pred")).alias("missing_pred"),
         F.count_if(~F.col("has_truth")).alias("missing_truth"),
         F.count_if(matched & null_score).alias("null_scores"),
+        _repeats("truth_place", "pred_place").alias("duplicate_truth"),
+        _repeats("pred_place", "truth_place").alias("duplicate_pred"),
     )
 
 
+def _repeats(place: str, other: str) -> Column:
+    """Each repeated row once, whatever it was matched with."""
+    return F.count_if((F.col(place) > 1) & (F.coalesce(other, F.lit(1)) == 1))
+
+
 def matched_pairs(aligned: DataFrame) -> DataFrame:
     """The rows that can be scored."""
     return aligned.where(F.col("truth").isNotNull() & F.col("pred").isNotNull())
 
 
-def pair_counts(pairs: DataFrame, by: tuple[str, ...] = ("aspect",)) -> DataFrame:
+def pair_counts(pairs: DataFrame, by: tuple[str, ...] = ("aspect",), aspects=ASPECTS) -> DataFrame:
     """Every count the metrics need, in one aggregate: tp, fp, fn, tn and the squared error of the
-    pairs in which both sides mention the aspect (there are tp of those)."""
+    pairs in which both sides mention the aspect (there are tp of those).
+
+    Every group has a row for each of ``aspects``, with counts of 0 where it has no pair; pass None
+    to leave such rows out.
+    """
     t, p = F.col("truth") > 0, F.col("pred") > 0
     error = (F.col("truth") - F.col("pred")).cast("long")
+    if aspects and "aspect" in by:
+        # One pair without scores for each aspect: it makes a row and is counted nowhere.
+        others = [c for c in by if c != "aspect"]
+        groups = pairs.select(*others).distinct() if others else pairs.sparkSession.range(1).select()
+        every = groups.select(*others, F.explode(F.array(*map(F.lit, aspects))).alias("aspect"))
+        none = F.lit(None).cast("int")
+        pairs = pairs.select(*by, "truth", "pred").union(every.select(*by, none, none))
     return pairs.groupBy(*by).agg(
         F.count_if(t & p).alias("tp"),
         F.count_if(~t & p).alias("fp"),

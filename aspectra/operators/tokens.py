@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from aspectra.functions.text import tokenize
-from aspectra.operators.lookup import find, lookup_join, small_count, word_table
+from aspectra.operators.lookup import ROW, find, numbered, salted_join, small_count, word_table
 
 # Listed as stop words, yet kept because they carry the sentiment.
 KEEP_WORDS = ("không",)
@@ -40,22 +40,27 @@ def remove_stopwords(
     keep: Iterable[str] = KEEP_WORDS,
     text: str = "text",
     key: str = "review_id",
+    large: bool = False,
 ) -> DataFrame:
     """Drop the listed words, except ``keep``, and re-join the others by single spaces.
 
     ``words`` is a Python collection or a one-column DataFrame ``word``. A review whose words are
-    all dropped gets an empty text; a null text stays null.
+    all dropped gets an empty text; a null text stays null. ``large`` takes the way of lists beyond
+    the bounds; the rows are the same.
     """
     keep = list(keep)
     if not isinstance(words, DataFrame):
         listed = sorted(set(words) - set(keep))
-        if len(listed) <= MAX_LITERALS:
+        if len(listed) <= MAX_LITERALS and not large:
             kept = F.filter(tokenize(F.col(text)), lambda w: ~w.isin(*listed))
             return df.withColumn(text, F.array_join(kept, " "))
         words = df.sparkSession.createDataFrame([(w,) for w in listed], "word string")
 
     words = words.select("word").where(~F.col("word").isin(*keep)).distinct()
-    n = small_count(words)
+    n = None if large else small_count(words)
+    if n is None and not large:
+        words = words.join(token_counts(df, text), "word", "left_semi")
+        n = small_count(words)
     if n is not None:
         table = word_table(words, "word", "word", n)
         kept = F.filter(F.col("tokens"), lambda w: find(F.col("stop_table"), w, n).isNull())
@@ -64,41 +69,49 @@ def remove_stopwords(
             .withColumn(text, F.array_join(kept, " "))
             .drop("tokens", "stop_table")
         )
-    return _remove_by_join(df, words, text, key)
+    return _remove_by_join(df, words, text)
 
 
-def _remove_by_join(df: DataFrame, words: DataFrame, text: str, key: str) -> DataFrame:
-    kept = lookup_join(token_rows(df, text, key), words, ["word"], "left_anti")
+def _remove_by_join(df: DataFrame, words: DataFrame, text: str) -> DataFrame:
+    rows = numbered(df)
+    kept = salted_join(token_rows(rows, text, ROW), words, ["word"], "left_anti")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
-    joined = kept.groupBy(key).agg(
+    joined = kept.groupBy(ROW).agg(
         F.array_join(F.transform(ordered, lambda t: t["word"]), " ").alias("kept_text")
     )
     emptied = F.when(F.col(text).isNotNull(), F.coalesce("kept_text", F.lit("")))
-    return df.join(joined, key, "left").withColumn(text, emptied).drop("kept_text")
+    return rows.join(joined, ROW, "left").withColumn(text, emptied).select(*df.columns)
 
 
 def expand_terms(
-    df: DataFrame, terms: DataFrame, text: str = "text", key: str = "review_id"
+    df: DataFrame, terms: DataFrame, text: str = "text", key: str = "review_id", large: bool = False
 ) -> DataFrame:
-    """Replace whole words of cleaned text by their full forms, from a table (short, full) with one
-    row per short form. For a handful of rules the expression ``expand_abbrev`` does the same."""
-    n = small_count(terms)
+    """Replace whole words of cleaned text, in any letter case, by their full forms, from a table
+    (short, full) with one row per short form; a repeated short form is refused. For a handful of
+    rules the expression ``expand_abbrev`` does the same. ``large`` as in ``remove_stopwords``."""
+    terms = terms.select(F.lower("short").alias("short"), "full")
+    twice = terms.groupBy("short").count().where("count > 1").select("short").first()
+    if twice:
+        raise ValueError(f"two full forms for {twice.short!r}")
+    n = None if large else small_count(terms)
     if n is not None:
         table = word_table(terms, "short", "full", n)
         words = F.transform(
-            F.split(text, " "), lambda w: F.coalesce(find(F.col("term_table"), w, n), w)
+            F.split(text, " "), lambda w: F.coalesce(find(F.col("term_table"), F.lower(w), n), w)
         )
         return (
             df.select("*", table.alias("term_table"))
             .withColumn(text, F.array_join(words, " "))
             .drop("term_table")
         )
-    rows = df.select(key, F.posexplode(F.split(text, " ")).alias("pos", "short"))
-    matched = lookup_join(rows, terms.select("short", "full"), ["short"], "left")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("full", "short").alias("w"))))
-    joined = matched.groupBy(key).agg(
+    stored = numbered(df)
+    rows = stored.select(ROW, F.posexplode(F.split(text, " ")).alias("pos", "word"))
+    rows = rows.withColumn("short", F.lower("word"))
+    matched = salted_join(rows, terms, ["short"], "left")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("full", "word").alias("w"))))
+    joined = matched.groupBy(ROW).agg(
         F.array_join(F.transform(ordered, lambda e: e["w"]), " ").alias("full_text")
     )
-    return df.drop(text).join(joined, key, "left").withColumnRenamed("full_text", text).select(
+    return stored.drop(text).join(joined, ROW, "left").withColumnRenamed("full_text", text).select(
         *df.columns
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from aspectra.functions.text import tokenize
-from aspectra.operators.lookup import MAX_ENTRIES, find, word_table
+from aspectra.operators.lookup import ROW, find, numbered, salted_join, small_count, word_table
 from aspectra.operators.tokens import token_counts, top_words
 
 PAD_ID = 0
@@ -18,39 +18,53 @@ def build_vocab(df: DataFrame, size: int, text: str = "text") -> DataFrame:
 
     The ranking window runs over the ``size`` kept words only, never over the corpus.
     """
-    if not 0 < size <= MAX_ENTRIES:
-        raise ValueError(f"vocabulary size must be between 1 and {MAX_ENTRIES}")
+    if size < 1:
+        raise ValueError("vocabulary size must be positive")
     kept = top_words(token_counts(df, text), size)
     rank = F.row_number().over(Window.orderBy(F.desc("count"), "word"))
     return kept.select("word", "count", (rank + FIRST_WORD_ID - 1).alias("id"))
 
 
 def encode(
-    df: DataFrame,
-    vocab: DataFrame,
-    max_len: int,
-    vocab_size: int = MAX_ENTRIES,
-    text: str = "text",
+    df: DataFrame, vocab: DataFrame, max_len: int, text: str = "text", large: bool = False
 ) -> DataFrame:
     """Add ``ids`` and ``mask``, both ``max_len`` long, and the uncut word count ``n_tokens``.
 
-    ``vocab`` is (word, id) of at most ``vocab_size`` rows, as made by ``build_vocab``.
+    ``vocab`` is (word, id), one row per word, as made by ``build_vocab``; it is read twice, so pass a
+    stored table. Within the bounds of a word table, the ids are looked up in place; beyond, or with
+    ``large``, the first ``max_len`` words of each row are joined to it. The rows are the same.
     """
-    table = word_table(vocab, "word", "id", vocab_size)
-    ids = F.transform(
-        F.slice("tokens", 1, max_len),
-        lambda w: F.coalesce(find(F.col("vocab_table"), w, vocab_size), F.lit(UNKNOWN_ID)),
-    )
-    room = F.greatest(F.lit(max_len) - F.col("n_tokens"), F.lit(0))
-    positions = F.sequence(F.lit(1), F.lit(max_len))
-    return (
-        df.select("*", tokenize(F.col(text)).alias("tokens"), table.alias("vocab_table"))
-        .withColumn("n_tokens", F.size("tokens"))
-        .withColumns(
+    vocab = vocab.select("word", "id")
+    n = None if large else small_count(vocab)
+    words = F.slice(tokenize(F.col(text)), 1, max_len)
+    if n is None:
+        stored = numbered(df)
+        rows = stored.select(ROW, F.posexplode(words).alias("pos", "word"))
+        found = salted_join(rows, vocab, ["word"], "left")
+        entry = F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
+        listed = found.groupBy(ROW).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        coded = stored.join(listed, ROW, "left").withColumns(
             {
-                "ids": F.concat(ids, F.array_repeat(F.lit(PAD_ID), room)),
-                "mask": F.transform(positions, lambda i: (i <= F.col("n_tokens")).cast("int")),
+                "n_tokens": F.size(tokenize(F.col(text))),
+                "ids": F.coalesce(F.transform("entries", lambda e: e["id"]), F.when(F.col(text).isNotNull(), F.array().cast("array<int>"))),
             }
+        ).select(*df.columns, "n_tokens", "ids")
+    else:
+        table = word_table(vocab, "word", "id", n)
+        ids = F.transform(
+            F.slice("tokens", 1, max_len),
+            lambda w: F.coalesce(find(F.col("vocab_table"), w, n), F.lit(UNKNOWN_ID)),
         )
-        .drop("tokens", "vocab_table")
+        coded = (
+            df.select("*", tokenize(F.col(text)).alias("tokens"), table.alias("vocab_table"))
+            .withColumns({"n_tokens": F.size("tokens"), "ids": ids})
+            .drop("tokens", "vocab_table")
+        )
+    room = F.greatest(F.lit(max_len) - F.col("n_tokens"), F.lit(0))
+    positions = F.sequence(F.lit(1), F.lit(max_len))
+    return coded.withColumns(
+        {
+            "ids": F.concat("ids", F.array_repeat(F.lit(PAD_ID), room)),
+            "mask": F.transform(positions, lambda i: (i <= F.col("n_tokens")).cast("int")),
+        }
     )

@@ -31,16 +31,18 @@ def lower_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).withColumn("text", lower_text(F.col("text")))
 
 
-def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(review_id, text, n, odd_<aspect>, even_<aspect>)"""
+def keyword_counts(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """(review_id, text, n, odd_<aspect>, even_<aspect>), of the review_ids in ``only`` if given"""
+    docs = reviews(spark, sf_dir)
+    if only is not None:
+        docs = docs.join(only, "review_id", "left_semi")
 
     def mark(word, i):
         side = F.when(i % 2 == 0, "odd").otherwise("even")
         return F.when(word.isin(*KEYWORDS.values()), F.concat_ws(" ", side, word))
 
     marked = (
-        reviews(spark, sf_dir)
-        .withColumn("words", tokenize(lower_text(F.col("text"))))
+        docs.withColumn("words", tokenize(lower_text(F.col("text"))))
         .withColumn("marks", F.filter(F.transform("words", mark), lambda m: m.isNotNull()))
     )
 
@@ -159,7 +161,9 @@ def rated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("review_id"), F.col("embedding").alias("vec")
     )
-    return vecs.join(truth(spark, sf_dir).drop("text"), "review_id")
+    # Only reviews that have a vector are rated.
+    counts = keyword_counts(spark, sf_dir, vecs.select("review_id"))
+    return vecs.join(counts.select("review_id", *_scores(counts, "odd")), "review_id")
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.util import inheritable_thread_target
 
-from aspectra.functions.labels import argmax_class, pad, softmax
+from aspectra.functions.labels import argmax_class, checked_class, pad, softmax
 from aspectra.functions.text import tokenize
 from aspectra.operators.history import rank_variants
 from aspectra.operators.labels import aspect_rows
@@ -51,7 +51,7 @@ def fit_aspect_heads(
     num_features: int = 4096,
     max_iter: int = 20,
     reg_param: float = 0.01,
-    parallelism: int = 6,
+    parallelism: int = 2,
     aggregation_depth: int = 2,
 ) -> AspectModel:
     """TF-IDF features, computed once and shared, then one classifier per aspect.
@@ -59,14 +59,16 @@ def fit_aspect_heads(
     ``train`` holds prepared text and one score column per aspect. The features are stored in the
     shared folder, so that neither six fits nor a lost executor repeats the text work; each fit
     caches its own blocks of them. The fits are independent and run side by side, ``parallelism`` at
-    a time. Raise ``aggregation_depth`` on many executors, so that gradients are merged in more
+    a time, which is also how many copies of the features are in memory. A score outside the six
+    classes is refused. Raise ``aggregation_depth`` on many executors, so that gradients are merged in more
     steps before the driver.
     """
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
     idf = IDF(inputCol="tf", outputCol="features", minDocFreq=2)
     counted = tf.transform(_with_tokens(train.select(text, *aspects), text))
     features = PipelineModel(stages=[tf, idf.fit(counted)])
-    rows = materialise(features.stages[1].transform(counted).select("features", *aspects))
+    checked = [checked_class(F.col(a)).alias(a) for a in aspects]
+    rows = materialise(features.stages[1].transform(counted).select("features", *checked))
 
     def fit(aspect: str) -> LogisticRegressionModel:
         head = LogisticRegression(

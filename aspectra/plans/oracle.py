@@ -146,9 +146,7 @@ def raw_abbreviations() -> str:
 
 
 # Compounds.
-MINED = [
-    WORDS,
-    TOKENS,
+MINE = [
     "uni AS (SELECT word, count(*) AS n FROM tok GROUP BY word)",
     "seq AS (SELECT review_id, pos, word,"
     " lag(word) OVER (PARTITION BY review_id ORDER BY pos) AS prev FROM tok)",
@@ -161,6 +159,9 @@ MINED = [
 ]
 
 
+MINED = [WORDS, TOKENS, *MINE]
+
+
 def tagged(seq: str, name: str) -> str:
     return (
         f"{name} AS (SELECT s.review_id, s.pos, s.word,"
@@ -305,13 +306,11 @@ ORACLE = {
     + "SELECT review_id, coalesce(g.text, '') AS text FROM w LEFT JOIN g USING (review_id)",
     "prepare_text": cte(CLEAN) + "SELECT review_id, text FROM clean",
     "prepare_text_full": cte(
-        *MINED,
         CLEAN,
-        "ctok AS (SELECT review_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM"
+        "tok AS (SELECT review_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM"
         f" (SELECT review_id, regexp_extract_all(text, '{WORD}+') AS t FROM clean))",
-        "cseq AS (SELECT *, lag(word) OVER (PARTITION BY review_id ORDER BY pos) AS prev"
-        " FROM ctok)",
-        tagged("cseq", "tags"),
+        *MINE,
+        tagged("seq", "tags"),
         merged("tags"),
         "g AS (SELECT review_id, string_agg(compound, ' ' ORDER BY run) AS text FROM compounds"
         f" WHERE compound NOT IN ({STOPPED}) GROUP BY review_id)",
@@ -365,7 +364,10 @@ ORACLE = {
     )
     + "SELECT aspect, count(*) FILTER (t IS NOT NULL AND p IS NOT NULL) AS matched,"
     " count(*) FILTER (p IS NULL) AS missing_pred, count(*) FILTER (t IS NULL) AS missing_truth,"
-    " CAST(0 AS BIGINT) AS null_scores FROM j, (VALUES "
+    " CAST(0 AS BIGINT) AS null_scores,"
+    " (SELECT count(*) - count(DISTINCT review_id) FROM lt) AS duplicate_truth,"
+    " (SELECT count(*) - count(DISTINCT review_id) FROM pred) AS duplicate_pred"
+    " FROM j, (VALUES "
     + each("('{a}')")
     + ") AS v(aspect) GROUP BY aspect",
     "aligned_scores": cte(*RATED, TRUTH, PRED, MATCHED, TALLY, REPORT)
@@ -378,6 +380,19 @@ ORACLE = {
     "score_report": cte(*SCORED) + f"SELECT aspect, {ALL_METRICS} FROM report",
     "score_report_large": cte(LARGE_PAIRS, TALLY, REPORT)
     + f"SELECT aspect, {ALL_METRICS} FROM report",
+    "score_report_sparse": cte(
+        *RATED,
+        PAIRS.replace("pairs AS (", "every_pair AS ("),
+        f"pairs AS (SELECT * FROM every_pair WHERE aspect <> '{ASPECTS[1]}')",
+        TALLY,
+        REPORT,
+        "full_report AS (SELECT v.aspect, coalesce(precision, 0) AS precision,"
+        " coalesce(recall, 0) AS recall, coalesce(f1_score, 0) AS f1_score,"
+        " coalesce(r2_score, 1) AS r2_score, coalesce(final_score, 0) AS final_score"
+        " FROM (VALUES " + each("('{a}')") + ") AS v(aspect) LEFT JOIN report USING (aspect))",
+    )
+    + f"SELECT aspect, {ALL_METRICS} FROM full_report UNION ALL"
+    f" SELECT 'mean' AS aspect, {ALL_MEANS} FROM full_report",
     "macro_report": cte(*SCORED) + f"SELECT {ALL_MEANS} FROM report",
     "head_loss": cte(*RATED, HEADS, CLASSES, PROBS)
     + f"SELECT aspect, {r6('avg(nll)')} AS loss FROM p WHERE k = label GROUP BY aspect",
@@ -388,6 +403,8 @@ ORACLE = {
     + f"SELECT count(*) AS batches, {r6('avg(loss)')} AS loss FROM (SELECT b, sum(loss) AS loss"
     " FROM (SELECT review_id // 16 AS b, aspect, avg(nll) AS loss FROM p WHERE k = label"
     " GROUP BY ALL) GROUP BY b)",
+    "dense_ordinal": "SELECT doc_id AS review_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal"
+    " FROM documents",
     "concat_layers": cte(DIMS, LAYERS, LAST4)
     + vector_rows("doc_id, pos") + " (SELECT doc_id, pos, dim, x AS value FROM last4)",
     "pool_mean": cte(DIMS) + vector_rows("label")
@@ -410,3 +427,16 @@ ORACLE = {
     + f"SELECT run_id, epoch, {r6('mean_score')} AS mean_score, CAST(row_number() OVER"
     " (ORDER BY mean_score DESC, run_id) AS INT) AS place FROM best WHERE is_best",
 }
+
+# The way of large lists and the numbering of ids with gaps change no row.
+ORACLE |= {
+    "abbrev_expand_large": ORACLE["abbrev_expand"],
+    "stopword_filter_large": ORACLE["stopword_filter"],
+    "compound_tag_large": ORACLE["compound_tag"],
+    "sequence_encode_large": ORACLE["sequence_encode"],
+    "batch_mean_loss_gapped": cte(*RATED, HEADS, CLASSES, PROBS)
+    + f"SELECT count(*) AS batches, {r6('avg(loss)')} AS loss FROM (SELECT b, sum(loss) AS loss"
+    " FROM (SELECT n // 16 AS b, aspect, avg(nll) AS loss FROM (SELECT *,"
+    " dense_rank() OVER (ORDER BY review_id * 7 + 3) - 1 AS n FROM p WHERE k = label)"
+    " GROUP BY ALL) GROUP BY b)",
+}

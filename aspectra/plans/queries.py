@@ -138,10 +138,19 @@ def abbrev_expand(spark: SparkSession, sf: str) -> DataFrame:
     return fx.reviews(spark, sf).withColumn("text", X.clean_text(F.col("text"), rules=RULES))
 
 
+def rule_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(RULES.items()), "short string, full string")
+
+
 @query
 def abbrev_expand_table(spark: SparkSession, sf: str) -> DataFrame:
-    rules = spark.createDataFrame(list(RULES.items()), "short string, full string")
-    return prepare.prepare_text(fx.reviews(spark, sf), rules=rules)
+    return prepare.prepare_text(fx.reviews(spark, sf), rules=rule_table(spark))
+
+
+@query
+def abbrev_expand_large(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = prepare.prepare_text(fx.reviews(spark, sf), rules={})
+    return tokens.expand_terms(cleaned, rule_table(spark), large=True)
 
 
 @query
@@ -154,12 +163,22 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_counts(fx.lower_reviews(spark, sf))
 
 
+def stop_list(docs: DataFrame) -> DataFrame:
+    path = new_table_path(docs.sparkSession, "stop-words")
+    tokens.top_words(tokens.token_counts(docs), STOP_WORDS).select("word").write.text(path)
+    return read_word_list(docs.sparkSession, path)
+
+
 @query
 def stopword_filter(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.lower_reviews(spark, sf)
-    path = new_table_path(spark, "stop-words")
-    tokens.top_words(tokens.token_counts(docs), STOP_WORDS).select("word").write.text(path)
-    return tokens.remove_stopwords(docs, read_word_list(spark, path), keep=["is"])
+    return tokens.remove_stopwords(docs, stop_list(docs), keep=["is"])
+
+
+@query
+def stopword_filter_large(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.lower_reviews(spark, sf)
+    return tokens.remove_stopwords(docs, stop_list(docs), keep=["is"], large=True)
 
 
 def mined_lexicon(docs: DataFrame) -> DataFrame:
@@ -175,7 +194,16 @@ def compound_mine(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def compound_tag(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.lower_reviews(spark, sf)
-    tagged = compounds.tag_compounds(docs, mined_lexicon(docs))
+    return tag_rows(compounds.tag_compounds(docs, mined_lexicon(docs)))
+
+
+@query
+def compound_tag_large(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.lower_reviews(spark, sf)
+    return tag_rows(compounds.tag_compounds(docs, mined_lexicon(docs), large=True))
+
+
+def tag_rows(tagged: DataFrame) -> DataFrame:
     return tagged.select(
         "review_id",
         F.size("tokens").alias("n_tokens"),
@@ -198,7 +226,7 @@ def prepare_text(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def prepare_text_full(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.reviews(spark, sf)
-    lexicon = mined_lexicon(fx.lower_reviews(spark, sf))
+    lexicon = mined_lexicon(prepare.prepare_text(docs))
     return prepare.prepare_text(docs, lexicon, stop_words=list(fx.KEYWORDS.values()), keep=["is"])
 
 
@@ -209,9 +237,18 @@ def vocab_build(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sequence_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return coded_rows(spark, sf, large=False)
+
+
+@query
+def sequence_encode_large(spark: SparkSession, sf: str) -> DataFrame:
+    return coded_rows(spark, sf, large=True)
+
+
+def coded_rows(spark: SparkSession, sf: str, large: bool) -> DataFrame:
     docs = fx.lower_reviews(spark, sf)
-    words = vocab.build_vocab(docs, VOCAB_SIZE)
-    coded = vocab.encode(docs, words, MAX_LEN, VOCAB_SIZE)
+    words = materialise(vocab.build_vocab(docs, VOCAB_SIZE))
+    coded = vocab.encode(docs, words, MAX_LEN, large=large)
     return coded.select(
         "review_id",
         "n_tokens",
@@ -314,6 +351,14 @@ def score_report_large(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.score_report(fx.large_pairs(spark, sf)), *METRICS)
 
 
+@query
+def score_report_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """One aspect without any pair still has its row, and counts in the mean."""
+    report = metrics.score_report(fx.pairs(spark, sf).where(F.col("aspect") != ASPECTS[1]))
+    mean = metrics.macro_report(report).select(F.lit("mean").alias("aspect"), *METRICS)
+    return rounded(report.unionByName(mean), *METRICS)
+
+
 @query
 def macro_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.macro_report(metrics.score_report(fx.pairs(spark, sf))), *METRICS)
@@ -335,6 +380,19 @@ def batch_mean_loss(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(loss.batch_mean_loss(rows, size=16), "loss")
 
 
+@query
+def dense_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    return reviews_io.with_ordinal(fx.reviews(spark, sf).select("review_id"), "review_id")
+
+
+@query
+def batch_mean_loss_gapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids with gaps, numbered without them before batches are cut."""
+    rows = fx.head_rows(spark, sf).withColumn("review_id", F.col("review_id") * 7 + 3)
+    ids = reviews_io.with_ordinal(rows.select("review_id").distinct(), "review_id")
+    return rounded(loss.batch_mean_loss(rows.join(ids, "review_id"), size=16), "loss")
+
+
 # --- vectors, heads and model selection ----------------------------------------------------------
 
 
@@ -369,7 +427,8 @@ def pool_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def head_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rated = folds.train_val_test(fx.rated_vectors(spark, sf))
+    # Stored once: the split reads its rows twice.
+    rated = folds.train_val_test(materialise(fx.rated_vectors(spark, sf)))
     fitted = heads.fit_mean_heads(rated.where(F.col("split") == "train"))
     everything = fx.vectors(spark, sf).withColumnRenamed("vec_id", "review_id")
     scored = heads.head_classes(heads.score_heads(everything, fitted), "review_id", fitted)
@@ -379,7 +438,11 @@ def head_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf: str):
-    data = materialise(prepare.prepare_text(folds.train_val_test(fx.truth(spark, sf))))
+    # A folder per split, so that the fit reads the columns and rows it needs.
+    path = new_table_path(spark, "prepared")
+    prepared = prepare.prepare_text(folds.train_val_test(fx.truth(spark, sf)))
+    reviews_io.write_splits(prepared, path, "parquet")
+    data = spark.read.parquet(path)
     return models.fit_aspect_heads(data.where(F.col("split") == "train")), data
 
 

@@ -25,9 +25,9 @@ CLASSES = 6
 METRICS = ("precision", "recall", "f1_score", "r2_score", "final_score")
 
 
-def review_schema(aspects=ASPECTS, id_col: str | None = None) -> T.StructType:
+def review_schema(aspects=ASPECTS, id_col: str | None = None, score=T.IntegerType()) -> T.StructType:
     """Explicit schema of a wide review table, so that no inference pass is needed."""
     fields = [T.StructField(id_col, T.LongType())] if id_col else []
     fields.append(T.StructField("review", T.StringType()))
-    fields += [T.StructField(a, T.IntegerType()) for a in aspects]
+    fields += [T.StructField(a, score) for a in aspects]
     return T.StructType(fields)

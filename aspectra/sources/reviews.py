@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from aspectra.schema import ASPECTS, review_schema
+from aspectra.session import new_table_path
 
 # Reviews hold line breaks, quotes and leading blanks; the reader and the writer must agree on how
-# these are kept. A null is written as \N so that an empty text stays an empty text.
+# these are kept. A null is written as \N so that an empty text stays an empty text; a text of
+# backslashes and one N is written with one backslash more.
 CSV_OPTIONS = {
     "header": "true",
     "quote": '"',
@@ -29,21 +31,34 @@ def read_reviews(
     """Wide reviews: ``review`` and one score column per aspect, with an explicit schema.
 
     CSV columns are taken by position (text first, then the scores in aspect order), whatever the
-    header calls them; an ``id_col`` comes before the text. A quoted line break makes a CSV file
-    one task, so keep large tables as many files or as parquet.
+    header calls them; an ``id_col`` comes before the text. Scores may be written as ``3`` or
+    ``3.0``. A fraction, a value that is no number and a row with a column too few or too many end
+    the job, so that no label is lost unseen. A quoted line break makes a CSV file one task, so keep
+    large tables as many files or as parquet.
     """
     schema = review_schema(aspects, id_col)
     if fmt == "parquet":
         return spark.read.parquet(*([path] if isinstance(path, str) else path)).select(
             *schema.fieldNames()
         )
-    return (
-        spark.read.schema(schema)
+    raw = (
+        spark.read.schema(review_schema(aspects, id_col, T.DoubleType()))
         .options(**CSV_OPTIONS)
         .option("multiLine", "true")
         .option("enforceSchema", "true")
+        .option("mode", "FAILFAST")
+        # Every column is parsed, so that a bad row is seen whatever is selected.
+        .option("columnPruning", "false")
         .csv(path)
     )
+    text = F.regexp_replace("review", r"\A\\(\\+N)\z", "$1")
+    return raw.withColumns({"review": text} | {a: _whole(a) for a in aspects})
+
+
+def _whole(score: str) -> Column:
+    c = F.col(score)
+    wrong = F.raise_error(F.concat(F.lit(f"{score} is not a whole number: "), c.cast("string")))
+    return F.when(c.isNull() | (c == F.floor(c)), c.cast("int")).otherwise(wrong.cast("int"))
 
 
 def with_review_id(df: DataFrame) -> DataFrame:
@@ -51,6 +66,26 @@ def with_review_id(df: DataFrame) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("review_id"), *df.columns)
 
 
+def with_ordinal(df: DataFrame, order_by: str, ordinal: str = "ordinal", parts: int | None = None) -> DataFrame:
+    """Number rows 0, 1, 2, ... in the order of a column, ties in no fixed order, nulls first.
+
+    Rows are stored by ranges of the column; one count per range, summed in order, gives each range
+    its first number. ``parts`` ranges (as many as shuffle partitions if None), whatever the rows.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_table_path(spark, "ordinal")
+    ranged = df.repartitionByRange(parts, order_by, F.rand(0)).withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order_by)) - 1
+    numbered = rows.withColumn("_place", place).join(F.broadcast(starts), "_range")
+    return numbered.select(*df.columns, (F.col("_start") + F.col("_place")).alias(ordinal))
+
+
 def write_reviews(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
     _write(df, path, fmt, mode)
 
@@ -79,4 +114,10 @@ def _write(df: DataFrame, path: str, fmt: str, mode: str, *partitions: str) -> N
     if fmt == "parquet":
         writer.parquet(path)
     else:
+        for name, kind in df.dtypes:
+            if kind == "string" and name not in partitions:
+                df = df.withColumn(name, F.regexp_replace(name, r"\A(\\+N)\z", r"\\$1"))
+        writer = df.write.mode(mode)
+        if partitions:
+            writer = writer.partitionBy(*partitions)
         writer.options(**CSV_OPTIONS).option("quoteAll", "true").csv(path)

@@ -29,6 +29,38 @@ def test_csv_with_source_headers(spark, tmp_path):
     assert io.with_review_id(df).select("review_id").distinct().count() == 3
 
 
+def _csv(tmp_path, *lines):
+    path = tmp_path / f"{len(list(tmp_path.iterdir()))}.csv"
+    path.write_text(",".join([TEXT_HEADER, *ASPECT_HEADERS]) + "\n" + "\n".join(lines) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_csv_scores_as_numbers(spark, tmp_path):
+    df = io.read_reviews(spark, _csv(tmp_path, "good,3.0,0,1.0,2,3,4", "bad,\\N,0,1,2,3,4"))
+    assert [tuple(r)[1:3] for r in df.orderBy("review").collect()] == [(None, 0), (3, 0)]
+    assert df.dtypes[1:] == [(a, "int") for a in ASPECTS]
+    for line in ("x,3.5,0,1,2,3,4", "x,3,0,1", "x,3,0,1,2,3,four", "x,1,2,3,4,5,6,7"):
+        with pytest.raises(Exception):
+            io.read_reviews(spark, _csv(tmp_path, "fine,1,1,1,1,1,1", line)).select("review", "shopping").collect()
+            io.read_reviews(spark, _csv(tmp_path, "fine,1,1,1,1,1,1", line)).collect()
+
+
+def test_null_marks_survive(spark, tmp_path):
+    texts = ["\\N", "\\\\N", None, "", "a\\N", "\\N\n"]
+    df = spark.createDataFrame([(i, t, *[1] * 6) for i, t in enumerate(texts)], io.review_schema(ASPECTS, "review_id"))
+    io.write_reviews(df, str(tmp_path / "marks"))
+    back = io.read_reviews(spark, str(tmp_path / "marks"), id_col="review_id")
+    assert [r.review for r in back.orderBy("review_id").collect()] == texts
+
+
+def test_ordinals_are_dense(spark):
+    df = spark.range(1000).select((F.col("id") * 13 % 1009).alias("k"), "id").repartition(5)
+    rows = io.with_ordinal(df, "k").orderBy("k").collect()
+    assert [r.ordinal for r in rows] == list(range(1000)) and rows[0].asDict().keys() == {"k", "id", "ordinal"}
+    hot = io.with_ordinal(spark.range(500).select((F.col("id") % 2).alias("k")), "k")
+    assert sorted(r.ordinal for r in hot.collect()) == list(range(500))
+
+
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_splits_round_trip(spark, sf, tmp_path, fmt):
     truth = fx.truth(spark, sf).withColumnRenamed("text", "review")

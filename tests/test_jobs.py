@@ -151,12 +151,47 @@ def test_encode(spark):
     )
     words = vocab.build_vocab(docs, 2)
     assert [(r.word, r.id) for r in words.orderBy("id").collect()] == [("b", 2), ("a", 3)]
-    rows = vocab.encode(docs, words, max_len=4, vocab_size=2).orderBy("review_id").collect()
+    rows = vocab.encode(docs, words, max_len=4).orderBy("review_id").collect()
     assert [r.ids for r in rows] == [[2, 3, 2, 1], [0, 0, 0, 0], [1, 2, 0, 0], [2, 2, 2, 2]]
     assert [r["mask"] for r in rows] == [[1, 1, 1, 1], [0, 0, 0, 0], [1, 1, 0, 0], [1, 1, 1, 1]]
     assert [r.n_tokens for r in rows] == [4, 0, 2, 6]
-    with pytest.raises(ValueError):
-        vocab.build_vocab(docs, lookup.MAX_ENTRIES + 1)
+    odd = docs.union(spark.createDataFrame([(None, "b q"), (1, "a"), (9, None)], "review_id long, text string"))
+    both = [vocab.encode(odd, words, max_len=4, large=large) for large in (False, True)]
+    assert both[0].columns == both[1].columns
+    assert sorted(map(repr, both[0].collect())) == sorted(map(repr, both[1].collect()))
+    assert vocab.build_vocab(docs, lookup.MAX_ENTRIES + 1).count() == 4
+
+
+def test_large_lists_give_the_same_rows(spark):
+    """Null and repeated keys, null and empty texts, on both sides of the bounds."""
+    docs = spark.createDataFrame(
+        [(1, "the cat of york"), (1, "the dog"), (None, "the new york"), (None, None), (2, ""), (3, "the")],
+        "review_id long, text string",
+    )
+    words = spark.createDataFrame([("the",), ("zebra",)], "word string")
+    lexicon = spark.createDataFrame([("new", "york"), ("the", "cat")], "first string, second string")
+    terms = spark.createDataFrame([("THE", "this"), ("york", "York City")], "short string, full string")
+    raw = docs.withColumn("text", F.initcap("text"))
+    for run in (
+        lambda large: tokens.remove_stopwords(docs, words, large=large),
+        lambda large: compounds.tag_compounds(docs, lexicon, large=large),
+        lambda large: tokens.expand_terms(raw, terms, large=large),
+    ):
+        small, large = run(False), run(True)
+        assert small.columns == large.columns
+        assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))
+    with pytest.raises(ValueError, match="two full forms"):
+        tokens.expand_terms(docs, terms.union(spark.createDataFrame([("the", "x")], terms.schema)))
+
+
+def test_mining_counts_beyond_a_long_product(spark, monkeypatch):
+    def scaled(counts):
+        return counts.withColumn("count", F.col("count") * 10**11)
+
+    monkeypatch.setattr(compounds, "materialise", scaled)
+    docs = spark.createDataFrame([(1, "a b a b c")], "review_id long, text string")
+    mined = compounds.mine_compounds(docs, 1, None).where("first = 'a'").first()
+    assert mined.pmi == pytest.approx(np.log(2 * 5 / 4))
 
 
 def test_vectors(spark):
@@ -198,5 +233,10 @@ def test_mean_heads(spark):
         r.review_id: r.pred
         for r in heads.head_classes(scored, "review_id", fitted).where("aspect = 'food'").collect()
     }
+    with pytest.raises(Exception, match="out of range"):
+        heads.fit_mean_heads(df.withColumn("food", F.lit(7)))
+    uneven = df.withColumn("vec", F.when(F.col("review_id") == 5, F.array(F.lit(1.0))).otherwise(F.col("vec")))
+    with pytest.raises(Exception, match="3 components"):
+        heads.score_heads(uneven, fitted).collect()
     nearest = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert [got[i] for i in range(60)] == nearest.tolist()

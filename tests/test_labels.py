@@ -42,7 +42,7 @@ def test_align_counts_missing_and_null_rows(spark):
     truth = spark.createDataFrame([(1, 1, 1, 1, 1, 1, None), (2, 0, 0, 0, 0, 0, 0)], WIDE)
     pred = spark.createDataFrame([(1, 1, 1, 1, 1, 1, 1), (3, 0, 0, 0, 0, 0, 0)], WIDE)
     aligned = metrics.align(truth, pred)
-    report = {r.aspect: tuple(r)[1:] for r in metrics.align_report(aligned).collect()}
+    report = {r.aspect: tuple(r)[1:5] for r in metrics.align_report(aligned).collect()}
     assert report["food"] == (1, 1, 1, 0)
     assert report["shopping"] == (1, 1, 1, 1)
     assert metrics.matched_pairs(aligned).count() == 5
@@ -118,3 +118,31 @@ def test_best_epoch_is_the_last_strict_improvement(spark):
     assert [r.is_best for r in best] == [False, True, False, False, True, False]
     ranked = history.rank_variants(df).orderBy("place").collect()
     assert [(r.run_id, r.epoch, r.place) for r in ranked] == [("b", 0, 1), ("a", 1, 2)]
+
+
+def test_reports_hold_every_aspect(spark):
+    pairs = spark.createDataFrame([("food", 3, 4), ("food", 0, 0)], "aspect string, truth int, pred int")
+    report = {r.aspect: r for r in metrics.score_report(pairs).collect()}
+    assert set(report) == set(ASPECTS)
+    assert tuple(report["lodging"])[1:] == (0, 0, 0, 1, 0)
+    mean = metrics.macro_report(metrics.score_report(pairs)).first()
+    assert mean.final_score == pytest.approx(report["food"].final_score / 6)
+    grouped = pairs.withColumn("epoch", F.lit(None).cast("int"))
+    assert metrics.score_report(grouped, ("epoch", "aspect")).count() == 6
+    assert metrics.pair_counts(pairs, aspects=None).count() == 1
+
+
+def test_align_counts_repeated_keys(spark):
+    row = (1, 1, 1, 1, 1, 1)
+    truth = spark.createDataFrame([(1, *row), (1, *row), (2, *row), (2, *row), (None, *row), (None, *row)], WIDE)
+    pred = spark.createDataFrame([(1, *row), (1, *row), (1, *row), (3, *row)], WIDE)
+    report = {r.aspect: r for r in metrics.align_report(metrics.align(truth, pred)).collect()}["food"]
+    assert (report.matched, report.missing_pred, report.missing_truth) == (6, 4, 1)
+    assert (report.duplicate_truth, report.duplicate_pred) == (2, 2)
+
+
+@pytest.mark.parametrize("score", [7, -1])
+def test_scores_out_of_range_are_refused(spark, score):
+    wide = spark.createDataFrame([(1, score, 1, 1, 1, 1, 1)], WIDE)
+    with pytest.raises(Exception, match="out of range"):
+        labels.one_hot(wide).collect()

@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from aspectra.plans.oracle import ORACLE
+from aspectra.plans.queries import QUERIES
 from compare import open_tables, spark_rows, sql_rows
 
-SQL = entry.oracle_sql()
+SQL = ORACLE
 NO_SQL = {"aspect_heads", "batch_predict"}
 
 # Spark type -> SQL type.
@@ -24,13 +26,14 @@ def tables(sf):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) - set(SQL) == NO_SQL
-    assert set(SQL) <= set(entry.queries())
+    assert set(QUERIES) - set(SQL) == NO_SQL
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, sf, tables, name):
-    df = entry.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     described = {r[0]: r[1] for r in tables.execute(f"DESCRIBE {SQL[name]}").fetchall()}
     assert {c: TYPES[t] for c, t in df.dtypes} == described
     got, expected = spark_rows(df), sql_rows(tables, SQL[name])

@@ -2,9 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from aspectra.operators import metrics
 from aspectra.plans import fixtures as fx
+from aspectra.plans.queries import QUERIES
 
 NARROW = [
     "text_lower", "text_punct", "text_numbers", "text_allowlist", "abbrev_expand",
@@ -32,9 +32,9 @@ def plan(df, subqueries=True):
     return "\n".join(lines)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_pickled_python(spark, sf, name):
-    text = plan(entry.queries()[name](spark, sf))
+    text = plan(QUERIES[name](spark, sf))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert node not in text
     if name != "head_scores":
@@ -45,13 +45,13 @@ def test_no_cross_join_and_no_pickled_python(spark, sf, name):
 def test_reviews_are_not_shuffled(spark, sf, name, monkeypatch):
     # Small test files are spread over the cores first; that is not part of the operator.
     monkeypatch.setattr(fx, "spread", lambda df, key: df)
-    assert "Exchange hashpartitioning" not in plan(entry.queries()[name](spark, sf), subqueries=False)
+    assert "Exchange hashpartitioning" not in plan(QUERIES[name](spark, sf), subqueries=False)
 
 
 def test_scans_read_only_needed_columns(spark, sf):
-    text = plan(entry.queries()["token_counts"](spark, sf))
+    text = plan(QUERIES["token_counts"](spark, sf))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text or "struct<text:string>" in text
-    text = plan(entry.queries()["score_report_large"](spark, sf))
+    text = plan(QUERIES["score_report_large"](spark, sf))
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in text
 
 
