@@ -24,5 +24,72 @@ WITH doc AS (
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
   sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM doc d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op2_minhash_near_dedup": r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+  ) AS ws FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END
+  ) AS s FROM doc
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), sized AS (
+  SELECT doc_id, n, hash(s) AS h FROM shingle JOIN size USING (doc_id)
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sized a JOIN sized b
+    ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), step AS (
+  SELECT a AS x, b AS y FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, s.y FROM reach r JOIN step s ON s.x = r.y
+)
+SELECT d.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(r.y) AS component_id, d.doc_id = min(r.y) AS kept
+FROM documents d JOIN reach r ON r.x = d.doc_id LEFT JOIN size z ON z.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op7_kd_tree_search": r"""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256::DOUBLE * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id,
+  CAST(row_number() OVER (PARTITION BY q.r ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) AS INT) AS rank,
+  c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e)
+WHERE q.vec_id % 50 = 0
+QUALIFY rank <= 5
+""",
+    "op8_source_mixing": r"""
+WITH doc AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS total, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM doc GROUP BY source
+), weighed AS (
+  SELECT *, [5, 2, 1][i % 3 + 1] AS w, 2 * total AS most FROM src
+), levelled AS (
+  SELECT *, row_number() OVER lv AS k,
+    sum(total) OVER () * 150 - 100 * coalesce(sum(most) OVER (ORDER BY most::DOUBLE / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left100,
+    sum(w) OVER (ORDER BY most::DOUBLE / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wt
+  FROM weighed WINDOW lv AS (ORDER BY most::DOUBLE / w, i)
+), open AS (
+  SELECT k, left100, wt FROM levelled WHERE most::DOUBLE * 100 * wt::DOUBLE > w::DOUBLE * left100::DOUBLE ORDER BY k LIMIT 1
+), aim AS (
+  SELECT l.source, l.total, CASE WHEN o.k IS NULL OR l.k < o.k THEN l.most::DOUBLE
+    ELSE l.w::DOUBLE * o.left100::DOUBLE / (100.0::DOUBLE * o.wt::DOUBLE) END AS target
+  FROM levelled l LEFT JOIN open o ON true
+), rated AS (
+  SELECT d.doc_id, d.size, a.total AS source_size, a.target, CASE WHEN a.total > 0 THEN a.target / a.total ELSE 0::DOUBLE END AS rate,
+    ('0x' || md5('mix:' || coalesce(d.doc_id::VARCHAR, ''))[1:8])::BIGINT / 4294967296::DOUBLE AS u
+  FROM doc d JOIN aim a ON a.source IS NOT DISTINCT FROM d.source
+), taken AS (
+  SELECT *, least(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END, 2)::BIGINT AS copies FROM rated
+)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM taken
 """,
 }
