@@ -30,7 +30,7 @@ DEPTH = 5
 #: Entries of the tables that every task holds; the rest of the grams and words is joined.
 GRAMS, WORDS = 1 << 20, 1 << 18
 #: Counted keys a task holds before it passes them on.
-HELD = 1 << 21
+HELD = 1 << 20
 SPACE, END = 0x20, 0x0A
 _GRAM, _WORD, _TEXT = 0, 1, 2
 
@@ -206,16 +206,18 @@ class _Counter:
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.size = self.fresh = 0
 
     def add(self, keys: np.ndarray, trained: np.ndarray) -> None:
         keys, of = np.unique(keys, return_inverse=True)
         self.parts.append((keys, np.bincount(of, weights=trained, minlength=len(keys)).astype(np.int64), np.bincount(of, minlength=len(keys))))
         self.size += len(keys)
-        if len(self.parts) >= 16:
+        self.fresh += len(keys)
+        if self.fresh >= HELD:
             self.merge()
 
     def merge(self) -> None:
+        self.fresh = 0
         if len(self.parts) > 1:
             keys, of = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
             sums = [np.bincount(of, weights=np.concatenate([p[i] for p in self.parts]), minlength=len(keys)).astype(np.int64) for i in (1, 2)]
