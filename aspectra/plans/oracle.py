@@ -225,6 +225,16 @@ CENTRES = [
     " GROUP BY ALL)",
     "logit AS (SELECT vec_id, aspect, k, d + b AS z FROM dots JOIN bias USING (aspect, k))",
 ]
+FULL_REPORT = (
+    "full_report AS (SELECT v.aspect, coalesce(precision, 0) AS precision,"
+    " coalesce(recall, 0) AS recall, coalesce(f1_score, 0) AS f1_score,"
+    " coalesce(r2_score, 1) AS r2_score, coalesce(final_score, 0) AS final_score"
+    " FROM (VALUES " + each("('{a}')") + ") AS v(aspect) LEFT JOIN report USING (aspect))"
+)
+WITH_MEAN = (
+    f"SELECT aspect, {ALL_METRICS} FROM full_report UNION ALL"
+    f" SELECT 'mean' AS aspect, {ALL_MEANS} FROM full_report"
+)
 LARGE_PAIRS = "pairs AS (" + " UNION ALL ".join(
     f"SELECT '{a}' AS aspect, (l_orderkey * 7 + l_linenumber * {i + 1}) % 6 AS truth,"
     f" (l_orderkey * 5 + l_linenumber * {i + 2}) % 6 AS pred FROM lineitem"
@@ -386,13 +396,25 @@ ORACLE = {
         f"pairs AS (SELECT * FROM every_pair WHERE aspect <> '{ASPECTS[1]}')",
         TALLY,
         REPORT,
-        "full_report AS (SELECT v.aspect, coalesce(precision, 0) AS precision,"
-        " coalesce(recall, 0) AS recall, coalesce(f1_score, 0) AS f1_score,"
-        " coalesce(r2_score, 1) AS r2_score, coalesce(final_score, 0) AS final_score"
-        " FROM (VALUES " + each("('{a}')") + ") AS v(aspect) LEFT JOIN report USING (aspect))",
+        FULL_REPORT,
+    )
+    + WITH_MEAN,
+    "evaluate_heads": cte(
+        *RATED,
+        TRUTH,
+        DIMS,
+        *CENTRES,
+        "guess AS (SELECT vec_id AS review_id, aspect, k AS pred FROM logit QUALIFY row_number() OVER"
+        " (PARTITION BY vec_id, aspect ORDER BY z DESC, k) = 1)",
+        "held AS (" + each(
+            "SELECT review_id, '{a}' AS aspect, {a} AS truth FROM ranked WHERE g % 5 = 4", " UNION ALL "
+        ) + ")",
+        "pairs AS (SELECT aspect, truth, pred FROM held JOIN guess USING (review_id, aspect))",
+        TALLY,
+        REPORT,
+        FULL_REPORT,
     )
-    + f"SELECT aspect, {ALL_METRICS} FROM full_report UNION ALL"
-    f" SELECT 'mean' AS aspect, {ALL_MEANS} FROM full_report",
+    + WITH_MEAN,
     "macro_report": cte(*SCORED) + f"SELECT {ALL_MEANS} FROM report",
     "head_loss": cte(*RATED, HEADS, CLASSES, PROBS)
     + f"SELECT aspect, {r6('avg(nll)')} AS loss FROM p WHERE k = label GROUP BY aspect",

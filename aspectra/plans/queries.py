@@ -354,7 +354,10 @@ def score_report_large(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def score_report_sparse(spark: SparkSession, sf: str) -> DataFrame:
     """One aspect without any pair still has its row, and counts in the mean."""
-    report = metrics.score_report(fx.pairs(spark, sf).where(F.col("aspect") != ASPECTS[1]))
+    return with_mean(metrics.score_report(fx.pairs(spark, sf).where(F.col("aspect") != ASPECTS[1])))
+
+
+def with_mean(report: DataFrame) -> DataFrame:
     mean = metrics.macro_report(report).select(F.lit("mean").alias("aspect"), *METRICS)
     return rounded(report.unionByName(mean), *METRICS)
 
@@ -437,6 +440,17 @@ def head_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def evaluate_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Class-mean heads fitted on the training split, scored on the rest."""
+    rated = folds.train_val_test(materialise(fx.rated_vectors(spark, sf)))
+    fitted = heads.fit_mean_heads(rated.where(F.col("split") == "train"))
+    held = rated.where(F.col("split") != "train")
+    classes = heads.head_classes(heads.score_heads(held, fitted), "review_id", fitted)
+    wide = classes.groupBy("review_id").pivot("aspect", list(ASPECTS)).agg(F.first("pred"))
+    return with_mean(metrics.score_report(metrics.matched_pairs(metrics.align(held, wide))))
+
+
 def _fitted(spark: SparkSession, sf: str):
     # A folder per split, so that the fit reads the columns and rows it needs.
     path = new_table_path(spark, "prepared")
