@@ -96,15 +96,14 @@ def test_near_awkward(odd):
     assert got[None][0].component_id is None and got[None][0].kept
 
 
-def test_near_rounds(spark, monkeypatch):
-    """Many members of one bucket: rounds of single partners reach the same components."""
-    monkeypatch.setattr(neighbours, "DENSE", 0)
+def test_near_one_large_group(spark):
+    """Many members of one bucket, most of them not linked to its hub."""
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = []
     for i in range(40):
         w = list(base)
-        for _ in range(rng.randrange(1, 6)):
+        for _ in range(rng.randrange(1, 9)):
             w[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     want = plain.near_components([plain.shingles(t, 2) for _, t in rows], 80)
