@@ -3,9 +3,13 @@
 Equal shingle sets are one class. Classes that share a band of their MinHash signature are candidates. A
 candidate pair compares its signatures batch by batch and is dropped once the posterior probability that its
 similarity reaches the threshold falls below the chosen miss probability; what is left is decided on the full
-sets. Within a band's bucket the pairs are taken in rounds: first every member with one member of the bucket,
-so that most of a group is linked, then only pairs whose ends are not yet in one component. No pair of the
-last round is left out, so the components are those of all candidate pairs.
+sets.
+
+A band's bucket may hold thousands of classes, so its pairs are not all listed. First every member meets the
+bucket's hub, the member that shares most buckets with others, which links most of a group. Members of buckets
+that still hold several components then meet by prefixes: in one order of all shingles, rare ones first, two
+sets of enough similarity share one of their first shingles, at places that still allow the overlap they need.
+This second way is exact, so the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from aspectra.session import materialise, new_table_path
 BANDS, ROWS = 40, 5
 #: Signature values compared before each look at the posterior.
 BATCH = 25
-#: Pairs still apart per member row of their buckets, above which another round of single partners is taken.
-DENSE = 4
+#: Counters of the shingle frequencies that order the prefixes.
+COUNTERS = 1 << 20
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -174,6 +178,46 @@ def _confirm(percent: int):
     return run, "a long, b long"
 
 
+def _slots(values: np.ndarray) -> np.ndarray:
+    return (mix(values) >> np.uint64(44)).astype(np.int64) % COUNTERS
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for items in batch.column("items"):
+            np.add.at(counts, _slots(np.frombuffer(items.as_buffer(), dtype=np.uint64)), 1)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, node, root, n, at): the first shingles of each set, rare ones first, and their places.
+
+    The order is by the count of a shingle's slot, then by the shingle itself, so it is one order for all sets;
+    the table of slots has COUNTERS entries whatever the input.
+    """
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    slots = sets.select("items").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, items in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("items")):
+                values = np.frombuffer(items.as_buffer(), dtype=np.uint64)
+                n = len(values)
+                first = n + (-percent * n // 100) + 1
+                values = values[np.lexsort((values, shared.value[_slots(values)]))[:first]]
+                k = len(values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values.view(np.int64)), *(pa.array(np.full(k, v, dtype=np.int64)) for v in (node, root, n)), pa.array(np.arange(k))],
+                    ["token", "node", "root", "n", "at"],
+                )
+
+    return _store(sets.mapInArrow(run, "token long, node long, root long, n long, at long"), "prefixes")
+
+
 def _store(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -204,9 +248,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     filled = rows.where("n_shingles > 0")
 
     bands = filled.select("node", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("bucket", "low")
+    shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("bucket")
     # Members of buckets of several classes: the candidates.
-    members = _store(bands.join(shared, "bucket").select("bucket", "node", "low").distinct(), "buckets")
+    members = _store(bands.join(shared, "bucket").select("bucket", "node").distinct(), "buckets")
 
     reps = (
         filled.select("node", "d", "tk").join(members.select("node").distinct(), "node")
@@ -234,34 +278,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    # Round 0: every member with the bucket's least class.
-    links = verified(members.where("node != low").select(*ordered("node", "low")).distinct(), "round0")
-    rnd, before = 0, -1
-    while True:
-        roots = materialise(components(links))
-        placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        per = (
-            placed.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket")
-            .agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"), F.max_by("root", "m").alias("top"))
-            .where("m * m > s")
-        )
-        apart, stored = per.agg(F.sum(F.col("m") * F.col("m") - F.col("s")) / 2, F.sum("m")).first()
-        linked = links.count()
-        if not apart or apart <= DENSE * stored or linked == before:
-            break
-        # Many pairs still apart: every member with one other member of its bucket, another one each time.
-        rnd, before = rnd + 1, linked
-        turn = F.xxhash64(F.lit(rnd), F.col("bucket"))
-        pick = placed.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("x")).select("bucket", F.col("x").bitwiseXOR(turn).alias("other"))
-        other = placed.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        pairs = placed.join(pick.join(other, ["bucket", "other"]), "bucket").where("root != other_root")
-        links = links.union(verified(pairs.select(*ordered("node", "other")).distinct(), f"round{rnd}"))
-    if apart:
-        # Every pair apart has an end outside the largest component of its bucket.
-        outside = placed.join(per.select("bucket", "top"), "bucket").where("root != top").select("bucket", "node", "root")
-        other = placed.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        pairs = outside.join(other, "bucket").where("root != other_root").select(*ordered("node", "other")).distinct()
-        roots = components(links.union(verified(pairs, "last")))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
+    met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("m").alias("met"))
+    hubs = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", "met").alias("hub"))
+    links = verified(members.join(hubs, "bucket").where("node != hub").select(*ordered("node", "hub")).distinct(), "hubs")
+    roots = materialise(components(links))
+
+    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    apart = _store(placed.join(split, "bucket").select("node", "root").distinct().join(sets, "node").select("node", "root", "items"), "apart")
+    starts = _prefixes(apart, percent)
+    one, two = (starts.select("token", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "root", "n", "at"))) for e in "ab")
+    # What two sets must share, and what they still can from these places on.
+    need = percent * (F.col("n_a") + F.col("n_b"))
+    reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + percent)
+    pairs = one.join(two, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (reach >= need))
+    more = verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "prefixes")
+    if not more.isEmpty():
+        roots = components(links.union(more))
 
     nodes = filled.groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
