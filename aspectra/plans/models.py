@@ -17,8 +17,9 @@ from aspectra.functions.labels import argmax_class, checked_class, pad, softmax
 from aspectra.functions.text import tokenize
 from aspectra.operators.history import rank_variants
 from aspectra.operators.labels import aspect_rows
+from aspectra.operators.loss import head_loss
 from aspectra.operators.metrics import macro_report, matched_pairs, score_report
-from aspectra.schema import ASPECTS
+from aspectra.schema import ASPECTS, METRICS
 from aspectra.session import materialise
 
 
@@ -63,12 +64,32 @@ def fit_aspect_heads(
     classes is refused. Raise ``aggregation_depth`` on many executors, so that gradients are merged in more
     steps before the driver.
     """
+    features, rows = fit_features(train, aspects, text, num_features)
+    return fit_heads(features, rows, aspects, max_iter, reg_param, parallelism, aggregation_depth)
+
+
+def fit_features(
+    train: DataFrame, aspects=ASPECTS, text: str = "text", num_features: int = 4096
+) -> tuple[PipelineModel, DataFrame]:
+    """The TF-IDF model and the stored (features, one column per aspect) of the training rows."""
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
     idf = IDF(inputCol="tf", outputCol="features", minDocFreq=2)
     counted = tf.transform(_with_tokens(train.select(text, *aspects), text))
     features = PipelineModel(stages=[tf, idf.fit(counted)])
     checked = [checked_class(F.col(a)).alias(a) for a in aspects]
-    rows = materialise(features.stages[1].transform(counted).select("features", *checked))
+    return features, materialise(features.stages[1].transform(counted).select("features", *checked))
+
+
+def fit_heads(
+    features: PipelineModel,
+    rows: DataFrame,
+    aspects=ASPECTS,
+    max_iter: int = 20,
+    reg_param: float = 0.01,
+    parallelism: int = 2,
+    aggregation_depth: int = 2,
+) -> AspectModel:
+    """One classifier per aspect over the rows of ``fit_features``."""
 
     def fit(aspect: str) -> LogisticRegressionModel:
         head = LogisticRegression(
@@ -81,7 +102,7 @@ def fit_aspect_heads(
         )
         return head.fit(rows.where(F.col(aspect).isNotNull()))
 
-    run = inheritable_thread_target(train.sparkSession)(fit)
+    run = inheritable_thread_target(rows.sparkSession)(fit)
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         heads = dict(zip(aspects, pool.map(run, aspects)))
     return AspectModel(features, heads)
@@ -174,27 +195,29 @@ def fit_best(
     key: str = "review_id",
 ) -> tuple[AspectModel, DataFrame]:
     """Fit every variant (settings of ``fit_aspect_heads``) for several numbers of passes and keep
-    the model with the best mean final score on ``val``, the earliest on ties.
+    the model with the best mean final score on ``val``, the earliest on ties. Features depend on a
+    variant's ``num_features`` alone and are made once for it.
 
-    Also returns the history (run_id, epoch, aspect, final_score), ready for ``best_epoch`` and
-    ``rank_variants``. Each fit leaves six rows; the reviews never reach the driver.
+    Also returns the history (run_id, epoch, aspect, train_loss, val_loss and the five metrics of
+    ``val``), ready for ``best_epoch`` and ``rank_variants``. Each fit leaves six rows; the reviews
+    never reach the driver.
     """
-    fits, reports = {}, []
+    fits, reports, made = {}, [], {}
     for run_id, settings in variants.items():
+        settings = dict(settings)
+        size = settings.pop("num_features", 4096)
+        if size not in made:
+            made[size] = fit_features(train, aspects, text, size)
         for epoch in epochs:
-            model = fit_aspect_heads(train, aspects, text, max_iter=epoch, **settings)
+            model = fit_heads(*made[size], aspects, max_iter=epoch, **settings)
             report, _ = evaluate(val, model, text, key)
+            for name, rows in (("train_loss", train), ("val_loss", val)):
+                losses = head_loss(loss_rows(rows, model, text, key)).withColumnRenamed("loss", name)
+                report = report.join(losses, "aspect", "left")
             fits[run_id, epoch] = model
-            reports.append(
-                materialise(
-                    report.select(
-                        F.lit(run_id).alias("run_id"),
-                        F.lit(epoch).alias("epoch"),
-                        "aspect",
-                        "final_score",
-                    )
-                )
-            )
+            columns = ["aspect", "train_loss", "val_loss", *METRICS]
+            run = report.select(F.lit(run_id).alias("run_id"), F.lit(epoch).alias("epoch"), *columns)
+            reports.append(materialise(run))
     history = reduce(DataFrame.unionByName, reports)
     best = rank_variants(history).where("place = 1").first()
     return fits[best.run_id, best.epoch], history

@@ -9,7 +9,7 @@ from aspectra import session
 from aspectra.operators import folds, history, loss
 from aspectra.plans import fixtures as fx, models
 from aspectra.plans.prepare import prepare_text
-from aspectra.schema import ASPECT_HEADERS, ASPECTS, TEXT_HEADER
+from aspectra.schema import ASPECT_HEADERS, ASPECTS, METRICS, TEXT_HEADER
 from aspectra.sources import reviews as io
 from aspectra.streaming.reviews import predict_stream, read_review_stream
 
@@ -137,6 +137,8 @@ def test_best_variant_is_kept(model_and_data):
     variants = {"narrow": {"num_features": 16}, "wide": {"num_features": 512}}
     best, runs = models.fit_best(train, val, variants, epochs=(1, 8))
     assert runs.count() == 2 * 2 * len(ASPECTS)
+    kept = runs.select("run_id", "epoch", "train_loss", "val_loss", *METRICS).collect()
+    assert all(0 < r.train_loss and 0 < r.val_loss for r in kept)
     ranked = {r.run_id: r.mean_score for r in history.rank_variants(runs).collect()}
     _, macro = models.evaluate(val, best)
     assert macro.first().final_score == pytest.approx(max(ranked.values()))
