@@ -7,7 +7,7 @@ symbols except near their borders. For each window the symbols that its own word
 it, are known by position arithmetic; the longest of these on the highest level that has any is its anchor.
 Equal windows have equal anchors, so only windows whose anchor name occurs again can repeat. Consecutive
 windows of one anchor are one row with a hash of all their words: if all rows of a name agree, they repeat
-in full; else their single windows are counted by a 128-bit hash.
+in full; else their single windows are counted by a 96-bit hash.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.words import Chunk, chunks, lists, mix
+from aspectra.llm.words import Chunk, chunks, lists, mix, rolling
 from aspectra.session import new_table_path
 
 #: Rounds of runs and pairs; symbols of four rounds have three words on average.
 ROUNDS = 4
 _POSITION = np.uint64(0xFFFFFFFF)
 _TAG = 0xFFFFFF
+#: States of a row of windows: known to repeat in full; to be compared window by window.
+_REPEATS, _OPEN = 1, 2
 
 
 def _compress(names: np.ndarray, row: np.ndarray, length: np.ndarray, lo: np.ndarray, hi: np.ndarray, rnd: int):
@@ -81,24 +83,6 @@ def _best(names: np.ndarray, length: np.ndarray, lo: np.ndarray, hi: np.ndarray)
     return (_POSITION - (out & _POSITION)).astype(np.int64)
 
 
-def _rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Hash of every k consecutive values, by doubling."""
-    out, have, power, width = None, 0, h, 1
-    while True:
-        if k & width:
-            if out is None:
-                out = power
-            else:
-                m = min(len(out), len(power) - have)
-                out = out[:m] + power[have : have + m] * np.uint64(pow(base, have, 1 << 64))
-            have += width
-        width *= 2
-        if width > k:
-            return mix(out)
-        m = len(power) - width // 2
-        power = power[: max(m, 0)] + power[width // 2 :] * np.uint64(pow(base, width // 2, 1 << 64))
-
-
 def _anchors(h: np.ndarray, row: np.ndarray, k: int):
     """Rows of consecutive windows that share an anchor: first word, windows, name, hash of all words."""
     if len(h) < k:
@@ -129,7 +113,7 @@ def _anchors(h: np.ndarray, row: np.ndarray, k: int):
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(first)))
     step = (np.arange(len(first)) - np.repeat(at, count)).astype(np.uint64)
-    window = _rolling(h, k, 0xD6E8FEB86659FD93)[first]
+    window = rolling(h, k, 0xD6E8FEB86659FD93)[first]
     whole = np.add.reduceat(mix(window + step * np.uint64(0xA24BAED4963EE407)), at)
     return first[at], count, name[at], mix(whole + count.astype(np.uint64))
 
@@ -205,8 +189,8 @@ def _resolve(k: int):
         [
             ("doc_id", pa.int64()), ("d", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()),
             ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()),
-            ("covered", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64())), ("h1", pa.list_(pa.int64())),
-            ("h2", pa.list_(pa.int64())),
+            ("covered", pa.binary()), ("windows", pa.list_(pa.int64())), ("h1", pa.list_(pa.int64())),
+            ("h2", pa.list_(pa.int32())),
         ]
     )
 
@@ -222,40 +206,40 @@ def _resolve(k: int):
                 sizes = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 flat = runs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 of = np.repeat(np.arange(m), sizes)
-                mixed, count, local = (flat & 1).astype(bool), (flat >> 1) & 63, (flat >> 7) & ((1 << 34) - 1)
+                state, count, local = flat & 3, (flat >> 2) & 63, flat >> 8
                 first = bounds[of] + local
-                gone = _cover(len(starts), first[~mixed], first[~mixed] + count[~mixed] + k - 1)
+                sure, compare = (state & _REPEATS) > 0, (state & _OPEN) > 0
+                gone = _cover(len(starts), first[sure], first[sure] + count[sure] + k - 1)
                 open_rows = np.zeros(m, dtype=bool)
-                open_rows[of[mixed]] = True
-                # Every window of the undecided rows, once.
-                many = count[mixed]
-                window = np.repeat(first[mixed], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+                open_rows[of[~sure]] = True
+                # Every window to compare, once.
+                many = count[compare]
+                window = np.repeat(first[compare], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
                 window = np.unique(window)
                 h = chunk.hashes(starts, ends) if len(window) else np.zeros(0, dtype=np.uint64)
-                one = _rolling(h, k, 0xD6E8FEB86659FD93)[window] if len(window) else h
-                two = _rolling(mix(h ^ np.uint64(0x5851F42D4C957F2D)), k, 0xCA5A826395121157)[window] if len(window) else h
+                one = rolling(h, k, 0xD6E8FEB86659FD93)[window] if len(window) else h
+                two = rolling(mix(h ^ np.uint64(0x5851F42D4C957F2D)), k, 0xCA5A826395121157)[window] if len(window) else h
                 per = np.bincount(row[window], minlength=m) if len(window) else np.zeros(m, dtype=np.int64)
                 dead = np.flatnonzero(gone)
                 removed = np.bincount(row[dead], minlength=m)
                 shas = _kept(chunk, starts, ends, row, gone)
-                shut = dead[~open_rows[row[dead]]]
-                keep = np.setdiff1d(dead, shut, assume_unique=True)
                 offset = bounds[:-1]
+                covered = [np.packbits(gone[bounds[i] : bounds[i + 1]]).tobytes() if o else None for i, o in enumerate(open_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("d"), part.column("tag"),
                         pa.array(np.diff(bounds), type=pa.int64()), pa.array(removed, type=pa.int64()),
                         pa.array(shas), pa.array([t if o else None for t, o in zip(part.column("text").to_pylist(), open_rows)], type=pa.string()) if open_rows.any() else pa.nulls(m, pa.string()),
-                        lists(pa.int64(), keep - offset[row[keep]], np.bincount(row[keep], minlength=m)),
+                        pa.array(covered, type=pa.binary()),
                         lists(pa.int64(), window - offset[row[window]], per),
-                        lists(pa.int64(), one.view(np.int64), per), lists(pa.int64(), two.view(np.int64), per),
+                        lists(pa.int64(), one.view(np.int64), per), lists(pa.int32(), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), per),
                     ],
                     schema=schema,
                 )
 
     return run, (
         "doc_id long, d long, tag long, n_words long, n_removed long, kept_sha256 string, text string, "
-        "covered array<long>, windows array<long>, h1 array<long>, h2 array<long>"
+        "covered binary, windows array<long>, h1 array<long>, h2 array<int>"
     )
 
 
@@ -276,8 +260,8 @@ def _finish(k: int):
                 of, at = flat(part.column("again"))
                 first = bounds[of] + at
                 gone = _cover(len(starts), first, first + k)
-                of, at = flat(part.column("covered"))
-                gone[bounds[of] + at] = True
+                for i, bits in enumerate(part.column("covered").to_pylist()):
+                    gone[bounds[i] : bounds[i + 1]] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=bounds[i + 1] - bounds[i]).astype(bool)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("n_words"),
@@ -290,6 +274,12 @@ def _finish(k: int):
     return run, "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def _store(df: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def remove_repeats(docs: DataFrame, k: int = 35) -> DataFrame:
     """Words left in each document once every window of ``k`` words that occurs elsewhere is removed.
 
@@ -311,31 +301,42 @@ def remove_repeats(docs: DataFrame, k: int = 35) -> DataFrame:
     )
     run, schema = _anchor_rows(k)
     anchors = docs.select("d", "tag", "text").mapInArrow(run, schema)
-    names = (
+    # Stored, so that the joins below are between two shuffled tables, whose hot keys Spark can split.
+    names = _store(
         anchors.groupBy("name")
         .agg(F.count("*").alias("c"), F.min("whole").alias("least"), F.max("whole").alias("most"))
         .where("c > 1")
-        .select("name", (F.col("least") != F.col("most")).cast("long").alias("mixed"))
+        .select("name", (F.col("least") != F.col("most")).alias("mixed")),
+        "names",
+    )
+    found = _store(anchors.join(names, "name"), "runs")
+    # Rows of one name and one hash of all words are a class: its windows repeat if it has two rows, and one of
+    # them then stands for it when single windows are compared.
+    row = F.xxhash64("d", "at")
+    classes = _store(
+        found.where("mixed").groupBy("name", "whole").agg(F.count("*").alias("c"), F.min(row).alias("stands")).where("c > 1").select("name", "whole", "stands"),
+        "classes",
+    )
+    mixed = found.where("mixed").join(classes, ["name", "whole"], "left")
+    again = F.col("stands").isNotNull()
+    states = found.where("not mixed").select("d", "at", F.lit(_REPEATS).alias("state")).union(
+        mixed.select("d", "at", F.when(~again, _OPEN).when(row == F.col("stands"), _REPEATS | _OPEN).otherwise(_REPEATS).alias("state"))
     )
     runs = (
-        anchors.select("name", "d", "at")
-        .join(names, "name")
-        .select("d", F.shiftrightunsigned("at", 40).alias("tag"), F.expr("((at & 1099511627775) << 1) | mixed").alias("run"))
+        states.select("d", F.shiftrightunsigned("at", 40).alias("tag"), F.expr("((at & 1099511627775) << 2) | state").alias("run"))
         .groupBy("d", "tag")
         .agg(F.collect_list("run").alias("runs"))
     )
     run, schema = _resolve(k)
-    path = new_table_path(spark, "substrings")
-    docs.join(runs, ["d", "tag"], "left").select("doc_id", "d", "tag", "text", "runs").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    first = _store(docs.join(runs, ["d", "tag"], "left").select("doc_id", "d", "tag", "text", "runs").mapInArrow(run, schema), "substrings")
 
-    first = spark.read.parquet(path)
-    unsettled = F.size("windows") > 0
+    unsettled = F.col("text").isNotNull()
     windows = (
-        first.where(unsettled)
+        first.where(F.size("windows") > 0)
         .select("d", "tag", F.explode(F.arrays_zip("windows", "h1", "h2")).alias("w"))
         .select("d", "tag", "w.windows", "w.h1", "w.h2")
     )
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
+    twice = _store(windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "windows")
     again = windows.join(twice, ["h1", "h2"]).groupBy("d", "tag").agg(F.collect_list("windows").alias("again"))
     run, schema = _finish(k)
     rest = (
