@@ -198,7 +198,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, divisor: int = 5, held: in
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("long").alias("quality"))
     # At most 2 * SAMPLE rows.
     sample = per_class(usable, "quality", SAMPLE)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").mapInArrow(_extract, "doc_id long, quality long, features binary").collect()
+    rows = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "quality", "text").mapInArrow(_extract, "doc_id long, quality long, features binary").collect()
     rows.sort(key=lambda r: (hash(r.doc_id * 2654435761 % (1 << 32)), r.features))
     model = fit([np.frombuffer(r.features, dtype=np.int32) for r in rows], np.array([r.quality for r in rows], dtype=np.int64))
     run, schema = _predict(model)
