@@ -120,13 +120,14 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
 
 def fit(labelled: DataFrame, seed: int = 0) -> ByteNetwork | None:
     """A network from rows of doc_id, text and lang: at most SAMPLE_TEXTS texts a language; None without any."""
-    sample = per_class(labelled.where(F.length("text") > 0).select("doc_id", "text", "lang"), "lang", SAMPLE_TEXTS, seed)
     rng = np.random.default_rng(seed)
     windows, labels = [], []
-    # Some windows of each text, cut out before anything is collected.
+    # Some windows of each text, cut out before any row is moved.
     spots = [rng.random() for _ in range(SAMPLE_WINDOWS)]
     parts = F.array(*(F.expr(f"substring(text, 1 + cast(floor(greatest(length(text) - {WINDOW}, 0) * {s}) as int), {WINDOW})") for s in spots))
-    rows = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.parts) for r in sample.select("doc_id", "lang", parts.alias("parts")).collect())
+    narrow = labelled.where(F.length("text") > 0).select("doc_id", "lang", parts.alias("parts"))
+    sample = per_class(narrow, "lang", SAMPLE_TEXTS, seed)
+    rows = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.parts) for r in sample.collect())
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})
