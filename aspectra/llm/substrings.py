@@ -6,8 +6,8 @@ Names are functions of content, so they are global without a dictionary, and equ
 symbols except near their borders. For each window the symbols that its own words fix, whatever surrounds
 it, are known by position arithmetic; the longest of these on the highest level that has any is its anchor.
 Equal windows have equal anchors, so only windows whose anchor name occurs again can repeat. Consecutive
-windows of one anchor are one row with a hash of all their words: if all rows of a name agree, they repeat
-in full; else their single windows are counted by a 96-bit hash.
+windows of one anchor are one row with a 96-bit hash of all their words: if all rows of a name agree, they
+repeat in full; else their single windows are counted by a 96-bit hash.
 """
 
 from __future__ import annotations
@@ -29,6 +29,17 @@ _POSITION = np.uint64(0xFFFFFFFF)
 _TAG = 0xFFFFFF
 #: States of a row of windows: known to repeat in full; to be compared window by window.
 _REPEATS, _OPEN = 1, 2
+_FIRST, _SECOND = 0xD6E8FEB86659FD93, 0xCA5A826395121157
+
+
+def _second(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k consecutive words beside that of base ``_FIRST``."""
+    return rolling(mix(h ^ np.uint64(0x5851F42D4C957F2D)), k, _SECOND)
+
+
+def _upper(h: np.ndarray) -> np.ndarray:
+    """The upper 32 bits."""
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _compress(names: np.ndarray, row: np.ndarray, length: np.ndarray, lo: np.ndarray, hi: np.ndarray, rnd: int):
@@ -84,9 +95,9 @@ def _best(names: np.ndarray, length: np.ndarray, lo: np.ndarray, hi: np.ndarray)
 
 
 def _anchors(h: np.ndarray, row: np.ndarray, k: int):
-    """Rows of consecutive windows that share an anchor: first word, windows, name, hash of all words."""
+    """Rows of consecutive windows that share an anchor: first word, windows, name, two hashes of all words."""
     if len(h) < k:
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),) * 2
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),) * 3
     first = np.flatnonzero(row[: len(h) - k + 1] == row[k - 1 :])
     anchor = np.zeros(len(first), dtype=np.int64)
     name = np.zeros(len(first), dtype=np.uint64)
@@ -107,19 +118,22 @@ def _anchors(h: np.ndarray, row: np.ndarray, k: int):
             names, owner, length, lo, hi = nxt
             which, lo, hi = which[stay], lo[stay], hi[stay]
     if not len(first):
-        return first, first, name, name
+        return first, first, name, name, name
     new = np.ones(len(first), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1] + 1)
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(first)))
     step = (np.arange(len(first)) - np.repeat(at, count)).astype(np.uint64)
-    window = rolling(h, k, 0xD6E8FEB86659FD93)[first]
-    whole = np.add.reduceat(mix(window + step * np.uint64(0xA24BAED4963EE407)), at)
-    return first[at], count, name[at], mix(whole + count.astype(np.uint64))
+    step *= np.uint64(0xA24BAED4963EE407)
+    whole, check = (
+        mix(np.add.reduceat(mix(window[first] + step), at) + count.astype(np.uint64))
+        for window in (rolling(h, k, _FIRST), _second(h, k))
+    )
+    return first[at], count, name[at], whole, check
 
 
 def _anchor_rows(k: int):
-    schema = pa.schema([("name", pa.int64()), ("whole", pa.int32()), ("d", pa.int64()), ("at", pa.int64())])
+    schema = pa.schema([("name", pa.int64()), ("whole", pa.int64()), ("check", pa.int32()), ("d", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +141,7 @@ def _anchor_rows(k: int):
             tags = batch.column("tag").to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column("text")):
                 starts, ends, row = chunk.words()
-                first, count, name, whole = _anchors(chunk.hashes(starts, ends), row, k)
+                first, count, name, whole, check = _anchors(chunk.hashes(starts, ends), row, k)
                 if not len(first):
                     continue
                 of = row[first]
@@ -135,14 +149,15 @@ def _anchor_rows(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(name.view(np.int64)),
-                        pa.array((whole >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        pa.array(whole.view(np.int64)),
+                        pa.array(_upper(check)),
                         pa.array(ids[chunk.rows][of]),
                         pa.array((tags[chunk.rows][of] << 40) | (local << 6) | count),
                     ],
                     schema=schema,
                 )
 
-    return run, "name long, whole int, d long, at long"
+    return run, "name long, whole long, check int, d long, at long"
 
 
 def _kept(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, gone: np.ndarray) -> list[str]:
@@ -217,8 +232,8 @@ def _resolve(k: int):
                 window = np.repeat(first[compare], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
                 window = np.unique(window)
                 h = chunk.hashes(starts, ends) if len(window) else np.zeros(0, dtype=np.uint64)
-                one = rolling(h, k, 0xD6E8FEB86659FD93)[window] if len(window) else h
-                two = rolling(mix(h ^ np.uint64(0x5851F42D4C957F2D)), k, 0xCA5A826395121157)[window] if len(window) else h
+                one = rolling(h, k, _FIRST)[window] if len(window) else h
+                two = _second(h, k)[window] if len(window) else h
                 per = np.bincount(row[window], minlength=m) if len(window) else np.zeros(m, dtype=np.int64)
                 dead = np.flatnonzero(gone)
                 removed = np.bincount(row[dead], minlength=m)
@@ -232,7 +247,7 @@ def _resolve(k: int):
                         pa.array(shas), pa.array([t if o else None for t, o in zip(part.column("text").to_pylist(), open_rows)], type=pa.string()) if open_rows.any() else pa.nulls(m, pa.string()),
                         pa.array(covered, type=pa.binary()),
                         lists(pa.int64(), window - offset[row[window]], per),
-                        lists(pa.int64(), one.view(np.int64), per), lists(pa.int32(), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), per),
+                        lists(pa.int64(), one.view(np.int64), per), lists(pa.int32(), _upper(two), per),
                     ],
                     schema=schema,
                 )
@@ -304,20 +319,20 @@ def remove_repeats(docs: DataFrame, k: int = 35) -> DataFrame:
     # Stored, so that the joins below are between two shuffled tables, whose hot keys Spark can split.
     names = _store(
         anchors.groupBy("name")
-        .agg(F.count("*").alias("c"), F.min("whole").alias("least"), F.max("whole").alias("most"))
+        .agg(F.count("*").alias("c"), *(f(h).alias(f"{n}_{h}") for h in ("whole", "check") for n, f in (("least", F.min), ("most", F.max))))
         .where("c > 1")
-        .select("name", (F.col("least") != F.col("most")).alias("mixed")),
+        .select("name", F.expr("least_whole != most_whole or least_check != most_check").alias("mixed")),
         "names",
     )
     found = _store(anchors.join(names, "name"), "runs")
-    # Rows of one name and one hash of all words are a class: its windows repeat if it has two rows, and one of
+    # Rows of one name and the same hashes of all words are a class: its windows repeat if it has two rows, and one of
     # them then stands for it when single windows are compared.
     row = F.xxhash64("d", "at")
     classes = _store(
-        found.where("mixed").groupBy("name", "whole").agg(F.count("*").alias("c"), F.min(row).alias("stands")).where("c > 1").select("name", "whole", "stands"),
+        found.where("mixed").groupBy("name", "whole", "check").agg(F.count("*").alias("c"), F.min(row).alias("stands")).where("c > 1").select("name", "whole", "check", "stands"),
         "classes",
     )
-    mixed = found.where("mixed").join(classes, ["name", "whole"], "left")
+    mixed = found.where("mixed").join(classes, ["name", "whole", "check"], "left")
     again = F.col("stands").isNotNull()
     states = found.where("not mixed").select("d", "at", F.lit(_REPEATS).alias("state")).union(
         mixed.select("d", "at", F.when(~again, _OPEN).when(row == F.col("stands"), _REPEATS | _OPEN).otherwise(_REPEATS).alias("state"))

@@ -57,6 +57,12 @@ def test_substrings_random(spark):
         check_substrings(df, k)
 
 
+def test_substrings_classes_are_told_apart_by_more_than_32_bits(spark):
+    # The hashes of all words of these two windows agree in their upper 32 bits, as those of one in about 2^32 pairs do.
+    rows = [(i, f"a{i} one phrase in the use b{i}") for i in (184540, 274496)]
+    assert {r.n_removed for r in substrings.remove_repeats(table(spark, rows), 7).collect()} == {0}
+
+
 def test_substrings_refuse(odd):
     with pytest.raises(ValueError):
         substrings.remove_repeats(odd, 64)
