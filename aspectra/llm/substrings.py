@@ -26,7 +26,6 @@ from aspectra.session import new_table_path
 #: Rounds of runs and pairs; symbols of four rounds have three words on average.
 ROUNDS = 4
 _POSITION = np.uint64(0xFFFFFFFF)
-_TAG = 0xFFFFFF
 #: States of a row of windows: known to repeat in full; to be compared window by window.
 _REPEATS, _OPEN = 1, 2
 _FIRST, _SECOND = 0xD6E8FEB86659FD93, 0xCA5A826395121157
@@ -133,12 +132,11 @@ def _anchors(h: np.ndarray, row: np.ndarray, k: int):
 
 
 def _anchor_rows(k: int):
-    schema = pa.schema([("name", pa.int64()), ("whole", pa.int64()), ("check", pa.int32()), ("d", pa.int64()), ("at", pa.int64())])
+    schema = pa.schema([("name", pa.int64()), ("whole", pa.int64()), ("check", pa.int32()), ("row", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("d").to_numpy(zero_copy_only=False)
-            tags = batch.column("tag").to_numpy(zero_copy_only=False)
+            ids = batch.column("row").to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column("text")):
                 starts, ends, row = chunk.words()
                 first, count, name, whole, check = _anchors(chunk.hashes(starts, ends), row, k)
@@ -152,12 +150,12 @@ def _anchor_rows(k: int):
                         pa.array(whole.view(np.int64)),
                         pa.array(_upper(check)),
                         pa.array(ids[chunk.rows][of]),
-                        pa.array((tags[chunk.rows][of] << 40) | (local << 6) | count),
+                        pa.array((local << 6) | count),
                     ],
                     schema=schema,
                 )
 
-    return run, "name long, whole long, check int, d long, at long"
+    return run, "name long, whole long, check int, row long, at long"
 
 
 def _kept(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, gone: np.ndarray) -> list[str]:
@@ -202,8 +200,8 @@ def _resolve(k: int):
     """Per document: the result, or what is needed to finish once its single windows are counted."""
     schema = pa.schema(
         [
-            ("doc_id", pa.int64()), ("d", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()),
-            ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()),
+            ("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()),
+            ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
             ("covered", pa.binary()), ("windows", pa.list_(pa.int64())), ("h1", pa.list_(pa.int64())),
             ("h2", pa.list_(pa.int32())),
         ]
@@ -242,9 +240,9 @@ def _resolve(k: int):
                 covered = [np.packbits(gone[bounds[i] : bounds[i + 1]]).tobytes() if o else None for i, o in enumerate(open_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("d"), part.column("tag"),
+                        part.column("doc_id"), part.column("row"),
                         pa.array(np.diff(bounds), type=pa.int64()), pa.array(removed, type=pa.int64()),
-                        pa.array(shas), pa.array([t if o else None for t, o in zip(part.column("text").to_pylist(), open_rows)], type=pa.string()) if open_rows.any() else pa.nulls(m, pa.string()),
+                        pa.array(shas),
                         pa.array(covered, type=pa.binary()),
                         lists(pa.int64(), window - offset[row[window]], per),
                         lists(pa.int64(), one.view(np.int64), per), lists(pa.int32(), _upper(two), per),
@@ -253,7 +251,7 @@ def _resolve(k: int):
                 )
 
     return run, (
-        "doc_id long, d long, tag long, n_words long, n_removed long, kept_sha256 string, text string, "
+        "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, "
         "covered binary, windows array<long>, h1 array<long>, h2 array<int>"
     )
 
@@ -307,15 +305,13 @@ def remove_repeats(docs: DataFrame, k: int = 35) -> DataFrame:
     if not 1 <= k <= 63:
         raise ValueError("k must be 1 to 63")
     spark = docs.sparkSession
-    docs = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"),
-        # Tells rows of one doc_id apart that differ in text.
-        F.xxhash64("text").bitwiseAND(F.lit(_TAG)).alias("tag"),
-        F.col("text").cast("string").alias("text"),
+    # Numbered and stored, so that rows are told apart whatever their doc_id and text, alike in every pass.
+    numbered = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text")
     )
+    docs = _store(numbered, "numbered")
     run, schema = _anchor_rows(k)
-    anchors = docs.select("d", "tag", "text").mapInArrow(run, schema)
+    anchors = docs.select("row", "text").mapInArrow(run, schema)
     # Stored, so that the joins below are between two shuffled tables, whose hot keys Spark can split.
     names = _store(
         anchors.groupBy("name")
@@ -327,36 +323,33 @@ def remove_repeats(docs: DataFrame, k: int = 35) -> DataFrame:
     found = _store(anchors.join(names, "name"), "runs")
     # Rows of one name and the same hashes of all words are a class: its windows repeat if it has two rows, and one of
     # them then stands for it when single windows are compared.
-    row = F.xxhash64("d", "at")
+    one = F.xxhash64("row", "at")
     classes = _store(
-        found.where("mixed").groupBy("name", "whole", "check").agg(F.count("*").alias("c"), F.min(row).alias("stands")).where("c > 1").select("name", "whole", "check", "stands"),
+        found.where("mixed").groupBy("name", "whole", "check").agg(F.count("*").alias("c"), F.min(one).alias("stands")).where("c > 1").select("name", "whole", "check", "stands"),
         "classes",
     )
     mixed = found.where("mixed").join(classes, ["name", "whole", "check"], "left")
     again = F.col("stands").isNotNull()
-    states = found.where("not mixed").select("d", "at", F.lit(_REPEATS).alias("state")).union(
-        mixed.select("d", "at", F.when(~again, _OPEN).when(row == F.col("stands"), _REPEATS | _OPEN).otherwise(_REPEATS).alias("state"))
-    )
-    runs = (
-        states.select("d", F.shiftrightunsigned("at", 40).alias("tag"), F.expr("((at & 1099511627775) << 2) | state").alias("run"))
-        .groupBy("d", "tag")
-        .agg(F.collect_list("run").alias("runs"))
+    states = found.where("not mixed").select("row", "at", F.lit(_REPEATS).alias("state")).union(
+        mixed.select("row", "at", F.when(~again, _OPEN).when(one == F.col("stands"), _REPEATS | _OPEN).otherwise(_REPEATS).alias("state"))
     )
+    runs = states.select("row", F.expr("(at << 2) | state").alias("run")).groupBy("row").agg(F.collect_list("run").alias("runs"))
     run, schema = _resolve(k)
-    first = _store(docs.join(runs, ["d", "tag"], "left").select("doc_id", "d", "tag", "text", "runs").mapInArrow(run, schema), "substrings")
+    first = _store(docs.join(runs, "row", "left").select("doc_id", "row", "text", "runs").mapInArrow(run, schema), "substrings")
 
-    unsettled = F.col("text").isNotNull()
+    unsettled = F.col("covered").isNotNull()
     windows = (
         first.where(F.size("windows") > 0)
-        .select("d", "tag", F.explode(F.arrays_zip("windows", "h1", "h2")).alias("w"))
-        .select("d", "tag", "w.windows", "w.h1", "w.h2")
+        .select("row", F.explode(F.arrays_zip("windows", "h1", "h2")).alias("w"))
+        .select("row", "w.windows", "w.h1", "w.h2")
     )
     twice = _store(windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "windows")
-    again = windows.join(twice, ["h1", "h2"]).groupBy("d", "tag").agg(F.collect_list("windows").alias("again"))
+    again = windows.join(twice, ["h1", "h2"]).groupBy("row").agg(F.collect_list("windows").alias("again"))
     run, schema = _finish(k)
     rest = (
-        first.where(unsettled)
-        .join(again, ["d", "tag"], "left")
+        docs.select("row", "doc_id", "text")
+        .join(first.where(unsettled).select("row", "n_words", "covered"), "row")
+        .join(again, "row", "left")
         .select("doc_id", "n_words", "text", "covered", "again")
         .mapInArrow(run, schema)
     )

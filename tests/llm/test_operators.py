@@ -63,6 +63,16 @@ def test_substrings_classes_are_told_apart_by_more_than_32_bits(spark):
     assert {r.n_removed for r in substrings.remove_repeats(table(spark, rows), 7).collect()} == {0}
 
 
+def test_substrings_rows_of_one_id_stay_apart(spark):
+    # Two texts whose xxhash64 agree in the lower 24 bits, and a third; all without an id, then all with the same.
+    hashed = spark.range(40_000).select("id", F.concat_ws(" ", F.lit("start of text"), F.col("id"), F.lit("ends")).alias("text"))
+    hashed = hashed.groupBy(F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF))).agg(F.collect_list("text").alias("both"))
+    a, b = sorted(hashed.where("size(both) > 1").first().both)[:2]
+    texts = [a, b, "more words before " + a]
+    for doc_id in (None, 7):
+        check_substrings(table(spark, [(doc_id, t) for t in texts]), 5)
+
+
 def test_substrings_refuse(odd):
     with pytest.raises(ValueError):
         substrings.remove_repeats(odd, 64)
