@@ -121,15 +121,17 @@ def dual_coordinate_descent(docs: list[np.ndarray], values: np.ndarray, labels:
     return w, bias
 
 
-def _logistic(margin: np.ndarray, labels: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by damped Newton steps on smoothed targets."""
+def _logistic(margin: np.ndarray, labels: np.ndarray, weight: np.ndarray, steps: int = 200) -> tuple[float, float]:
+    """Slope and shift of a logistic curve of weighed rows, by damped Newton steps on smoothed targets."""
+    weight = weight / weight.mean()
     up, down = (labels == 1).sum(), (labels == 0).sum()
     target = np.where(labels == 1, (up + 1) / (up + 2), 1 / (down + 2))
     slope, shift = 1.0, 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -30, 30)))
-        g = np.array([((p - target) * margin).sum(), (p - target).sum()])
-        v = p * (1 - p)
+        miss = weight * (p - target)
+        g = np.array([(miss * margin).sum(), miss.sum()])
+        v = weight * p * (1 - p)
         h = np.array([[(v * margin * margin).sum(), (v * margin).sum()], [(v * margin).sum(), v.sum()]]) + 1e-3 * np.eye(2)
         move = np.linalg.solve(h, g)
         size = np.abs(move).max()
@@ -140,8 +142,11 @@ def _logistic(margin: np.ndarray, labels: np.ndarray, steps: int = 200) -> tuple
     return max(float(slope), 1e-3), float(shift)
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray) -> QualityModel:
-    """A model from the features of labelled documents; every fifth row is kept back for the logistic curve."""
+def fit(docs: list[np.ndarray], labels: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)) -> QualityModel:
+    """A model from the features of labelled documents; every fifth row is kept back for the logistic curve.
+
+    ``stands`` has the number of labelled documents that a row of class 0 and of class 1 stands for.
+    """
     if not len(docs) or labels.min() == labels.max():
         share = float(labels.mean()) if len(docs) else 0.5
         share = min(max(share, 0.01), 0.99)
@@ -155,7 +160,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray) -> QualityModel:
     model = QualityModel(w * ratio, bias, 1.0, 0.0)
     kept = [(d, y) for d, y, b in zip(docs, labels, back) if b or not back.any()]
     margin = np.array([model.weights[d].sum() / np.sqrt(max(len(d), 1)) + bias for d, _ in kept])
-    model.slope, model.shift = _logistic(margin, np.array([y for _, y in kept]))
+    kept_labels = np.array([y for _, y in kept])
+    model.slope, model.shift = _logistic(margin, kept_labels, np.asarray(stands, dtype=np.float64)[kept_labels])
     return model
 
 
@@ -187,7 +193,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, divisor: int = 5, held: in
 
     ``docs`` has doc_id (long) and text, ``labels`` doc_id and quality (0 or 1); other columns are ignored. The model
     is fitted on a bounded sample (SAMPLE documents a class) of labels whose crc32(doc_id) modulo ``divisor`` is not
-    ``held``. Labels that are null, neither 0 nor 1, or of unknown doc_ids are ignored; a doc_id with several labels
+    ``held``; its logistic curve weighs the classes by their numbers of all such labels. Labels that are null, neither 0 nor 1, or of unknown doc_ids are ignored; a doc_id with several labels
     counts with the greatest. A null or empty text has no indicators and gets the score of the bias; without two
     classes to learn from, every score is the share of label 1 (one half without any). A null doc_id is not held
     out. One row per row of ``docs``.
@@ -196,11 +202,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, divisor: int = 5, held: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = labels.where(F.col("quality").isin(0, 1) & (remainder("doc_id", divisor) != held))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("long").alias("quality"))
+    total = {r.quality: r["count"] for r in usable.groupBy("quality").count().collect()}
+    stands = tuple(max(total.get(label, 0) / SAMPLE, 1.0) for label in (0, 1))
     # At most 2 * SAMPLE rows.
     sample = per_class(usable, "quality", SAMPLE)
     rows = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "quality", "text").mapInArrow(_extract, "doc_id long, quality long, features binary").collect()
     rows.sort(key=lambda r: (hash(r.doc_id * 2654435761 % (1 << 32)), r.features))
-    model = fit([np.frombuffer(r.features, dtype=np.int32) for r in rows], np.array([r.quality for r in rows], dtype=np.int64))
+    model = fit([np.frombuffer(r.features, dtype=np.int32) for r in rows], np.array([r.quality for r in rows], dtype=np.int64), stands)
     run, schema = _predict(model)
     return docs.select("doc_id", "text").mapInArrow(run, schema).select(
         "doc_id", F.coalesce(rest == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")

@@ -299,6 +299,19 @@ def test_quality_awkward(spark, odd, empty):
     assert rows_of(quality.score_quality(empty, labels)) == []
 
 
+def test_quality_keeps_the_class_shares_beyond_the_sample(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, int(i % 7 > 0)) for i in range(1400)]
+    texts = [(i, " ".join(("g" if rng.random() < (0.6 if y else 0.4) else "b") + str(rng.randrange(30)) for _ in range(12))) for i, y in rows]
+    docs, labels = table(spark, texts), spark.createDataFrame(rows, "doc_id long, quality int")
+    mean = {}
+    for most in (3000, 180):
+        monkeypatch.setattr(quality, "SAMPLE", most)
+        mean[most] = quality.score_quality(docs, labels).where("held_out").agg(F.avg("score")).first()[0]
+    # Both near the true share, up to the noise of some 70 rows kept back; without weights the second is near 0.6.
+    assert all(abs(m - 6 / 7) < 0.06 for m in mean.values()), mean
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(2)
     docs = [np.unique(rng.integers(0, 50, 12) + 50 * (i % 2)) for i in range(80)]
