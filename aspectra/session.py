@@ -58,6 +58,13 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder, and the table read back from there."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash rows over all cores when the input has fewer splits than the session has cores.
 
