@@ -91,5 +91,65 @@ WITH doc AS (
   SELECT *, least(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END, 2)::BIGINT AS copies FROM rated
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM taken
+""",
+    "op12_fill_in_middle": r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), cut AS (
+  SELECT doc_id, t, u, len(u)::BIGINT AS n,
+    least(('0x' || h[1:8])::BIGINT % (len(u) + 1), ('0x' || h[9:16])::BIGINT % (len(u) + 1)) AS a,
+    greatest(('0x' || h[1:8])::BIGINT % (len(u) + 1), ('0x' || h[9:16])::BIGINT % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50
+      THEN 'plain' WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM doc
+), part AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p,
+    coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM part
+""",
+    "op13_source_divergence": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'
+  ) AS ts FROM documents
+), term AS (
+  SELECT d, lang, source, t, count(*) AS n FROM (SELECT d, lang, source, unnest(ts) AS t FROM doc) GROUP BY ALL
+), kept AS (
+  SELECT lang, t, sum(n) AS n FROM term GROUP BY lang, t HAVING count(*) >= 3
+), whole AS (
+  SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM kept GROUP BY lang
+), used AS (
+  SELECT lang, source, t, sum(x.n) AS n FROM term x JOIN kept k USING (lang, t) GROUP BY lang, source, t
+), grp AS (
+  SELECT DISTINCT lang, source FROM doc
+), size AS (
+  SELECT g.lang, g.source, coalesce(sum(u.n), 0)::HUGEINT AS total FROM grp g LEFT JOIN used u USING (lang, source) GROUP BY ALL
+), share AS (
+  SELECT z.lang, z.source, k.t, coalesce(u.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(u.n, 0)::HUGEINT + 1)) // (z.total + w.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n::HUGEINT + 1)) // (w.total + w.v) AS q
+  FROM size z JOIN kept k ON k.lang = z.lang JOIN whole w ON w.lang = z.lang
+  LEFT JOIN used u ON u.lang = z.lang AND u.source = z.source AND u.t = k.t
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, t AS item, ((p - q) * (p - q)) // q AS value FROM share WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, part, item, value::BIGINT AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
 }

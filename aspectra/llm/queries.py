@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from aspectra.llm.ctw import score_texts
+from aspectra.llm.divergence import divergences
 from aspectra.llm.fingerprints import fingerprints
 from aspectra.llm.language import identify_languages
+from aspectra.llm.middle import digests
 from aspectra.llm.mixing import mix_sources
 from aspectra.llm.neighbours import near_duplicates
 from aspectra.llm.packing import pack
 from aspectra.llm.personal import find_personal_data
+from aspectra.llm.pieces import encoding_digests
 from aspectra.llm.quality import score_quality
 from aspectra.llm.search import top_inner_products
 from aspectra.llm.substrings import remove_repeats
@@ -62,6 +65,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_documents(spark, sf_dir))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(_documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_documents(spark, sf_dir))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -73,4 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_personal_data": op9_personal_data,
     "op10_language_id": op10_language_id,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_source_divergence": op13_source_divergence,
 }
