@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from aspectra.functions.text import tokenize
-from aspectra.operators.lookup import ROW, find, lookup_join, numbered, salted_join, small_count, word_table
+from aspectra.operators.lookup import ROW, lookup_join, numbered
 from aspectra.session import materialise
 
 # Grouping ids of the rollup in ``mine_compounds``.
@@ -54,27 +54,8 @@ def tag_compounds(
 ) -> DataFrame:
     """Add ``tokens`` and ``tags``: a token is ``I`` when it and the one before it are a listed
     pair, else ``B``. ``lexicon`` is (first, second); it is read several times, so pass a stored
-    table. ``large`` takes the way of lists beyond the bounds; the rows are the same."""
+    table. ``large`` takes the way of lists beyond the bounds of a broadcast; the rows are the same."""
     lexicon = lexicon.select("first", "second").distinct()
-    n = None if large else small_count(lexicon)
-    if n is None:
-        return _tag_by_join(df, lexicon, text)
-    pairs = lexicon.select(F.concat_ws(" ", "first", "second").alias("pair"))
-    table = word_table(pairs, "pair", "pair", n)
-
-    def tag(word, i):
-        pair = F.concat(F.get(F.col("tokens"), i - 1), F.lit(" "), word)
-        known = find(F.col("pair_table"), pair, n).isNotNull()
-        return F.when(known, "I").otherwise("B")
-
-    return (
-        df.select("*", tokenize(F.col(text)).alias("tokens"), table.alias("pair_table"))
-        .withColumn("tags", F.transform("tokens", tag))
-        .drop("pair_table")
-    )
-
-
-def _tag_by_join(df: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
     stored = numbered(df)
     tokens = stored.select(ROW, tokenize(F.col(text)).alias("t"))
     shifted = F.concat(F.array(F.lit(None).cast("string")), F.col("t"))
@@ -84,19 +65,26 @@ def _tag_by_join(df: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
         .select(ROW, "pos", "pair.first", "pair.second")
         .where(F.col("second").isNotNull())
     )
-    tagged = salted_join(rows, lexicon.withColumn("tag", F.lit("I")), ["first", "second"], "left")
-    entry = F.struct("pos", F.col("second").alias("word"), F.coalesce("tag", F.lit("B")).alias("tag"))
-    regrouped = tagged.groupBy(ROW).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    listed = regrouped.select(
-        ROW,
-        F.transform("entries", lambda e: e["word"]).alias("tokens"),
-        F.transform("entries", lambda e: e["tag"]).alias("tags"),
-    )
-    nothing = F.when(F.col(text).isNotNull(), F.array().cast("array<string>"))
-    tagged = stored.join(listed, ROW, "left").withColumns(
-        {c: F.coalesce(c, nothing) for c in ("tokens", "tags")}
+    # Only the places of compounds go through the shuffle; all other words are B.
+    inside = lookup_join(rows.where(F.col("first").isNotNull()), lexicon, ["first", "second"], "left_semi", large)
+    places = inside.groupBy(ROW).agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    return with_tags(stored, places, text).select(*df.columns, "tokens", "tags")
+
+
+def with_tags(rows: DataFrame, places: DataFrame, text: str) -> DataFrame:
+    """Numbered rows with ``tokens`` and ``tags``, ``I`` at the ascending ``places`` (from 0) of (row, places)."""
+    tags = F.flatten(
+        F.zip_with(
+            # From each place to the next: one I, then B until the next place.
+            F.col("places"),
+            F.concat(F.slice("places", 2, F.size("places")), F.array(F.size("tokens"))),
+            lambda at, then: F.concat(F.array(F.lit("I")), F.array_repeat(F.lit("B"), then - at - 1)),
+        )
     )
-    return tagged.select(*df.columns, "tokens", "tags")
+    before = F.array_repeat(F.lit("B"), F.coalesce(F.element_at("places", 1), F.size("tokens")))
+    tagged = rows.withColumn("tokens", tokenize(F.col(text))).join(places, ROW, "left")
+    tags = F.when(F.col("places").isNull(), F.array_repeat(F.lit("B"), F.size("tokens"))).otherwise(F.concat(before, tags))
+    return tagged.withColumn("tags", F.when(F.col("tokens").isNotNull(), tags)).drop("places")
 
 
 def merge_compounds(tagged: DataFrame, text: str = "text") -> DataFrame:

@@ -1,26 +1,23 @@
-"""Membership and id lookups against a word table, sized before they are broadcast.
-
-A word table within ``MAX_ENTRIES`` rows and ``MAX_BYTES`` characters becomes one value (a scalar
-subquery) that every task reads, so token arrays are looked up in place and documents are not
-shuffled. A larger one is first cut down to the words that the corpus has, counted with a partial
-aggregate, and is then often small enough for the first way. What is still too large is joined: tokens
-are exploded and the keys salted, since one frequent word may hold a third of all tokens. Words are put
-back together by a row number that is stored with the rows, so both ways give the same rows whatever the
-review keys are, null or repeated ones included.
+"""Joins of many rows with a table of words: broadcast if the table is small, else split by measured weight.
+
+A table within ``MAX_ENTRIES`` rows and ``MAX_BYTES`` characters is broadcast. Beyond that both sides are dealt out by
+the key, except for the keys that are too heavy for one task: these are counted first, and since fewer than P keys
+can each hold more than a P-th of the rows, their part of the table is always small enough to broadcast. Words
+that were taken out of a row are put back by a row number that is stored with the rows, so both ways give the same
+rows whatever the review keys are, null or repeated ones included.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from aspectra.session import new_table_path
+from aspectra.session import materialise, stored
 
 #: Column with the stored row number.
 ROW = "_row"
 
 MAX_ENTRIES = 1 << 17
 MAX_BYTES = 16 << 20
-SALTS = 32
 
 
 def small_count(
@@ -33,67 +30,44 @@ def small_count(
     return n if n <= max_entries and (size or 0) <= max_bytes else None
 
 
-def word_table(entries: DataFrame, key: str, value: str, max_entries: int) -> Column:
-    """The entries as one array of slots, each slot a short list of (key, value).
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with a number of their own, stored, so that every later read sees the same numbers.
 
-    ``entries`` must be within ``max_entries`` rows: by a limit or by ``small_count``.
+    Rows that have such numbers already are returned as they are.
     """
-    slots = _slots(max_entries)
-    filled = (
-        entries.select(
-            _slot(F.col(key), slots).alias("slot"),
-            F.struct(F.col(key).alias("key"), F.col(value).alias("value")).alias("entry"),
-        )
-        .groupBy("slot")
-        .agg(F.collect_list("entry").alias("entries"))
-    )
-    grid = entries.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    ordered = F.array_sort(F.collect_list(F.struct("slot", "entries")))
-    return (
-        grid.join(filled, "slot", "left")
-        .agg(F.transform(ordered, lambda s: s["entries"]).alias("slots"))
-        .scalar()
-    )
-
-
-def find(table: Column, key: Column, max_entries: int) -> Column:
-    """Value stored for ``key`` in a ``word_table`` built with the same bound, else null."""
-    slot = F.element_at(table, _slot(key, _slots(max_entries)) + 1)
-    return F.get(F.filter(slot, lambda e: e["key"] == key), F.lit(0))["value"]
-
-
-def numbered(df: DataFrame) -> DataFrame:
-    """The rows with a number of their own, stored, so that every later read sees the same numbers."""
-    path = new_table_path(df.sparkSession, "numbered")
-    df.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if ROW in df.columns:
+        return df
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def lookup_join(
-    facts: DataFrame, table: DataFrame, on: list[str], how: str = "left", salts: int = SALTS
+    facts: DataFrame, table: DataFrame, on: list[str], how: str = "left", large: bool = False
 ) -> DataFrame:
-    """Join facts to a table with one row per key; broadcast it if it fits, else salt the keys.
+    """Join facts to a table with one row per key. ``how`` is one of inner, left, left_semi and left_anti.
 
-    ``how`` is one of inner, left, left_semi and left_anti.
+    ``large`` takes the way of tables beyond the bounds; the rows are the same. That way reads the facts
+    twice more, so they should be stored or cheap to make.
     """
-    if small_count(table) is not None:
+    if not large and small_count(table) is not None:
         return facts.join(F.broadcast(table), on, how)
-    return salted_join(facts, table, on, how, salts)
+    return split_join(facts, table, on, how)
 
 
-def salted_join(
-    facts: DataFrame, table: DataFrame, on: list[str], how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    """Spread each key of the facts over ``salts`` groups and repeat the table once per group."""
-    rest = [c for c in facts.columns if c not in on] or on
-    salted = facts.withColumn("salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return salted.join(table.withColumn("salt", copies), [*on, "salt"], how).drop("salt")
-
+def heavy_keys(facts: DataFrame, on: list[str], parts: int) -> DataFrame:
+    """The stored keys that hold more than one in ``parts`` of the rows: fewer than ``parts`` of them."""
+    counts = facts.dropna(subset=on).groupBy(*on).count()
+    total = facts.agg(F.count("*").alias("total")).first()["total"]
+    return materialise(counts.where(F.col("count") * parts > total).select(*on))
 
-def _slots(max_entries: int) -> int:
-    return 1 << max(4, (max_entries - 1).bit_length())
 
-
-def _slot(key: Column, slots: int) -> Column:
-    return F.pmod(F.hash(key), F.lit(slots))
+def split_join(
+    facts: DataFrame, table: DataFrame, on: list[str], how: str = "left", parts: int | None = None
+) -> DataFrame:
+    """The join in two parts: heavy keys by a broadcast of their rows of the table, the others by a shuffle."""
+    parts = parts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(facts, on, parts)
+    if heavy.isEmpty():
+        return facts.join(table, on, how)
+    few = F.broadcast(heavy)
+    often = facts.join(few, on, "left_semi").join(F.broadcast(table.join(few, on, "left_semi")), on, how)
+    return often.unionByName(facts.join(few, on, "left_anti").join(table, on, how))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aspectra.operators.labels import aspect_rows
@@ -66,24 +68,64 @@ def pair_counts(pairs: DataFrame, by: tuple[str, ...] = ("aspect",), aspects=ASP
     pairs in which both sides mention the aspect (there are tp of those).
 
     Every group has a row for each of ``aspects``, with counts of 0 where it has no pair; pass None
-    to leave such rows out.
+    to leave such rows out. Those rows are added to the counts, not to the pairs.
     """
     t, p = F.col("truth") > 0, F.col("pred") > 0
     error = (F.col("truth") - F.col("pred")).cast("long")
-    if aspects and "aspect" in by:
-        # One pair without scores for each aspect: it makes a row and is counted nowhere.
-        others = [c for c in by if c != "aspect"]
-        groups = pairs.select(*others).distinct() if others else pairs.sparkSession.range(1).select()
-        every = groups.select(*others, F.explode(F.array(*map(F.lit, aspects))).alias("aspect"))
-        none = F.lit(None).cast("int")
-        pairs = pairs.select(*by, "truth", "pred").union(every.select(*by, none, none))
-    return pairs.groupBy(*by).agg(
+    counts = pairs.groupBy(*by).agg(
         F.count_if(t & p).alias("tp"),
         F.count_if(~t & p).alias("fp"),
         F.count_if(t & ~p).alias("fn"),
         F.count_if(~t & ~p).alias("tn"),
         F.coalesce(F.sum(F.when(t & p, error * error)), F.lit(0)).alias("squared_error"),
     )
+    return with_all_aspects(counts, by, aspects) if aspects and "aspect" in by else counts
+
+
+#: What a report needs of its pairs; all of them add up.
+COUNTS = ("tp", "fp", "fn", "tn", "squared_error")
+
+
+def with_all_aspects(counts: DataFrame, by: tuple[str, ...], aspects=ASPECTS) -> DataFrame:
+    """The counts, and a row of zeros for each aspect that a group has none for."""
+    others = [c for c in by if c != "aspect"]
+    groups = counts.select(*others).distinct() if others else counts.sparkSession.range(1).select()
+    # The list is the small table, so it is the one on the left of a broadcast of the counts.
+    every = groups.select(*[F.col(c).alias(f"_{c}") for c in others], F.explode(F.array(*map(F.lit, aspects))).alias("_aspect"))
+    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in others] + [F.col("_aspect") == F.col("aspect")]
+    filled = every.join(counts, reduce(Column.__and__, same), "left")
+    return filled.select(*[F.col(f"_{c}").alias(c) for c in by], *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
+
+
+def merge_counts(states: DataFrame, by: tuple[str, ...] = ("aspect",)) -> DataFrame:
+    """The sums of stored ``pair_counts`` by fewer columns: the state of all their pairs together."""
+    return states.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def add_state(pairs: DataFrame, path: str, by: tuple[str, ...] = ("run", "split", "day", "aspect"), partition: str = "day") -> None:
+    """Append the counts of new pairs, a row per group that occurs, to the states stored at ``path``.
+
+    Reports over any of the ``by`` columns then come from the states alone; earlier pairs are not read again. A batch
+    that is written again after a failure must go to the same partition with ``replace_state``.
+    """
+    pair_counts(pairs, by, None).write.mode("append").partitionBy(partition).parquet(path)
+
+
+def replace_state(pairs: DataFrame, path: str, by: tuple[str, ...] = ("run", "split", "day", "aspect"), partition: str = "day") -> None:
+    """As ``add_state``, in place of what the partitions of these pairs held."""
+    writer = pair_counts(pairs, by, None).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(partition).parquet(path)
+
+
+def report_from_counts(counts: DataFrame, by: tuple[str, ...] = ("aspect",)) -> DataFrame:
+    """All five metrics from counts, merged or not."""
+    scored = _with_r2(_with_prf(counts))
+    return scored.withColumn("final_score", F.col("f1_score") * F.col("r2_score")).select(*by, *METRICS)
+
+
+def merged_report(states: DataFrame, by: tuple[str, ...] = ("aspect",), aspects=ASPECTS) -> DataFrame:
+    """``score_report`` of all pairs behind the stored states."""
+    return report_from_counts(with_all_aspects(merge_counts(states, by), by, aspects), by)
 
 
 def presence_counts(pairs: DataFrame, by: tuple[str, ...] = ("aspect",)) -> DataFrame:
@@ -125,10 +167,7 @@ def rating_r2(pairs: DataFrame, by: tuple[str, ...] = ("aspect",)) -> DataFrame:
 
 def score_report(pairs: DataFrame, by: tuple[str, ...] = ("aspect",)) -> DataFrame:
     """All five metrics per aspect from one shuffle; ``final_score`` is F1 times R2."""
-    scored = _with_r2(_with_prf(pair_counts(pairs, by)))
-    return scored.withColumn("final_score", F.col("f1_score") * F.col("r2_score")).select(
-        *by, *METRICS
-    )
+    return report_from_counts(pair_counts(pairs, by), by)
 
 
 def macro_report(report: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from aspectra.functions.text import tokenize
-from aspectra.operators.lookup import ROW, find, numbered, salted_join, small_count, word_table
+from aspectra.operators.lookup import ROW, lookup_join, numbered
 
 # Listed as stop words, yet kept because they carry the sentiment.
 KEEP_WORDS = ("không",)
@@ -57,24 +57,8 @@ def remove_stopwords(
         words = df.sparkSession.createDataFrame([(w,) for w in listed], "word string")
 
     words = words.select("word").where(~F.col("word").isin(*keep)).distinct()
-    n = None if large else small_count(words)
-    if n is None and not large:
-        words = words.join(token_counts(df, text), "word", "left_semi")
-        n = small_count(words)
-    if n is not None:
-        table = word_table(words, "word", "word", n)
-        kept = F.filter(F.col("tokens"), lambda w: find(F.col("stop_table"), w, n).isNull())
-        return (
-            df.select("*", tokenize(F.col(text)).alias("tokens"), table.alias("stop_table"))
-            .withColumn(text, F.array_join(kept, " "))
-            .drop("tokens", "stop_table")
-        )
-    return _remove_by_join(df, words, text)
-
-
-def _remove_by_join(df: DataFrame, words: DataFrame, text: str) -> DataFrame:
     rows = numbered(df)
-    kept = salted_join(token_rows(rows, text, ROW), words, ["word"], "left_anti")
+    kept = lookup_join(token_rows(rows, text, ROW), words, ["word"], "left_anti", large)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
     joined = kept.groupBy(ROW).agg(
         F.array_join(F.transform(ordered, lambda t: t["word"]), " ").alias("kept_text")
@@ -93,21 +77,10 @@ def expand_terms(
     twice = terms.groupBy("short").count().where("count > 1").select("short").first()
     if twice:
         raise ValueError(f"two full forms for {twice.short!r}")
-    n = None if large else small_count(terms)
-    if n is not None:
-        table = word_table(terms, "short", "full", n)
-        words = F.transform(
-            F.split(text, " "), lambda w: F.coalesce(find(F.col("term_table"), F.lower(w), n), w)
-        )
-        return (
-            df.select("*", table.alias("term_table"))
-            .withColumn(text, F.array_join(words, " "))
-            .drop("term_table")
-        )
     stored = numbered(df)
     rows = stored.select(ROW, F.posexplode(F.split(text, " ")).alias("pos", "word"))
     rows = rows.withColumn("short", F.lower("word"))
-    matched = salted_join(rows, terms, ["short"], "left")
+    matched = lookup_join(rows, terms, ["short"], "left", large)
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("full", "word").alias("w"))))
     joined = matched.groupBy(ROW).agg(
         F.array_join(F.transform(ordered, lambda e: e["w"]), " ").alias("full_text")

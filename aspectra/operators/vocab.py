@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from aspectra.functions.text import tokenize
-from aspectra.operators.lookup import ROW, find, numbered, salted_join, small_count, word_table
+from aspectra.operators.lookup import ROW, lookup_join, numbered
 from aspectra.operators.tokens import token_counts, top_words
 
 PAD_ID = 0
@@ -31,35 +31,22 @@ def encode(
     """Add ``ids`` and ``mask``, both ``max_len`` long, and the uncut word count ``n_tokens``.
 
     ``vocab`` is (word, id), one row per word, as made by ``build_vocab``; it is read twice, so pass a
-    stored table. Within the bounds of a word table, the ids are looked up in place; beyond, or with
-    ``large``, the first ``max_len`` words of each row are joined to it. The rows are the same.
+    stored table. The first ``max_len`` words of each row are joined to it; ``large`` takes the way of
+    tables beyond the bounds of a broadcast. The rows are the same.
     """
     vocab = vocab.select("word", "id")
-    n = None if large else small_count(vocab)
+    rows = numbered(df)
     words = F.slice(tokenize(F.col(text)), 1, max_len)
-    if n is None:
-        stored = numbered(df)
-        rows = stored.select(ROW, F.posexplode(words).alias("pos", "word"))
-        found = salted_join(rows, vocab, ["word"], "left")
-        entry = F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
-        listed = found.groupBy(ROW).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        coded = stored.join(listed, ROW, "left").withColumns(
-            {
-                "n_tokens": F.size(tokenize(F.col(text))),
-                "ids": F.coalesce(F.transform("entries", lambda e: e["id"]), F.when(F.col(text).isNotNull(), F.array().cast("array<int>"))),
-            }
-        ).select(*df.columns, "n_tokens", "ids")
-    else:
-        table = word_table(vocab, "word", "id", n)
-        ids = F.transform(
-            F.slice("tokens", 1, max_len),
-            lambda w: F.coalesce(find(F.col("vocab_table"), w, n), F.lit(UNKNOWN_ID)),
-        )
-        coded = (
-            df.select("*", tokenize(F.col(text)).alias("tokens"), table.alias("vocab_table"))
-            .withColumns({"n_tokens": F.size("tokens"), "ids": ids})
-            .drop("tokens", "vocab_table")
-        )
+    found = lookup_join(rows.select(ROW, F.posexplode(words).alias("pos", "word")), vocab, ["word"], "left", large)
+    entry = F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
+    listed = found.groupBy(ROW).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    none = F.when(F.col(text).isNotNull(), F.array().cast("array<int>"))
+    coded = rows.join(listed, ROW, "left").withColumns(
+        {
+            "n_tokens": F.size(tokenize(F.col(text))),
+            "ids": F.coalesce(F.transform("entries", lambda e: e["id"]), none),
+        }
+    ).select(*df.columns, "n_tokens", "ids")
     room = F.greatest(F.lit(max_len) - F.col("n_tokens"), F.lit(0))
     positions = F.sequence(F.lit(1), F.lit(max_len))
     return coded.withColumns(

@@ -14,6 +14,9 @@ from aspectra.operators.labels import aspect_rows, unpivot_aspects
 from aspectra.schema import ASPECTS, CLASSES, RATINGS
 from aspectra.session import spread
 
+#: Components of a vector of the embeddings table.
+VECTOR_SIZE = 64
+
 KEYWORDS = dict(zip(ASPECTS, ("the", "of", "de", "la", "der", "is")))
 
 
@@ -94,8 +97,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aspect_rows(counts, ["review_id"], {a: {"truth": t, "pred": p} for a, t, p in sides})
 
 
-def large_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(aspect, truth, pred) of every order line, from its keys."""
+def large_pairs(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep`` columns, aspect, truth, pred) of every order line, from its keys."""
     lines = table(spark, sf_dir, "lineitem")
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     both = {
@@ -105,7 +108,7 @@ def large_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
         for i, a in enumerate(ASPECTS)
     }
-    return aspect_rows(lines, [], both)
+    return aspect_rows(lines, list(keep), both)
 
 
 def _density(a: str):

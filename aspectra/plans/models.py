@@ -2,34 +2,66 @@
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.util import inheritable_thread_target
 
 from aspectra.functions.labels import argmax_class, checked_class, pad, softmax
 from aspectra.functions.text import tokenize
 from aspectra.operators.history import rank_variants
+from aspectra.operators.joint import JointHeads, WordFeatures, carry_on, joint_logits, labelled_rows, mean_loss, word_features
 from aspectra.operators.labels import aspect_rows
-from aspectra.operators.loss import head_loss
 from aspectra.operators.metrics import macro_report, matched_pairs, score_report
+from aspectra.plans.bayes import BayesHeads
 from aspectra.schema import ASPECTS, METRICS
 from aspectra.session import materialise
 
 
+class Heads(Protocol):
+    """What predictions need of a model, however it was fitted."""
+
+    aspects: tuple[str, ...]
+
+    def logits(self, df: DataFrame, text: str) -> DataFrame:
+        """``df`` with ``<aspect>_logits``, six raw class scores for each aspect of its prepared text."""
+
+    def save(self, path: str) -> None: ...
+
+
 @dataclass(frozen=True)
 class AspectModel:
-    """Shared text features and one multinomial head per aspect."""
+    """Shared text features and one multinomial head per aspect, each fitted alone."""
 
     features: PipelineModel
     heads: dict[str, LogisticRegressionModel]
 
+    kind = "logistic"
+
+    @property
+    def aspects(self) -> tuple[str, ...]:
+        return tuple(self.heads)
+
+    def logits(self, df: DataFrame, text: str) -> DataFrame:
+        """Minus infinity for a class the fit has not seen. No shuffle."""
+        out = self.features.transform(_with_tokens(df, text))
+        for aspect, head in self.heads.items():
+            applied = head.copy()
+            applied.setFeaturesCol("features").setRawPredictionCol(f"{aspect}_raw")
+            applied.setPredictionCol("").setProbabilityCol("")
+            out = applied.transform(out)
+        raw = {a: vector_to_array(F.col(f"{a}_raw")) for a in self.heads}
+        return out.select(*df.columns, *[pad(v, float("-inf")).alias(f"{a}_logits") for a, v in raw.items()])
+
     def save(self, path: str) -> None:
         self.features.write().overwrite().save(f"{path}/features")
         for aspect, head in self.heads.items():
@@ -41,6 +73,71 @@ class AspectModel:
         return cls(PipelineModel.load(f"{path}/features"), heads)
 
 
+@dataclass(frozen=True)
+class JointModel:
+    """Six heads over hashed words, fitted together (``operators.joint``)."""
+
+    fit: JointHeads
+
+    kind = "joint"
+
+    @property
+    def aspects(self) -> tuple[str, ...]:
+        return self.fit.aspects
+
+    def logits(self, df: DataFrame, text: str) -> DataFrame:
+        """No shuffle: one matrix product per Arrow batch."""
+        k = self.fit.classes
+        scored = joint_logits(df, self.fit, text)
+        return scored.select(*df.columns, *[F.slice("logits", i * k + 1, k).alias(f"{a}_logits") for i, a in enumerate(self.aspects)])
+
+    def save(self, path: str) -> None:
+        """Everything that a prediction, or a fit that is carried on, needs."""
+        spark, fit = SparkSession.active(), self.fit
+        rows = [
+            (i, float(fit.features.rarity[i]), fit.weights[i].tolist(), fit.speed[0][i].tolist())
+            for i in range(fit.features.size)
+        ]
+        spark.createDataFrame(rows, "id int, rarity double, weights array<double>, speed array<double>").write.mode("overwrite").parquet(f"{path}/features")
+        row = [(list(fit.aspects), fit.classes, fit.epoch, fit.bias.tolist(), fit.speed[1].tolist(), json.dumps(fit.losses))]
+        schema = "aspects array<string>, classes int, epoch int, bias array<double>, speed array<double>, losses string"
+        spark.createDataFrame(row, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/heads")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> JointModel:
+        rows = spark.read.parquet(f"{path}/features").orderBy("id").collect()
+        head = spark.read.parquet(f"{path}/heads").first()
+        features = WordFeatures(len(rows), np.array([r["rarity"] for r in rows]))
+        return cls(
+            JointHeads(
+                features,
+                tuple(head["aspects"]),
+                head["classes"],
+                np.array([r["weights"] for r in rows]),
+                np.array(head["bias"]),
+                (np.array([r["speed"] for r in rows]), np.array(head["speed"])),
+                head["epoch"],
+                json.loads(head["losses"]),
+            )
+        )
+
+
+def load_heads(spark: SparkSession, path: str, kind: str, aspects=ASPECTS) -> Heads:
+    """A saved model of any kind."""
+    if kind == AspectModel.kind:
+        return AspectModel.load(path, aspects)
+    return {JointModel.kind: JointModel, BayesHeads.kind: BayesHeads}[kind].load(spark, path)
+
+
+def fit_joint_heads(
+    train: DataFrame, aspects=ASPECTS, text: str = "text", num_features: int = 4096, epochs: int = 30, **settings
+) -> JointModel:
+    """Six heads fitted together over the prepared text of ``train``; one pass per epoch. ``settings`` are those
+    of ``operators.joint.carry_on``."""
+    heads = JointHeads(word_features(train, text, num_features), tuple(aspects))
+    return JointModel(carry_on(labelled_rows(train, heads, text), heads, epochs, **settings))
+
+
 def _with_tokens(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("tokens", tokenize(F.col(text)))
 
@@ -110,29 +207,19 @@ def fit_heads(
 
 def head_logits(
     df: DataFrame,
-    model: AspectModel,
+    model: Heads,
     text: str = "text",
     key: str = "review_id",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, ``keep`` columns, ``<aspect>_logits``): six raw class scores per aspect, minus infinity
-    for a class the fit has not seen. No shuffle."""
-    out = model.features.transform(_with_tokens(df.select(key, text, *keep), text))
-    out = out.select(key, *keep, "features")
-    for aspect, head in model.heads.items():
-        applied = head.copy()
-        applied.setFeaturesCol("features").setRawPredictionCol(f"{aspect}_raw")
-        applied.setPredictionCol("").setProbabilityCol("")
-        out = applied.transform(out)
-    raw = {a: vector_to_array(F.col(f"{a}_raw")) for a in model.heads}
-    return out.select(
-        key, *keep, *[pad(v, float("-inf")).alias(f"{a}_logits") for a, v in raw.items()]
-    )
+    """(key, ``keep`` columns, ``<aspect>_logits``): six raw class scores per aspect."""
+    out = model.logits(df.select(key, text, *keep), text)
+    return out.select(key, *keep, *[f"{a}_logits" for a in model.aspects])
 
 
 def predict(
     df: DataFrame,
-    model: AspectModel,
+    model: Heads,
     text: str = "text",
     key: str = "review_id",
     keep: tuple[str, ...] = (),
@@ -141,9 +228,9 @@ def predict(
     """(key, ``keep`` columns, one class per aspect, ``<aspect>_prob`` of that class) for prepared
     text; with ``all_probs`` also ``<aspect>_probs``, the probability of every class."""
     probs = head_logits(df, model, text, key, keep).select(
-        key, *keep, *[softmax(F.col(f"{a}_logits")).alias(f"{a}_probs") for a in model.heads]
+        key, *keep, *[softmax(F.col(f"{a}_logits")).alias(f"{a}_probs") for a in model.aspects]
     )
-    each = {a: F.col(f"{a}_probs") for a in model.heads}
+    each = {a: F.col(f"{a}_probs") for a in model.aspects}
     return probs.select(
         key,
         *keep,
@@ -153,13 +240,13 @@ def predict(
     )
 
 
-def _labelled(df: DataFrame, model: AspectModel, text: str, key: str):
-    true = {a: f"true_{a}" for a in model.heads}
+def _labelled(df: DataFrame, model: Heads, text: str, key: str):
+    true = {a: f"true_{a}" for a in model.aspects}
     return true, df.select(key, text, *[F.col(a).alias(t) for a, t in true.items()])
 
 
 def loss_rows(
-    df: DataFrame, model: AspectModel, text: str = "text", key: str = "review_id"
+    df: DataFrame, model: Heads, text: str = "text", key: str = "review_id"
 ) -> DataFrame:
     """(key, aspect, logits, label) of a labelled table, the input of the losses."""
     true, labelled = _labelled(df, model, text, key)
@@ -169,7 +256,7 @@ def loss_rows(
 
 
 def evaluate(
-    df: DataFrame, model: AspectModel, text: str = "text", key: str = "review_id"
+    df: DataFrame, model: Heads, text: str = "text", key: str = "review_id"
 ) -> tuple[DataFrame, DataFrame]:
     """Per-aspect report and its mean over aspects, for a labelled table.
 
@@ -193,30 +280,33 @@ def fit_best(
     aspects=ASPECTS,
     text: str = "text",
     key: str = "review_id",
-) -> tuple[AspectModel, DataFrame]:
-    """Fit every variant (settings of ``fit_aspect_heads``) for several numbers of passes and keep
-    the model with the best mean final score on ``val``, the earliest on ties. Features depend on a
-    variant's ``num_features`` alone and are made once for it.
+) -> tuple[JointModel, DataFrame]:
+    """Fit every variant (settings of ``fit_joint_heads``) once, look at it after each of ``epochs`` passes, and keep
+    the model with the best mean final score on ``val``, the earliest on ties. A fit is carried on from one look to the
+    next. Features depend on a variant's ``num_features`` alone and are made once for it.
 
     Also returns the history (run_id, epoch, aspect, train_loss, val_loss and the five metrics of
-    ``val``), ready for ``best_epoch`` and ``rank_variants``. Each fit leaves six rows; the reviews
+    ``val``), ready for ``best_epoch`` and ``rank_variants``. Each look leaves six rows; the reviews
     never reach the driver.
     """
     fits, reports, made = {}, [], {}
+    spark = train.sparkSession
     for run_id, settings in variants.items():
         settings = dict(settings)
         size = settings.pop("num_features", 4096)
         if size not in made:
-            made[size] = fit_features(train, aspects, text, size)
-        for epoch in epochs:
-            model = fit_heads(*made[size], aspects, max_iter=epoch, **settings)
+            heads = JointHeads(word_features(train, text, size), tuple(aspects))
+            made[size] = heads, labelled_rows(train, heads, text), labelled_rows(val, heads, text)
+        heads, rows, val_rows = made[size]
+        for epoch in sorted(epochs):
+            heads = carry_on(rows, heads, epoch - heads.epoch, **settings)
+            model = fits[run_id, epoch] = JointModel(heads)
             report, _ = evaluate(val, model, text, key)
-            for name, rows in (("train_loss", train), ("val_loss", val)):
-                losses = head_loss(loss_rows(rows, model, text, key)).withColumnRenamed("loss", name)
-                report = report.join(losses, "aspect", "left")
-            fits[run_id, epoch] = model
+            losses = [mean_loss(r, heads) for r in (rows, val_rows)]
+            table = [(a, *(None if np.isnan(part[a]) else float(part[a]) for part in losses)) for a in aspects]
+            losses = spark.createDataFrame(table, "aspect string, train_loss double, val_loss double")
             columns = ["aspect", "train_loss", "val_loss", *METRICS]
-            run = report.select(F.lit(run_id).alias("run_id"), F.lit(epoch).alias("epoch"), *columns)
+            run = report.join(losses, "aspect", "left").select(F.lit(run_id).alias("run_id"), F.lit(epoch).alias("epoch"), *columns)
             reports.append(materialise(run))
     history = reduce(DataFrame.unionByName, reports)
     best = rank_variants(history).where("place = 1").first()

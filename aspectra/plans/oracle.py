@@ -7,7 +7,19 @@ from __future__ import annotations
 
 from aspectra.functions.text import ABBREVIATIONS, ALLOWED_LETTERS
 from aspectra.plans.fixtures import KEYWORDS
-from aspectra.plans.queries import MAX_LEN, MIN_PAIR_COUNT, MIN_PMI, RULES, STOP_WORDS, VOCAB_SIZE
+from aspectra.plans.queries import (
+    JOINT_EPOCHS,
+    JOINT_MOMENTUM,
+    JOINT_RATE,
+    LONGEST_PHRASE,
+    MAX_LEN,
+    MIN_PAIR_COUNT,
+    MIN_PMI,
+    MIN_WORD_COUNT,
+    RULES,
+    STOP_WORDS,
+    VOCAB_SIZE,
+)
 from aspectra.schema import ASPECTS
 
 WORD = r"[\p{L}\p{N}_]"
@@ -450,6 +462,133 @@ ORACLE = {
     " (ORDER BY mean_score DESC, run_id) AS INT) AS place FROM best WHERE is_best",
 }
 
+# Phrases: every run of two to four words, however its parts fare; the lists are the same.
+RUNS = [
+    "len_w AS (SELECT review_id, t, len(t) AS m FROM w)",
+    "run AS (" + " UNION ALL ".join(
+        f"SELECT review_id, i AS pos, {n} AS n, array_to_string(t[i : i + {n - 1}], ' ') AS phrase FROM"
+        f" (SELECT review_id, t, unnest(range(1, m - {n - 2})) AS i FROM len_w WHERE m >= {n})"
+        for n in range(2, LONGEST_PHRASE + 1)
+    ) + ")",
+    "uni AS (SELECT word, count(*) AS c FROM tok GROUP BY word)",
+    f"often AS (SELECT phrase, n, count(*) AS count FROM run GROUP BY phrase, n HAVING count(*) >= {MIN_PAIR_COUNT})",
+    "part AS (SELECT phrase, unnest(string_split(phrase, ' ')) AS word FROM often)",
+    "logs AS (SELECT phrase, sum(ln(c::DOUBLE)) AS logs FROM part JOIN uni USING (word) GROUP BY phrase)",
+    "phrases AS (SELECT phrase, n, count, (ln(count::DOUBLE) + (n - 1) * ln((SELECT sum(c) FROM uni)::DOUBLE) - logs)"
+    " / (n - 1) AS score FROM often JOIN logs USING (phrase))",
+]
+
+
+def longest_match(steps: int = 15) -> list[str]:
+    """The words at which a longest match begins: 2^k steps at a time, from the first word of every text."""
+    parts = [
+        f"best AS (SELECT review_id, pos, max(n) AS n FROM run WHERE phrase IN (SELECT phrase FROM phrases WHERE score >= {MIN_PMI})"
+        " GROUP BY review_id, pos)",
+        "jump0 AS MATERIALIZED (SELECT tok.review_id, tok.pos, tok.pos + coalesce(n, 1) AS nxt FROM tok"
+        " LEFT JOIN best ON best.review_id = tok.review_id AND best.pos = tok.pos)",
+        "at0 AS MATERIALIZED (SELECT review_id, CAST(1 AS BIGINT) AS pos FROM w WHERE len(t) > 0)",
+    ]
+    for k in range(steps):
+        parts += [
+            f"at{k + 1} AS MATERIALIZED (SELECT review_id, pos FROM at{k} UNION"
+            f" SELECT a.review_id, j.nxt AS pos FROM at{k} AS a JOIN jump{k} AS j ON j.review_id = a.review_id AND j.pos = a.pos)",
+            f"jump{k + 1} AS MATERIALIZED (SELECT a.review_id, a.pos, b.nxt FROM jump{k} AS a JOIN jump{k} AS b"
+            " ON b.review_id = a.review_id AND b.pos = a.nxt)",
+        ]
+    return parts + [
+        f"tags AS (SELECT tok.review_id, tok.pos, tok.word, CASE WHEN a.pos IS NULL THEN 'I' ELSE 'B' END AS tag FROM tok"
+        f" LEFT JOIN at{steps} AS a ON a.review_id = tok.review_id AND a.pos = tok.pos)",
+    ]
+
+
+# Closed-form heads: words of the cleaned text, weights in millionths.
+BAYES = [
+    *SPLITS,
+    CLEAN,
+    f"words AS (SELECT review_id, unnest(regexp_extract_all(text, '{WORD}+')) AS word FROM clean)",
+    "seen AS (SELECT review_id, word, count(*) AS n FROM words GROUP BY ALL)",
+    "kept AS (SELECT word FROM seen JOIN splits USING (review_id) WHERE split = 'train' GROUP BY word"
+    f" HAVING sum(n) >= {MIN_WORD_COUNT})",
+    "label AS (" + each("SELECT review_id, split, '{a}' AS aspect, {a} AS k FROM splits", " UNION ALL ") + ")",
+    "cls AS (SELECT aspect, CAST(k AS INT) AS k FROM (VALUES " + each("('{a}')") + ") AS v(aspect), range(6) AS r(k))",
+    "hit AS (SELECT aspect, k, word, sum(n) AS n FROM label JOIN seen USING (review_id) JOIN kept USING (word)"
+    " WHERE split = 'train' GROUP BY ALL)",
+    "total AS (SELECT c.aspect, c.k, coalesce(sum(n), 0) + (SELECT count(*) FROM kept) AS t FROM cls AS c"
+    " LEFT JOIN hit USING (aspect, k) GROUP BY ALL)",
+    "weight AS (SELECT t.aspect, t.k, kept.word,"
+    " round(1000000 * ln((coalesce(hit.n, 0) + 1)::DOUBLE / t.t::DOUBLE))::BIGINT AS x FROM total AS t CROSS JOIN kept"
+    " LEFT JOIN hit ON hit.aspect = t.aspect AND hit.k = t.k AND hit.word = kept.word)",
+    "base AS (SELECT c.aspect, c.k, round(1000000 * ln((count(l.review_id) + 1)::DOUBLE"
+    " / ((SELECT count(*) FROM splits WHERE split = 'train') + 6)::DOUBLE))::BIGINT AS x FROM cls AS c"
+    " LEFT JOIN label AS l ON l.aspect = c.aspect AND l.k = c.k AND l.split = 'train' GROUP BY c.aspect, c.k)",
+    "sums AS (SELECT review_id, aspect, k, sum(n * x) AS s FROM seen JOIN weight USING (word) GROUP BY ALL)",
+    "logit AS (SELECT d.review_id, b.aspect, b.k, (b.x + coalesce(s.s, 0))::DOUBLE / 1000000 AS z"
+    " FROM splits AS d CROSS JOIN base AS b LEFT JOIN sums AS s ON s.review_id = d.review_id AND s.aspect = b.aspect AND s.k = b.k)",
+    "chosen AS (SELECT review_id, aspect, k AS pred, 1 / sum(exp(z - m)) OVER (PARTITION BY review_id, aspect) AS prob, z, m"
+    " FROM (SELECT *, max(z) OVER (PARTITION BY review_id, aspect) AS m FROM logit)"
+    " QUALIFY row_number() OVER (PARTITION BY review_id, aspect ORDER BY z DESC, k) = 1)",
+]
+
+
+def joint_fit() -> list[str]:
+    """Gradient steps of all heads over the vectors, written out pass by pass."""
+    parts = [
+        "rated AS (SELECT t.* FROM truth AS t JOIN embeddings ON vec_id = review_id)",
+        "label AS MATERIALIZED (" + each("SELECT review_id AS vec_id, '{a}' AS aspect, {a} AS y FROM rated", " UNION ALL ") + ")",
+        "x AS MATERIALIZED (SELECT d.vec_id, d.dim, d.x FROM dims AS d JOIN rated ON review_id = vec_id"
+        " UNION ALL SELECT review_id, 0, 1.0::DOUBLE FROM rated)",
+        "rows_n AS (SELECT count(*)::DOUBLE AS n FROM rated)",
+        "cell AS (SELECT aspect, CAST(k AS INT) AS k, dim FROM (SELECT DISTINCT aspect FROM label), range(6) AS r(k),"
+        " (SELECT DISTINCT dim FROM x))",
+        "w0 AS (SELECT aspect, k, dim, 0.0::DOUBLE AS w, 0.0::DOUBLE AS v FROM cell)",
+    ]
+    for e in range(JOINT_EPOCHS):
+        parts += [
+            f"z{e} AS (SELECT vec_id, aspect, k, sum(x * w) AS z FROM x JOIN w{e} USING (dim) GROUP BY ALL)",
+            f"p{e} AS MATERIALIZED (SELECT vec_id, aspect, k, y, exp(z - m) / sum(exp(z - m)) OVER h AS p,"
+            " ln(sum(exp(z - m)) OVER h) + m - z AS nll FROM (SELECT vec_id, aspect, k, z, y,"
+            f" max(z) OVER (PARTITION BY vec_id, aspect) AS m FROM z{e} JOIN label USING (vec_id, aspect))"
+            " WINDOW h AS (PARTITION BY vec_id, aspect))",
+            f"g{e} AS (SELECT aspect, k, dim, sum((p - CASE WHEN k = y THEN 1 ELSE 0 END) * x) / (SELECT n FROM rows_n) AS g"
+            f" FROM p{e} JOIN x USING (vec_id) GROUP BY ALL)",
+            f"w{e + 1} AS MATERIALIZED (SELECT aspect, k, dim, w + {JOINT_MOMENTUM}::DOUBLE * v - {JOINT_RATE}::DOUBLE * g AS w,"
+            f" {JOINT_MOMENTUM}::DOUBLE * v - {JOINT_RATE}::DOUBLE * g AS v FROM w{e} JOIN g{e} USING (aspect, k, dim))",
+        ]
+    return parts
+
+
+ORACLE |= {
+    "compound_mine_long": cte(WORDS, TOKENS, *RUNS)
+    + f"SELECT phrase, n, count, {r6('score')} AS score FROM phrases",
+    "compound_merge_list": cte(
+        WORDS,
+        TOKENS,
+        *RUNS,
+        *longest_match(),
+        merged("tags"),
+        "g AS (SELECT review_id, string_agg(compound, ' ' ORDER BY run) AS text FROM compounds GROUP BY review_id)",
+    )
+    + "SELECT review_id, coalesce(g.text, '') AS text FROM w LEFT JOIN g USING (review_id)",
+    "score_report_merged": ORACLE["score_report_large"],
+    "aspect_heads": cte(
+        *BAYES,
+        "pairs AS (SELECT l.aspect, l.k AS truth, c.pred FROM label AS l JOIN chosen AS c USING (review_id, aspect)"
+        " WHERE split = 'val')",
+        TALLY,
+        REPORT,
+        FULL_REPORT,
+    )
+    + f"SELECT aspect, {ALL_METRICS} FROM full_report",
+    "batch_predict": cte(*BAYES)
+    + "SELECT review_id, " + each("CAST(max(pred) FILTER (aspect = '{a}') AS INT) AS {a}") + ", "
+    + each("(round(max(prob) FILTER (aspect = '{a}'), 6) + 0.0::DOUBLE) AS {a}_prob") + " FROM chosen GROUP BY review_id",
+    "joint_heads": cte(*RATED, TRUTH, DIMS, *joint_fit())
+    + " UNION ALL ".join(
+        f"SELECT CAST({e + 1} AS INT) AS epoch, aspect, {r6('avg(nll)')} AS loss FROM p{e} WHERE k = y GROUP BY aspect"
+        for e in range(JOINT_EPOCHS)
+    ),
+}
+
 # The way of large lists and the numbering of ids with gaps change no row.
 ORACLE |= {
     "abbrev_expand_large": ORACLE["abbrev_expand"],

@@ -15,16 +15,18 @@ from aspectra.operators import (
     folds,
     heads,
     history,
+    joint,
     labels,
     loss,
     metrics,
+    phrases,
     tokens,
     vectors,
     vocab,
 )
-from aspectra.plans import fixtures as fx, models, prepare
+from aspectra.plans import bayes, fixtures as fx, models, prepare, rater
 from aspectra.schema import ASPECTS, METRICS
-from aspectra.session import materialise, new_table_path
+from aspectra.session import materialise, new_table_path, stored
 from aspectra.sources import reviews as reviews_io
 from aspectra.sources.words import read_word_list
 
@@ -33,6 +35,11 @@ MAX_LEN = 128
 STOP_WORDS = 20
 MIN_PAIR_COUNT = 20
 MIN_PMI = 1.0
+LONGEST_PHRASE = 4
+MIN_WORD_COUNT = 5
+JOINT_EPOCHS = 4
+JOINT_RATE = 0.5
+JOINT_MOMENTUM = 0.9
 # The default abbreviations are Vietnamese and do not occur in the test text; these do.
 RULES = {**X.ABBREVIATIONS, "von": "from", "un": "one", "th": "this thing", "der": "jener"}
 
@@ -218,6 +225,32 @@ def compound_merge(spark: SparkSession, sf: str) -> DataFrame:
     return compounds.merge_compounds(compounds.tag_compounds(docs, mined_lexicon(docs)))
 
 
+def mined_phrases(docs: DataFrame) -> DataFrame:
+    return phrases.mine_phrases(docs, MIN_PAIR_COUNT, LONGEST_PHRASE)
+
+
+@query
+def compound_mine_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases of two to four words."""
+    return rounded(mined_phrases(fx.lower_reviews(spark, sf)), "score")
+
+
+@query
+def compound_merge_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Longest match of the mined phrases whose words belong together, three and four words included."""
+    docs = fx.lower_reviews(spark, sf)
+    listed = stored(mined_phrases(docs).where(F.col("score") >= MIN_PMI).select("phrase", "n"), "phrase-list")
+    return phrases.merge_phrases(docs, listed, LONGEST_PHRASE)
+
+
+@query
+def compound_best_path(spark: SparkSession, sf: str) -> DataFrame:
+    """The most likely division of every text into words and mined phrases."""
+    docs = fx.lower_reviews(spark, sf)
+    scores = stored(phrases.word_scores(docs, mined_phrases(docs).where(F.col("score") >= MIN_PMI)), "phrase-scores")
+    return phrases.merge_phrases(docs, scores, LONGEST_PHRASE, best=True)
+
+
 @query
 def prepare_text(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.prepare_text(fx.reviews(spark, sf))
@@ -351,6 +384,16 @@ def score_report_large(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.score_report(fx.large_pairs(spark, sf)), *METRICS)
 
 
+@query
+def score_report_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Three loads of pairs, each stored as counts by day; the report comes from the stored counts."""
+    path = new_table_path(spark, "metric-states")
+    pairs = fx.large_pairs(spark, sf, ("l_returnflag", "l_shipdate")).withColumnsRenamed({"l_returnflag": "run", "l_shipdate": "day"})
+    for flag in ("A", "N", "R"):
+        metrics.add_state(pairs.where(F.col("run") == flag), path, ("run", "day", "aspect"), "run")
+    return rounded(metrics.merged_report(spark.read.parquet(path)), *METRICS)
+
+
 @query
 def score_report_sparse(spark: SparkSession, sf: str) -> DataFrame:
     """One aspect without any pair still has its row, and counts in the mean."""
@@ -451,26 +494,37 @@ def evaluate_heads(spark: SparkSession, sf: str) -> DataFrame:
     return with_mean(metrics.score_report(metrics.matched_pairs(metrics.align(held, wide))))
 
 
+@query
+def joint_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss of every head in the first passes of a joint fit over the rated vectors."""
+    start = joint.JointHeads(joint.VectorFeatures(fx.VECTOR_SIZE))
+    rows = joint.labelled_rows(fx.rated_vectors(spark, sf), start, "vec")
+    fitted = joint.carry_on(rows, start, JOINT_EPOCHS, JOINT_RATE, JOINT_MOMENTUM)
+    return rounded(joint.loss_history(fitted, spark), "loss")
+
+
 def _fitted(spark: SparkSession, sf: str):
     # A folder per split, so that the fit reads the columns and rows it needs.
-    path = new_table_path(spark, "prepared")
-    prepared = prepare.prepare_text(folds.train_val_test(fx.truth(spark, sf)))
-    reviews_io.write_splits(prepared, path, "parquet")
+    path = new_table_path(spark, "raw-splits")
+    reviews_io.write_splits(folds.train_val_test(fx.truth(spark, sf)), path, "parquet")
     data = spark.read.parquet(path)
-    return models.fit_aspect_heads(data.where(F.col("split") == "train")), data
+    fit = {"fit": bayes.fit_bayes_heads, "text": "text", "min_count": MIN_WORD_COUNT}
+    return rater.fit_rater(data.where(F.col("split") == "train"), **fit), data
 
 
 @query
 def aspect_heads(spark: SparkSession, sf: str) -> DataFrame:
-    model, data = _fitted(spark, sf)
-    report, _ = models.evaluate(data.where(F.col("split") == "val"), model)
-    return report
+    """Heads fitted on raw reviews of the training split, scored on those of the validation split."""
+    fitted, data = _fitted(spark, sf)
+    report, _ = fitted.evaluate(data.where(F.col("split") == "val"), text="text")
+    return rounded(report, *METRICS)
 
 
 @query
 def batch_predict(spark: SparkSession, sf: str) -> DataFrame:
-    model, data = _fitted(spark, sf)
-    return models.predict(data, model)
+    """Classes of all raw reviews, and the probability of each."""
+    fitted, data = _fitted(spark, sf)
+    return rounded(fitted.predict(data, text="text"), *[f"{a}_prob" for a in ASPECTS])
 
 
 @query

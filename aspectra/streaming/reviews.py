@@ -1,12 +1,12 @@
-"""Reviews that arrive as a stream: the same preparation and the same heads, row by row."""
+"""Reviews that arrive as a stream: the same preparation and the same heads, batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from aspectra.plans.models import AspectModel, predict
-from aspectra.plans.prepare import prepare_text
+from aspectra.plans.models import Heads
+from aspectra.plans.rater import Preparation, TextRater
 from aspectra.schema import ASPECTS, review_schema
 
 
@@ -19,14 +19,22 @@ def read_review_stream(
 
 
 def predict_stream(
-    reviews: DataFrame, model: AspectModel, path: str, checkpoint: str
+    reviews: DataFrame, rater: TextRater | Heads, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Append class predictions to parquet files. Stateless, so there is nothing to expire; the
-    checkpoint folder makes each input file count once across restarts."""
-    predicted = predict(prepare_text(reviews, text="review"), model, text="review")
+    """Class predictions of raw reviews as parquet files, a folder ``batch=<n>`` for each micro-batch.
+
+    A batch is rated as any table is, so lists of compounds or stop words work as they do there; heads that come
+    without a preparation get the default one. The checkpoint folder makes each input file count once across restarts:
+    a batch that is run again after a failure replaces its own folder.
+    """
+    if not isinstance(rater, TextRater):
+        rater = TextRater(Preparation(), rater)
+
+    def rate(batch: DataFrame, number: int) -> None:
+        rater.predict(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     return (
-        predicted.writeStream.format("parquet")
-        .option("path", path)
+        reviews.writeStream.foreachBatch(rate)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

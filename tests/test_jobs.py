@@ -16,8 +16,7 @@ LABELS = ", ".join(f"{a} int" for a in ASPECTS)
 @pytest.fixture
 def small_bounds(monkeypatch):
     """Treat every word table as too large to broadcast."""
-    for module in (lookup, tokens, compounds):
-        monkeypatch.setattr(module, "small_count", lambda *a, **k: None)
+    monkeypatch.setattr(lookup, "small_count", lambda *a, **k: None)
 
 
 @pytest.fixture(scope="module")
@@ -94,8 +93,7 @@ def test_join_paths_give_the_same_result(spark, sf, small_bounds):
     terms = spark.createDataFrame([("the", "all the"), ("of", "from")], "short string, full string")
     joined_terms = tokens.expand_terms(docs, terms)
     with pytest.MonkeyPatch.context() as patch:
-        for module in (tokens, compounds):
-            patch.setattr(module, "small_count", lambda table: table.count())
+        patch.setattr(lookup, "small_count", lambda table: table.count())
         tags = compounds.tag_compounds(docs, lexicon).select("review_id", "tokens", "tags")
         text = tokens.remove_stopwords(docs, words, keep=["is"])
         expanded = tokens.expand_terms(docs, terms)
@@ -118,23 +116,26 @@ def test_one_word_may_be_most_of_the_corpus(spark):
     assert mined["hot", "hot"] == 98000 and sum(mined.values()) == 100000
 
 
-def test_mining_with_salted_joins(spark, sf, small_bounds):
+def test_mining_with_split_joins(spark, sf, small_bounds):
     docs = fx.lower_reviews(spark, sf)
-    salted = compounds.mine_compounds(docs)
+    split = compounds.mine_compounds(docs)
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(lookup, "small_count", lambda table: table.count())
         broadcast = compounds.mine_compounds(docs)
-    assert broadcast.exceptAll(salted).count() == 0 and salted.count() == broadcast.count() > 0
+    assert broadcast.exceptAll(split).count() == 0 and split.count() == broadcast.count() > 0
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_with_a_hot_key(spark, how):
+def test_split_join_with_a_hot_key(spark, how):
+    """Null, hot, listed and unlisted keys; the hot one alone is broadcast."""
     facts = spark.range(3000).select(
-        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k")
+        "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 != 0, F.col("id").cast("string")).alias("k")
     )
-    table = spark.createDataFrame([("hot", 1), ("7", 2), ("none", 3)], "k string, v int")
-    plain, salted = facts.join(table, "k", how), lookup.salted_join(facts, table, ["k"], how)
-    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, salted.collect()), key=repr)
+    table = spark.createDataFrame([("hot", 1), ("7", 2), ("8", 5), ("none", 3)], "k string, v int")
+    assert [r.k for r in lookup.heavy_keys(facts, ["k"], 8).collect()] == ["hot"]
+    assert lookup.heavy_keys(facts.where("k <> 'hot'"), ["k"], 8).count() == 0
+    plain, split = facts.join(table, "k", how), lookup.split_join(facts, table, ["k"], how)
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, split.collect()), key=repr)
 
 
 def test_word_table_bounds(spark):
