@@ -16,9 +16,12 @@ from itertools import groupby
 
 from pyspark import RDD
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Units of one piece.
 UNITS = 2048
+#: Bytes of text that a partition of the sort holds on average.
+PART_BYTES = 32 << 20
 #: Markers of the prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN, PSM, SPM = "plain", "psm", "spm"
@@ -120,8 +123,9 @@ def sorted_pieces(docs: DataFrame, units: int = UNITS, **options) -> RDD:
     """
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).rdd
     emitted = rows.mapPartitionsWithIndex(_emit(units, options))
-    session = docs.sparkSession
-    n = max(emitted.getNumPartitions(), int(session.conf.get("spark.sql.shuffle.partitions")))
+    # As many partitions as the text needs, whatever the number of files it lies in.
+    size = docs.agg(F.sum(F.octet_length(docs["text"].cast("string"))).alias("size")).first()["size"] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     return emitted.repartitionAndSortWithinPartitions(n, _by_document)
 
 
