@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from aspectra.session import stored
 
 #: Counts that a task holds before it hands its stripes on.
-ENTRIES = 200_000
+ENTRIES = 500_000
 #: Pairs of counts that are compared at once, and sums of pairs held before they are handed on.
 PAIRS = 1 << 20
 #: Shares are stated in parts of this number.
@@ -72,11 +72,17 @@ class _Stripes:
             rows = list(table.items())
             for start in range(0, len(rows), 20_000):
                 part = rows[start : start + 20_000]
+                sources, counts, ends = [], [], [0]
+                for _, (_, by_source) in part:
+                    sources.extend(by_source)
+                    counts.extend(by_source.values())
+                    ends.append(len(counts))
+                entries = pa.StructArray.from_arrays([pa.array(sources, pa.string()), pa.array(counts, pa.int64())], names=["source", "n"])
                 columns = [
                     pa.array([lang] * len(part), pa.string()),
-                    pa.array([term.decode() for term, _ in part], pa.string()),
+                    pa.array([term for term, _ in part], pa.binary()).cast(pa.string()),
                     pa.array([docs for _, (docs, _) in part], pa.int64()),
-                    pa.array([[{"source": s, "n": n} for s, n in by.items()] for _, (_, by) in part], _STRIPES.field("stripe").type),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=_STRIPES)
         self.tables, self.entries = {}, 0
