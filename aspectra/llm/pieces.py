@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import codecs
 import heapq
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aspectra.llm.words import chunks
+
 #: Words whose pieces a task remembers, and the longest word it remembers.
-CACHE, CACHED_LENGTH = 200_000, 60
-#: Ids that one output batch may reach before it is handed on.
-BATCH_IDS = 1 << 20
+CACHE, CACHED_LENGTH = 300_000, 60
+#: Characters up to which the pairs of a word are simply looked through.
+SHORT = 40
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+BATCH_BYTES = 1 << 20
 SPACE = "▁"
 
 # Kinds of pieces in the model format.
@@ -139,6 +145,13 @@ class Normaliser:
         return out, np.append(place, np.int32(end))
 
 
+def _copies(lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values of the chosen lists in all lists laid end to end, and the length of each choice."""
+    counts = lengths[which]
+    first = (np.cumsum(lengths) - lengths)[which]
+    return np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts), counts
+
+
 class Pieces:
     """A byte-pair model with byte fallback: encoding with places, and decoding."""
 
@@ -154,19 +167,22 @@ class Pieces:
             raise ValueError("only byte-pair models with byte fallback, without pieces of the user's own, are supported")
         if model.trainer_spec.treat_whitespace_as_suffix or model.HasField("denormalizer_spec") and model.denormalizer_spec.precompiled_charsmap:
             raise ValueError("models that put spaces after words, or rewrite decoded text, are not supported")
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type == _NORMAL}
+        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == _NORMAL}
+        self.cost = {p.piece: -p.score for p in model.pieces if p.type == _NORMAL}
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
         self.end_id = model.trainer_spec.eos_id
         self.normalise = Normaliser(CharMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         self.strips = spec.add_dummy_prefix or spec.remove_extra_whitespaces
         self.strips_all = spec.remove_extra_whitespaces
         # No merge can reach over a place where no piece has both sides.
-        closed = all(SPACE not in p.lstrip(SPACE) for p in self.rank)
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if closed else re.compile(".+", re.DOTALL)
+        self.closed = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.surface = [self._surface(p) for p in model.pieces]
         self.content = [p.type == _NORMAL for p in model.pieces]
         self.silent = [p.type == _CONTROL for p in model.pieces]
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), dtype=np.uint8)
+        self.surface_sizes = np.array([len(p) for p in self.surface], dtype=np.int64)
+        self.silent_ids = np.array(self.silent, dtype=np.int64)
+        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _surface(self, piece) -> bytes:
         if piece.type == _CONTROL:
@@ -181,16 +197,47 @@ class Pieces:
         The pair of the best score is merged first, of equal ones the leftmost. A character outside the
         vocabulary becomes its bytes; the last of them stands for the character's place.
         """
-        parts: list[str] = list(word)
+        parts = self._short(list(word)) if len(word) <= SHORT else self._long(list(word))
+        ids, sizes = array("I"), array("I")
+        for part in parts:
+            found = self.ids.get(part)
+            if found is not None:
+                ids.append(found)
+                sizes.append(len(part) if part.isascii() else len(part.encode()))
+            else:
+                raw = part.encode()
+                ids.extend(self.byte[b] for b in raw)
+                sizes.extend([0] * (len(raw) - 1) + [len(raw)])
+        return ids.tobytes(), sizes.tobytes()
+
+    def _short(self, parts: list[str]) -> list[str]:
+        """Merged parts of a short word: the best of all pairs, time after time."""
+        cost, none = self.cost.get, math.inf
+        costs = [cost(a + b, none) for a, b in zip(parts, parts[1:])]
+        while costs:
+            least = min(costs)
+            if least == none:
+                break
+            i = costs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = cost(parts[i - 1] + parts[i], none)
+            if i < len(costs):
+                costs[i] = cost(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _long(self, parts: list[str]) -> list[str]:
+        """The same for a word of any length, with the pairs in a queue."""
         before = list(range(-1, len(parts) - 1))
         after = [*range(1, len(parts)), -1]
-        rank, queue = self.rank, []
+        queue = []
 
         def offer(a: int, b: int) -> None:
             if a >= 0 and b >= 0:
-                found = rank.get(parts[a] + parts[b])
+                found = self.cost.get(parts[a] + parts[b])
                 if found is not None:
-                    heapq.heappush(queue, (found[0], a, b, len(parts[a]) + len(parts[b])))
+                    heapq.heappush(queue, (found, a, b, len(parts[a]) + len(parts[b])))
 
         for i in range(len(parts) - 1):
             offer(i, i + 1)
@@ -205,34 +252,82 @@ class Pieces:
                 before[after[b]] = a
             offer(before[a], a)
             offer(a, after[a])
-        ids, sizes = [], []
-        for part in filter(None, parts):
-            raw = part.encode()
-            if part in rank:
-                ids.append(rank[part][1])
-                sizes.append(len(raw))
-            else:
-                ids += [self.byte[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-        return np.array(ids, dtype="<u4").tobytes(), np.array(sizes, dtype="<u4").tobytes()
+        return [part for part in parts if part]
+
+    def _known(self, word: bytes) -> tuple[bytes, bytes]:
+        got = self.cache.get(word)
+        if got is None:
+            got = self._merge(word.decode())
+            if len(self.cache) < CACHE and len(word) <= CACHED_LENGTH:
+                self.cache[word] = got
+        return got
+
+    def _words(self, written: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where words begin in normalised texts laid end to end: at each text, and at each space mark behind
+        something else, since no piece reaches over such a place."""
+        first = np.zeros(len(written) + 1, dtype=bool)
+        if self.closed:
+            mark = np.frombuffer(SPACE.encode(), dtype=np.uint8)
+            marks = np.zeros(len(written), dtype=bool)
+            n = len(written) - len(mark) + 1
+            if n > 0:
+                marks[:n] = np.logical_and.reduce([written[i : i + n] == b for i, b in enumerate(mark)])
+            after = np.zeros(len(written), dtype=bool)
+            after[len(mark) :] = marks[: -len(mark)]
+            first[:-1] = marks & ~after
+        first[bounds[:-1][np.diff(bounds) > 0]] = True
+        return np.flatnonzero(first)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the texts laid end to end, how many each has, and the bytes of its text where each begins and ends.
+
+        Equal words of all texts are merged once; their ids are then copied to wherever they occur.
+        """
+        made = [self.normalise(text) for text in texts]
+        data = b"".join(written for written, _ in made)
+        places = np.concatenate([place for _, place in made]) if made else np.zeros(0, dtype=np.int32)
+        bounds = np.concatenate([[0], np.cumsum([len(written) for written, _ in made], dtype=np.int64)]).astype(np.int64)
+        starts = self._words(np.frombuffer(data, dtype=np.uint8), bounds)
+        edges = np.append(starts, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        pairs = [self._known(word) for word in words.dictionary.to_pylist()]
+        # One more word, of the end id alone, behind each text.
+        pairs.append((np.array([self.end_id], dtype="<u4").tobytes(), b"\0\0\0\0"))
+        which = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, bounds[1:]), len(pairs) - 1)
+        text = np.insert(np.searchsorted(bounds, starts, side="right") - 1, np.searchsorted(starts, bounds[1:]), np.arange(len(texts)))
+        lengths = np.array([len(ids) // 4 for ids, _ in pairs], dtype=np.int64)
+        at, counts = _copies(lengths, which)
+        ids = np.frombuffer(b"".join(p[0] for p in pairs), dtype="<u4")[at]
+        sizes = np.frombuffer(b"".join(p[1] for p in pairs), dtype="<u4")[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        # A text has one place more than bytes.
+        own = np.repeat(text, counts)
+        return ids, np.bincount(own, minlength=len(texts)), places[ends - sizes + own], places[ends + own]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of a text, the end id last, and the bytes of the text where each begins and ends."""
-        written, place = self.normalise(text)
-        ids, sizes, cache = [], [], self.cache
-        for word in self.words.findall(written.decode()):
-            got = cache.get(word)
-            if got is None:
-                got = self._merge(word)
-                if len(cache) < CACHE and len(word) <= CACHED_LENGTH:
-                    cache[word] = got
-            ids.append(got[0])
-            sizes.append(got[1])
-        ids.append(np.array([self.end_id], dtype="<u4").tobytes())
-        sizes.append(b"\0\0\0\0")
-        ends = np.cumsum(np.frombuffer(b"".join(sizes), dtype="<u4"), dtype=np.int64)
-        borders = place[np.concatenate([[0], ends])]
-        return np.frombuffer(b"".join(ids), dtype="<u4"), borders[:-1], borders[1:]
+        ids, _, begins, ends = self.encode_all([text])
+        return ids, begins, ends
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The text of each run of ids; the bytes of all are put together at once, odd runs decoded one by one."""
+        at, _ = _copies(self.surface_sizes, ids)
+        data = self.surface_bytes[at].tobytes()
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        edges = np.concatenate([[0], np.cumsum(self.surface_sizes[ids])])[bounds].tolist()
+        silent = np.concatenate([[0], np.cumsum(self.silent_ids[ids])])[bounds]
+        plain = np.diff(silent) - self.silent_ids[ids[np.maximum(bounds[1:] - 1, 0)]] == 0 if len(ids) else np.zeros(len(counts), bool)
+        out = []
+        for k, (start, stop) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            text = None
+            if plain[k] and stop > start and not self.strips_all:
+                first = ids[start]
+                drop = self.strips and self.content[first] and self.surface[first].startswith(b" ")
+                try:
+                    text = data[edges[k] + drop : edges[k + 1]].decode()
+                except UnicodeDecodeError:
+                    text = None
+            out.append(self.decode(ids[start:stop].tolist()) if text is None else text)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control pieces are silent, and a space mark before the first text is dropped."""
@@ -260,35 +355,21 @@ def model(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-
-
 _ENCODED = pa.schema([("doc_id", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("ids", "begins", "ends")), ("decoded", pa.string())])
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
-
-        def made(doc_ids: list, rows: list) -> pa.RecordBatch:
-            ids, begins, ends = ([row[k] for row in rows] for k in range(3))
-            texts = pa.array([pieces.decode(i.tolist()) for i in ids], pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), _lists(ids), _lists(begins), _lists(ends), texts], schema=_ENCODED)
-
         for batch in batches:
-            doc_ids, rows, size = [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                rows.append(pieces.encode(text.as_py() or ""))
-                doc_ids.append(doc_id)
-                size += len(rows[-1][0])
-                if size >= BATCH_IDS:
-                    yield made(doc_ids, rows)
-                    doc_ids, rows, size = [], [], 0
-            if rows:
-                yield made(doc_ids, rows)
+            # Runs of rows of at most BATCH_BYTES, a longer text alone.
+            for chunk in chunks(batch.column("text"), BATCH_BYTES):
+                rows = batch.slice(chunk.rows.start, chunk.rows.stop - chunk.rows.start)
+                ids, counts, begins, ends = pieces.encode_all([t or "" for t in rows.column("text").to_pylist()])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids, begins, ends)]
+                texts = pa.array(pieces.decode_all(ids, counts), pa.string())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *lists, texts], schema=_ENCODED)
 
     return run
 
