@@ -167,17 +167,16 @@ def _predict(net: ByteNetwork | None, names: list[str]):
     return run
 
 
-def with_languages(docs: DataFrame, divisor: int = 4, held: int = 2, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (None: all) of ``docs`` with _lang and _lang_score; cases as in ``identify_languages``."""
-    names = docs.columns if keep is None else keep
+def with_languages(docs: DataFrame, divisor: int = 4, held: int = 2, seed: int = 0) -> DataFrame:
+    """(_doc, _lang, _lang_score), where _doc holds all columns of ``docs``; cases as in ``identify_languages``."""
     rest = remainder("doc_id", divisor)
     text = F.col("text").cast("string")
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("lang").cast("string").alias("lang"))
     net = fit(labelled.where(F.coalesce(rest != held, F.lit(True)) & F.col("lang").isNotNull()), seed)
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), text.alias("_text"), letters.alias("_letters"))
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("_lang", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
-    return rows.mapInArrow(_predict(net, names), schema)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), text.alias("_text"), letters.alias("_letters"))
+    schema = T.StructType([rows.schema["_doc"], T.StructField("_lang", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    return rows.mapInArrow(_predict(net, ["_doc"]), schema)
 
 
 def identify_languages(docs: DataFrame, divisor: int = 4, held: int = 2, seed: int = 0) -> DataFrame:
@@ -190,6 +189,7 @@ def identify_languages(docs: DataFrame, divisor: int = 4, held: int = 2, seed: i
     first language in code point order.
     """
     rest = remainder("doc_id", divisor)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    scored = with_languages(docs, divisor, held, seed, ["doc_id"])
+    names = {"doc_id": "long", "text": "string", "lang": "string"}
+    docs = docs.select(*(F.col(c).cast(kind).alias(c) for c, kind in names.items()))
+    scored = with_languages(docs, divisor, held, seed).withColumn("doc_id", F.col("_doc.doc_id"))
     return scored.select("doc_id", F.coalesce(rest == held, F.lit(False)).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))

@@ -63,31 +63,44 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: in
     """Each document with its size, its source's size and target, and the copies the mix takes of it.
 
     ``docs`` has doc_id, text and source; other columns are kept out of the result. A source's rate is target by
-    size; a document is taken floor(rate) times and once more if a hash of the seed and its doc_id, a number in
+    size; a document is taken floor(rate) times and once more if a hash of the seed, its doc_id and its text, a number in
     [0, 1), is below the rest. Returns doc_id, size (words), source_size, target, taken (words) and copies. A null
     text has no words; null sources are one source, ordered last; a source without words has target 0 and copies 0.
-    Rows that repeat a doc_id are taken alike. An empty table gives an empty table. The table of sources is summed
-    before it is ordered and has one row per source.
+    Rows that repeat both doc_id and text are told apart by their place in the scan, so that each is drawn by itself. An
+    empty table gives an empty table. The table of sources is summed before it is ordered and has one row per source.
     """
-    taken = with_copies(docs.select("doc_id", "text", "source"), weights, percent, cap, seed)
-    return taken.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"))
+    taken = with_copies(docs, ["doc_id"], weights, percent, cap, seed)
+    return taken.select(
+        F.col("_doc.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"),
+    )
 
 
-def with_copies(docs: DataFrame, weights: Sequence[int], percent: int, cap: int, seed: str) -> DataFrame:
-    """``docs`` with _size, source_size, target and _copies."""
-    sized = docs.withColumn("_size", word_count())
-    sizes = sized.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum("_size").alias("source_size"))
-    targets = source_targets(sizes, weights, percent, cap).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sized.join(targets, F.col("source").cast("string").eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
-    extra = uniform(seed, F.col("doc_id")) < F.col("_rate") - F.floor("_rate")
-    return joined.withColumn("_copies", F.least(F.floor("_rate") + F.when(extra, 1).otherwise(0), F.lit(cap)).cast("long"))
+def with_copies(docs: DataFrame, keep: Sequence[str], weights: Sequence[int], percent: int, cap: int, seed: str) -> DataFrame:
+    """(_doc, _size, _source_size, _target, _copies), where _doc holds the columns ``keep`` of ``docs``, whatever their names."""
+    sized = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_doc"), word_count("text").alias("_size"),
+        F.col("source").cast("string").alias("_source"), F.col("doc_id").cast("string").alias("_id"),
+        F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"), F.monotonically_increasing_id().alias("_place"),
+    )
+    # Two narrow passes over the texts: sizes of the sources, and keys that are there twice.
+    sizes = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"))
+    targets = source_targets(sizes.withColumnRenamed("_source", "source"), weights, percent, cap)
+    targets = targets.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    twice = sized.groupBy(F.col("_id").alias("_same_id"), F.col("_text").alias("_same_text")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    same = F.col("_id").eqNullSafe(F.col("_same_id")) & (F.col("_text") == F.col("_same_text"))
+    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
+    joined = sized.join(targets, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_rate", rate).join(twice, same, "left")
+    place = F.when(F.col("_same_text").isNotNull(), F.col("_place"))
+    extra = uniform(seed, F.col("_id"), F.col("_text"), place) < F.col("_rate") - F.floor("_rate")
+    copies = F.least(F.floor("_rate") + F.when(extra, 1).otherwise(0), F.lit(cap)).cast("long")
+    return joined.select("_doc", "_size", "_source_size", "_target", copies.alias("_copies"))
 
 
 def repeat_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150, cap: int = 2, seed: str = "mix") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as many times as it is taken, with the columns of ``docs``.
 
-    Cases as in ``mix_sources``; columns named _size, source_size, target, _source, _rate or _copies must not be in ``docs``.
+    Cases as in ``mix_sources``; other columns may have any name.
     """
-    taken = with_copies(docs, weights, percent, cap, seed).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    taken = with_copies(docs, docs.columns, weights, percent, cap, seed).where("_copies > 0")
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from aspectra.llm.components import components
 from aspectra.llm.words import Chunk, chunks, lists, mix, rolling
-from aspectra.session import materialise, new_table_path
+from aspectra.session import materialise, stored
 
 #: At a similarity of 0.8, 40 bands of 5 rows miss a pair with probability 1.2e-7.
 BANDS, ROWS = 40, 5
@@ -215,13 +215,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                     ["token", "node", "root", "n", "at"],
                 )
 
-    return _store(sets.mapInArrow(run, "token long, node long, root long, n long, at long"), "prefixes")
-
-
-def _store(df: DataFrame, name: str) -> DataFrame:
-    path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return stored(sets.mapInArrow(run, "token long, node long, root long, n long, at long"), "prefixes")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -244,20 +238,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         F.col("text").cast("string").alias("text"),
     )
     run, schema = _band_rows(words)
-    rows = _store(docs.mapInArrow(run, schema), "bands")
+    rows = stored(docs.mapInArrow(run, schema), "bands")
     filled = rows.where("n_shingles > 0")
 
     bands = filled.select("node", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("bucket")
     # Members of buckets of several classes: the candidates.
-    members = _store(bands.join(shared, "bucket").select("bucket", "node").distinct(), "buckets")
+    members = stored(bands.join(shared, "bucket").select("bucket", "node").distinct(), "buckets")
 
     reps = (
         filled.select("node", "d", "tk").join(members.select("node").distinct(), "node")
         .groupBy("node").agg(F.min("d").alias("d"), F.min_by("tk", "d").alias("tk"))
     )
     run, schema = _set_rows(words)
-    sets = _store(docs.join(reps, ["d", "tk"]).select("node", "text").mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
+    sets = stored(docs.join(reps, ["d", "tk"]).select("node", "text").mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """Links among the pairs (a, b) with a < b, stored."""
@@ -270,10 +264,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
         run, schema = _prune(threshold, miss)
         left = pairs.join(one, "a").join(two, "b").where(alike).select("a", "b", "sig_a", "sig_b").mapInArrow(run, schema)
-        left = _store(left, f"{label}-left")
+        left = stored(left, f"{label}-left")
         one, two = ends("items")
         run, schema = _confirm(percent)
-        return _store(left.join(one, "a").join(two, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, schema), f"{label}-links")
+        return stored(left.join(one, "a").join(two, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, schema), f"{label}-links")
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -286,7 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
     placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    apart = _store(placed.join(split, "bucket").select("node", "root").distinct().join(sets, "node").select("node", "root", "items"), "apart")
+    apart = stored(placed.join(split, "bucket").select("node", "root").distinct().join(sets, "node").select("node", "root", "items"), "apart")
     starts = _prefixes(apart, percent)
     one, two = (starts.select("token", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "root", "n", "at"))) for e in "ab")
     # What two sets must share, and what they still can from these places on.
@@ -307,9 +301,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document of the least doc_id, and all without shingles.
+    """The rows of ``docs`` that stay: one of each component, and all without shingles.
 
-    All columns stay. Cases as in ``near_duplicates``.
+    Of a component the row of the least doc_id stays, null ids last; of several such rows the first in the scan. All
+    columns stay, whatever their names. The rows are numbered and stored first, so that rows which repeat a doc_id, or
+    have none, are decided one by one.
     """
-    kept = near_duplicates(docs, words, percent, miss).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    text, doc_id = F.col("_doc.text").cast("string"), F.col("_doc.doc_id").cast("long")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.monotonically_increasing_id().alias("_at"))
+    rows = stored(packed, "numbered")
+    found = near_duplicates(rows.select(F.col("_at").alias("doc_id"), text.alias("text")), words, percent, miss)
+    ids = rows.select(F.col("_at").alias("doc_id"), F.struct(doc_id.isNull(), doc_id, F.col("_at").alias("at")).alias("order"))
+    # A large component leaves each task as one row.
+    kept = found.join(ids, "doc_id").groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.at").alias("_at"))
+    return rows.join(kept, "_at", "left_semi").select("_doc.*")

@@ -67,7 +67,7 @@ QUALIFY rank <= 5
 """,
     "op8_source_mixing": r"""
 WITH doc AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS total, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM doc GROUP BY source
 ), weighed AS (
@@ -85,7 +85,7 @@ WITH doc AS (
   FROM levelled l LEFT JOIN open o ON true
 ), rated AS (
   SELECT d.doc_id, d.size, a.total AS source_size, a.target, CASE WHEN a.total > 0 THEN a.target / a.total ELSE 0::DOUBLE END AS rate,
-    ('0x' || md5('mix:' || coalesce(d.doc_id::VARCHAR, ''))[1:8])::BIGINT / 4294967296::DOUBLE AS u
+    ('0x' || md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.t || ':')[1:8])::BIGINT / 4294967296::DOUBLE AS u
   FROM doc d JOIN aim a ON a.source IS NOT DISTINCT FROM d.source
 ), taken AS (
   SELECT *, least(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END, 2)::BIGINT AS copies FROM rated

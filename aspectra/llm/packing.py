@@ -8,8 +8,10 @@ document is cut where its windows end.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,11 +35,11 @@ def _byte_letters() -> dict[str, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """A function from texts to lists of ids, as the ``tokenizers`` file at ``path`` gives them.
+def encoder(path: str) -> Encoder:
+    """The ids of the ``tokenizers`` file at ``path``, read once in each task's process.
 
-    Byte-level BPE files whose ids follow the order of the merges run on the faster ``tiktoken``; special
-    tokens in a text are ordinary text.
+    Byte-level BPE files whose ids follow the order of the merges run on the faster ``tiktoken``; texts that hold
+    the written form of an added token, which the file turns into that token's id, go through ``tokenizers``.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -45,10 +47,15 @@ def encoder(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     letters = _byte_letters()
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    added = [t["content"] for t in spec.get("added_tokens", [])]
+    slow = Tokenizer.from_file(path)
+
+    def exact(text: str) -> list[int]:
+        return slow.encode(text, add_special_tokens=False).ids
+
     if spec["model"].get("type") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel":
         try:
-            ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+            ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
         except KeyError:
             ranks = {}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -56,37 +63,44 @@ def encoder(path: str):
         prefix = spec["pre_tokenizer"].get("add_prefix_space")
         if ranks and order == sorted(order) and not prefix:
             fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            return fast.encode_ordinary, True
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    return (lambda text: slow.encode(text, add_special_tokens=False).ids), False
+            return Encoder(exact, fast.encode_ordinary, added)
+    return Encoder(exact, None, added)
 
 
-def _ids(text: str, encode, splits: bool, cache: dict[str, bytes]) -> bytes:
-    """Ids as little-endian unsigned 32-bit values.
+#: A space before something else than white space: there the word pattern starts a new piece, whatever precedes.
+#: A space inside a run of white space may belong to the piece before it.
+_UNIT = re.compile(r" (?=\S)")
 
-    The word pattern starts a new piece at every single space before something else, so such units can be
-    encoded one by one and remembered.
-    """
-    if not splits or "  " in text or text.endswith(" "):
-        return np.array(encode(text), dtype="<u4").tobytes()
-    first, *rest = text.split(" ")
-    out = [np.array(encode(first), dtype="<u4").tobytes()] if first else []
-    for unit in rest:
-        got = cache.get(unit)
-        if got is None:
-            got = np.array(encode(" " + unit), dtype="<u4").tobytes()
-            if len(cache) < CACHE and len(unit) < 40:
-                cache[unit] = got
-        out.append(got)
-    return b"".join(out)
+
+@dataclass(frozen=True)
+class Encoder:
+    """Exact encoding of any text, and a faster one of texts without the written form of an added token."""
+
+    exact: Callable[[str], list[int]]
+    fast: Callable[[str], list[int]] | None
+    added: list[str]
+
+    def ids(self, text: str, cache: dict[str, bytes]) -> bytes:
+        """Ids as little-endian unsigned 32-bit values; units are encoded one by one and remembered."""
+        if self.fast is None or any(t in text for t in self.added):
+            return np.array(self.exact(text), dtype="<u4").tobytes()
+        first, *rest = _UNIT.split(text)
+        out = [np.array(self.fast(first), dtype="<u4").tobytes()] if first else []
+        for unit in rest:
+            got = cache.get(unit)
+            if got is None:
+                got = np.array(self.fast(" " + unit), dtype="<u4").tobytes()
+                if len(cache) < CACHE and len(unit) < 40:
+                    cache[unit] = got
+            out.append(got)
+        return b"".join(out)
 
 
 def _tokenise(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, splits = encoder(path)
+        encode = encoder(path)
         cache: dict[str, bytes] = {}
         part, before = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
@@ -95,7 +109,7 @@ def _tokenise(path: str, end_id: int):
                 rows = batch.slice(start, 256)
                 ids, places, sizes = [], [], []
                 for text in rows.column("text").to_pylist():
-                    got = _ids(text or "", encode, splits, cache) + end
+                    got = encode.ids(text or "", cache) + end
                     n = len(got) // 4
                     narrow = np.frombuffer(got, dtype="<u4")
                     # Two bytes an id where they suffice; the length tells.
