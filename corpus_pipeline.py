@@ -25,7 +25,7 @@ LANGUAGE_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is decided."""
     known = with_languages(docs).where((F.col("_lang") != UNDECIDED) & (F.col("_lang_score") >= LANGUAGE_SCORE))
-    return known.select(*docs.columns)
+    return known.select("_doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
