@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aspectra.operators.balance import iterative_folds
+from aspectra.operators.lookup import ROW, numbered
 from aspectra.schema import ASPECTS
 
 HASH_DIGITS = 4
@@ -30,10 +32,10 @@ def _running_total(count: str, window) -> Column:
 
 
 def _with_rank(df: DataFrame, aspects, seed: int, key: str, digits: int) -> DataFrame:
-    if len(aspects) > MAX_ASPECTS:
-        raise ValueError(f"at most {MAX_ASPECTS} aspects, that is {1 << MAX_ASPECTS} strata")
-    # A null key hashes like an empty one, so that no row is lost to the join below.
-    row_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    # A null key is dealt out by a stored row number, so that no cell holds all of them and no row is lost to the join.
+    nameless = df.where(F.col(key).isNull()).isEmpty()
+    df = df.withColumn(ROW, F.lit(None).cast("long")) if nameless else numbered(df)
+    row_key = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("row "), F.col(ROW).cast("string")))
     row_hash = F.md5(F.concat(row_key, F.lit(f":{seed}")))
     keyed = df.withColumns({"stratum": stratum(aspects), "row_hash": row_hash}).withColumn(
         "cell", F.substring("row_hash", 1, digits)
@@ -53,7 +55,7 @@ def _with_rank(df: DataFrame, aspects, seed: int, key: str, digits: int) -> Data
     )
     # The ranking window has partitioned the rows by (stratum, cell), which is also the join key:
     # only the small side moves.
-    inside = Window.partitionBy("stratum", "cell").orderBy("row_hash", key)
+    inside = Window.partitionBy("stratum", "cell").orderBy("row_hash", key, ROW)
     ranked = keyed.withColumn("place", F.row_number().over(inside) - 1)
     return ranked.join(offsets, ["stratum", "cell"]).withColumn(
         "rank", F.col("place") + F.col("offset")
@@ -68,7 +70,13 @@ def stratified_folds(
     key: str = "review_id",
     digits: int = HASH_DIGITS,
 ) -> DataFrame:
-    """Add ``fold`` (0 to k-1). ``key`` must be unique for the result to be repeatable."""
+    """Add ``fold`` (0 to k-1). ``key`` must be unique for the result to be repeatable.
+
+    Beyond ``MAX_ASPECTS`` aspects there may be as many strata as rows; folds are then dealt out label by label
+    (``balance.iterative_folds``).
+    """
+    if len(aspects) > MAX_ASPECTS:
+        return iterative_folds(df, aspects, k, seed, key)
     ranked = _with_rank(df, aspects, seed, key, digits)
     return ranked.select(*df.columns, (F.col("rank") % k).cast("int").alias("fold"))
 
@@ -81,7 +89,11 @@ def train_val_test(
     key: str = "review_id",
     digits: int = HASH_DIGITS,
 ) -> DataFrame:
-    """Add ``split``: the last fold is halved into val and test, the others are train."""
+    """Add ``split``: the last fold is halved into val and test, the others are train. Any number of aspects, as in
+    ``stratified_folds``."""
+    if len(aspects) > MAX_ASPECTS:
+        part = F.when(F.col("fold") < 2 * (k - 1), "train").when(F.col("fold") == 2 * (k - 1), "val").otherwise("test")
+        return iterative_folds(df, aspects, 2 * k, seed, key).select(*df.columns, part.alias("split"))
     ranked = _with_rank(df, aspects, seed, key, digits)
     half = F.floor(F.col("rank") / k) % 2
     split = (

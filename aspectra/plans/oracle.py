@@ -17,6 +17,8 @@ from aspectra.plans.queries import (
     MIN_PMI,
     MIN_WORD_COUNT,
     RULES,
+    SHIFT_REACH,
+    SHIFT_WINDOW,
     STOP_WORDS,
     VOCAB_SIZE,
 )
@@ -570,6 +572,36 @@ ORACLE |= {
     )
     + "SELECT review_id, coalesce(g.text, '') AS text FROM w LEFT JOIN g USING (review_id)",
     "score_report_merged": ORACLE["score_report_large"],
+    "review_source_rejects": "SELECT reason, \"column\", count(*) AS rows FROM (SELECT CASE WHEN doc_id % 20 IN (5, 9) THEN 'columns'"
+    " WHEN doc_id % 20 = 3 THEN 'fraction' WHEN doc_id % 20 = 7 THEN 'class' ELSE 'none' END AS reason,"
+    " CASE WHEN doc_id % 20 = 3 THEN 'lodging' WHEN doc_id % 20 = 7 THEN 'shopping' END AS \"column\" FROM documents) GROUP BY ALL",
+    "align_positional": cte(
+        *RATED,
+        TRUTH,
+        PRED,
+        "t AS (SELECT *, row_number() OVER (ORDER BY review_id) - 1 AS ordinal FROM truth)",
+        "p AS (SELECT *, row_number() OVER (ORDER BY review_id) - 1 AS ordinal FROM pred)",
+    )
+    + each(
+        "SELECT coalesce(t.ordinal, p.ordinal) AS ordinal, '{a}' AS aspect, t.{a} AS truth, p.{a} AS pred,"
+        " t.ordinal IS NOT NULL AS has_truth, p.ordinal IS NOT NULL AS has_pred FROM t FULL OUTER JOIN p ON t.ordinal = p.ordinal",
+        " UNION ALL ",
+    ),
+    "position_shift": cte(
+        "t AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, text FROM documents)",
+        "p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, text FROM documents WHERE substr(text, 6, 1) <> 'e')",
+        f"tried AS (SELECT ordinal, text, s AS shift FROM t, range(-{SHIFT_REACH}, {SHIFT_REACH + 1}) AS r(s))",
+        f"votes AS (SELECT ordinal // {SHIFT_WINDOW} AS part, shift, count(*) AS agreeing FROM tried JOIN p"
+        " ON p.place = ordinal + shift AND p.text = tried.text GROUP BY ALL)",
+        "best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY part ORDER BY agreeing DESC, abs(shift), shift) = 1)",
+        f"win AS (SELECT ordinal // {SHIFT_WINDOW} AS part, min(ordinal) AS f, max(ordinal) AS l, count(*) AS n FROM t GROUP BY part)",
+        "seen AS (SELECT win.part, f, l, n, shift, coalesce(agreeing, 0) AS agreeing FROM win LEFT JOIN best ON best.part = win.part)",
+        "marked AS (SELECT *, CASE WHEN lag(part) OVER (ORDER BY part) IS NOT NULL"
+        " AND shift IS NOT DISTINCT FROM lag(shift) OVER (ORDER BY part) THEN 0 ELSE 1 END AS new FROM seen)",
+        "runs AS (SELECT *, sum(new) OVER (ORDER BY part) AS run FROM marked)",
+    )
+    + "SELECT min(f) AS first_ordinal, max(l) AS last_ordinal, CAST(sum(n) AS BIGINT) AS rows, CAST(any_value(shift) AS INT) AS shift,"
+    " CAST(sum(agreeing) AS BIGINT) AS agreeing FROM runs GROUP BY run",
     "aspect_heads": cte(
         *BAYES,
         "pairs AS (SELECT l.aspect, l.k AS truth, c.pred FROM label AS l JOIN chosen AS c USING (review_id, aspect)"

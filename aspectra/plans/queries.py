@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aspectra.functions import labels as L, text as X
 from aspectra.operators import (
+    balance,
     compounds,
     distribution,
     folds,
@@ -20,6 +21,7 @@ from aspectra.operators import (
     loss,
     metrics,
     phrases,
+    position,
     tokens,
     vectors,
     vocab,
@@ -40,6 +42,8 @@ MIN_WORD_COUNT = 5
 JOINT_EPOCHS = 4
 JOINT_RATE = 0.5
 JOINT_MOMENTUM = 0.9
+SHIFT_WINDOW = 50
+SHIFT_REACH = 16
 # The default abbreviations are Vietnamese and do not occur in the test text; these do.
 RULES = {**X.ABBREVIATIONS, "von": "from", "un": "one", "th": "this thing", "der": "jener"}
 
@@ -81,6 +85,24 @@ def split_sink(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def review_source_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews written with faults in some rows: how many are read, and how many are set aside for what."""
+    path = new_table_path(spark, "faulty-reviews")
+    i = F.col("review_id")
+    rows = fx.truth(spark, sf).select("review_id", F.col("text").alias("review"), *[F.col(a).cast("string").alias(a) for a in ASPECTS])
+    faults = {
+        "lodging": F.when(i % 20 == 3, F.concat("lodging", F.lit(".5"))).otherwise(F.col("lodging")),
+        "food": F.when(i % 20 == 5, "none").otherwise(F.col("food")),
+        "shopping": F.when(i % 20 == 7, "9").when(i % 20 == 3, "-1").otherwise(F.col("shopping")),
+    }
+    reviews_io.write_reviews(rows.withColumns(faults).where(i % 20 != 9), path)
+    reviews_io.write_reviews(rows.drop("shopping").where(i % 20 == 9), path, mode="append")
+    good, rejects = reviews_io.split_reviews(spark, path, id_col="review_id", classes=L.CLASSES)
+    kept = good.agg(F.lit("none").alias("reason"), F.lit(None).cast("string").alias("column"), F.count("*").alias("rows"))
+    return reviews_io.reject_counts(rejects).unionByName(kept)
+
+
 # --- label projections ---------------------------------------------------------------------------
 
 
@@ -303,6 +325,12 @@ def train_val_test(spark: SparkSession, sf: str) -> DataFrame:
     return folds.train_val_test(fx.truth(spark, sf).drop("text")).select("review_id", "split")
 
 
+@query
+def iterative_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """How evenly five folds, dealt out label by label, hold every label."""
+    return balance.label_spread(balance.iterative_folds(fx.truth(spark, sf).drop("text")))
+
+
 @query
 def label_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return distribution.label_distribution(fx.truth(spark, sf))
@@ -359,6 +387,20 @@ def aligned_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.score_report(metrics.matched_pairs(aligned)), *METRICS)
 
 
+@query
+def align_positional(spark: SparkSession, sf: str) -> DataFrame:
+    """The n-th truth row with the n-th prediction; some reviews have no prediction."""
+    return position.align_by_position(fx.truth(spark, sf), fx.prediction(spark, sf), "review_id")
+
+
+@query
+def position_shift(spark: SparkSession, sf: str) -> DataFrame:
+    """Where reviews whose sixth letter is an e went missing, by the texts of both sides."""
+    docs = fx.reviews(spark, sf)
+    left = docs.where(F.substring("text", 6, 1) != "e")
+    return position.shift_report(docs, left, "review_id", ["text"], window=SHIFT_WINDOW, reach=SHIFT_REACH)
+
+
 @query
 def presence_counts(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.presence_counts(fx.pairs(spark, sf))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from aspectra.schema import ASPECTS, review_schema
-from aspectra.session import new_table_path
+from aspectra.session import new_table_path, stored
 
 # Reviews hold line breaks, quotes and leading blanks; the reader and the writer must agree on how
 # these are kept. A null is written as \N so that an empty text stays an empty text; a text of
@@ -55,6 +55,59 @@ def read_reviews(
     return raw.withColumns({"review": text} | {a: _whole(a) for a in aspects})
 
 
+#: Column that holds a row as it was written where it does not fit the schema.
+CORRUPT = "_corrupt"
+
+
+def split_reviews(
+    spark: SparkSession, path: str | list[str], aspects=ASPECTS, id_col: str | None = None, classes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """CSV reviews in two stored tables from one pass: the good rows as ``read_reviews`` gives them, and the rows set aside.
+
+    The second is (file, row, reason, column): the row as it was written, or its values joined by commas where it could be
+    parsed, and ``columns`` (too few or too many columns, or a value that is no number), ``fraction`` (a score
+    between two numbers) or ``class`` (a score outside 0 to ``classes`` - 1, if that is given), with the first column at
+    fault. A row is in exactly one of the tables, so their counts add up to the rows of the files; see ``reject_counts``.
+    A null score passes.
+    """
+    schema = review_schema(aspects, id_col, T.DoubleType()).add(CORRUPT, T.StringType())
+    raw = (
+        spark.read.schema(schema)
+        .options(**CSV_OPTIONS)
+        .option("multiLine", "true")
+        .option("enforceSchema", "true")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", "false")
+        .csv(path)
+    )
+
+    def first_of(wrong) -> Column:
+        return F.coalesce(*[F.when(wrong(F.col(a)), F.lit(a)) for a in aspects])
+
+    fraction = first_of(lambda c: c != F.floor(c))
+    outside = first_of(lambda c: ~c.between(0, classes - 1)) if classes else F.lit(None).cast("string")
+    judged = raw.withColumns(
+        {
+            "_file": F.col("_metadata.file_path"),
+            "_reason": F.when(F.col(CORRUPT).isNotNull(), "columns").when(fraction.isNotNull(), "fraction").when(outside.isNotNull(), "class"),
+            "_column": F.when(F.col(CORRUPT).isNull(), F.coalesce(fraction, outside)),
+        }
+    )
+    both = stored(judged.withColumn("_good", F.col("_reason").isNull()), "judged-reviews")
+    text = F.regexp_replace("review", r"\A\\(\\+N)\z", "$1")
+    ids = [id_col] if id_col else []
+    good = both.where("_good").select(*ids, text.alias("review"), *[F.col(a).cast("int").alias(a) for a in aspects])
+    written = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *ids, "review", *aspects))
+    rejects = both.where("not _good").select(F.col("_file").alias("file"), written.alias("row"), F.col("_reason").alias("reason"), F.col("_column").alias("column"))
+    return good, rejects
+
+
+def reject_counts(rejects: DataFrame) -> DataFrame:
+    """(reason, column, rows) of the rows that ``split_reviews`` set aside."""
+    return rejects.groupBy("reason", "column").agg(F.count("*").alias("rows"))
+
+
 def _whole(score: str) -> Column:
     c = F.col(score)
     wrong = F.raise_error(F.concat(F.lit(f"{score} is not a whole number: "), c.cast("string")))
