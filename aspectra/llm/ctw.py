@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from aspectra.llm.sampling import remainder
 from aspectra.llm.words import Chunk, chunks, lowered, mix
-from aspectra.session import new_table_path
+from aspectra.session import stored
 
 #: Bytes of context.
 DEPTH = 5
@@ -171,7 +171,7 @@ class Lookup:
         bits = max((2 * len(keys) - 1).bit_length(), 4) if len(keys) else 4
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.used = np.zeros(1 << bits, dtype=bool)
-        self.keys, self.values = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.float32)
+        self.keys, self.values = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits)
         todo = np.arange(len(keys))
         at = self._home(keys)
         while len(todo):
@@ -189,7 +189,7 @@ class Lookup:
         """Values, and whether each key is there."""
         at = self._home(keys)
         hit = self.used[at] & (self.keys[at] == keys)
-        values = np.where(hit, self.values[at], np.float32(0))
+        values = np.where(hit, self.values[at], 0.0)
         left = np.flatnonzero(~hit & self.used[at])
         while len(left):
             at[left] = (at[left] + 1) & self.mask
@@ -259,11 +259,11 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([_TEXT], pa.int32()), pa.array([0], pa.int64()), pa.array([texts], pa.int64()), pa.array([texts], pa.int64())], ["kind", "key", "trained", "seen"])
 
 
-_SCORED = "kind int, key long, row long, times long, doc_id long, held_out boolean, n_words long, model double, base double, known long"
+_SCORED = "kind int, key long, row long, times long, doc_id long, held_out boolean, n_words long, model double, base double, known long, coded long"
 
 
 def _score_rows(tables):
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     schema = pa.schema([(c.split()[0], t) for c, t in zip(_SCORED.split(", "), kinds)])
 
     def rest(kind: int, keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
@@ -304,7 +304,7 @@ def _score_rows(tables):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(m, _TEXT, dtype=np.int32)), pa.array(mix(ids.astype(np.uint64)).view(np.int64)), pa.array(ids), pa.nulls(m, pa.int64()),
-                        part.column("doc_id"), part.column("held_out"), pa.array(np.bincount(row, minlength=m)), pa.array(model), pa.array(base), pa.array(known),
+                        part.column("doc_id"), part.column("held_out"), pa.array(np.bincount(row, minlength=m)), pa.array(model), pa.array(base), pa.array(known), pa.array(np.bincount(owner, minlength=m)),
                     ],
                     schema=schema,
                 )
@@ -312,20 +312,19 @@ def _score_rows(tables):
     return run, _SCORED
 
 
-def _store(df: DataFrame, name: str) -> DataFrame:
-    path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _frequent(table: DataFrame, most: int) -> int:
-    """The least ``seen`` that at most ``most`` keys reach."""
-    top = 1 << 20
+    """A ``seen`` that at most ``most`` keys reach, and about as many as that allows.
+
+    Counts are taken by buckets of ``seen``, a 32nd of a doubling wide from 1,024 on, of which there are a few thousand
+    whatever the table; a bucket that does not fit any more is left out whole.
+    """
+    bucket = F.when(F.col("seen") < 1024, F.col("seen")).otherwise(1024 + F.floor(F.log2(F.col("seen").cast("double")) * 32))
+    counts = table.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.max("seen").alias("top"))
     total = 0
-    for r in sorted(table.groupBy(F.least("seen", F.lit(top)).alias("seen")).count().collect(), reverse=True):
-        total += r["count"]
+    for r in sorted(counts.collect(), reverse=True):
+        total += r["n"]
         if total > most:
-            return r["seen"] + 1
+            return r["top"] + 1
     return 0
 
 
@@ -349,17 +348,17 @@ def score_texts(docs: DataFrame, divisor: int = 7, held: int = 2) -> DataFrame:
 
     ``docs`` has doc_id (long) and text; other columns are ignored. Training texts are those whose crc32(doc_id)
     modulo ``divisor`` is not ``held``. Returns doc_id, held_out, n_tokens (words and the end), n_known, train_tokens,
-    base_score (add-one unigrams) and score (log10 probability of the normalised text, end included), one row per
-    input row. A null text is empty: its only token is the end. A null doc_id is not held out. Without training
+    base_score (add-one unigrams), score (log10 probability of the normalised text, end included) and
+    code_length_per_byte (bits for each of its bytes, the end one of them), one row per input row. A null text is empty: its only token is the end. A null doc_id is not held out. Without training
     texts every bit costs one bit.
     """
     spark = docs.sparkSession
     rest = remainder("doc_id", divisor)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(rest == held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     counted = docs.mapInArrow(_count_rows, "kind int, key long, trained long, seen long")
-    counts = _store(counted.groupBy("kind", "key").agg(F.sum("trained").alias("trained"), F.sum("seen").alias("seen")), "counts")
+    counts = stored(counted.groupBy("kind", "key").agg(F.sum("trained").alias("trained"), F.sum("seen").alias("seen")), "counts")
     words = counts.where((F.col("kind") == _WORD) & (F.col("trained") > 0)).select("key", F.col("trained").alias("seen"), F.col("trained").cast("double").alias("value"))
-    grams = _store(gram_table(counts.where(F.col("kind") == _GRAM).select("key", "trained", "seen")), "grams")
+    grams = stored(gram_table(counts.where(F.col("kind") == _GRAM).select("key", "trained", "seen")), "grams")
 
     texts = counts.where(F.col("kind") == _TEXT).agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
     n, v = words.agg(F.coalesce(F.sum("value"), F.lit(0)).cast("long"), F.count("*")).first()
@@ -379,14 +378,15 @@ def score_texts(docs: DataFrame, divisor: int = 7, held: int = 2) -> DataFrame:
         "row", "doc_id", "held_out", "n_words",
         F.when(gram, F.col("times") * F.col("value")).otherwise(F.col("model")).alias("model"),
         F.when(word, F.col("times") * F.log10(F.col("value") + 1)).otherwise(F.col("base")).alias("base"),
-        F.when(word, F.col("times")).otherwise(F.col("known")).alias("known"),
+        F.when(word, F.col("times")).otherwise(F.col("known")).alias("known"), "coded",
     ).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_words").alias("n_words"),
-        F.sum("model").alias("model"), F.sum("base").alias("base"), F.sum("known").alias("known"),
+        F.sum("model").alias("model"), F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("coded").alias("coded"),
     )
     tokens = F.col("n_words") + 1
     end = float(np.log10(texts + 1))
     return sums.select(
         "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("known") + int(texts > 0)).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") + end - tokens * float(np.log10(n + v + 1))).alias("base_score"), F.col("model").alias("score"),
+        (-F.col("model") * float(np.log2(10)) / F.col("coded")).alias("code_length_per_byte"),
     )

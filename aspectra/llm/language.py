@@ -27,6 +27,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 #: Texts of each language at most, and windows of each of them, to fit on.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 800, 4
+#: Languages that can be predicted: the most frequent labels, so that stray ones do not grow the sample or the network.
+LANGUAGES = 64
 UNDECIDED = "und"
 _OVERLAP = max(WIDTHS) - 1
 
@@ -119,13 +121,15 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
 
 
 def fit(labelled: DataFrame, seed: int = 0) -> ByteNetwork | None:
-    """A network from rows of doc_id, text and lang: at most SAMPLE_TEXTS texts a language; None without any."""
+    """A network from rows of doc_id, text and lang: at most SAMPLE_TEXTS texts of each of the LANGUAGES most
+    frequent languages; None without any."""
     rng = np.random.default_rng(seed)
     windows, labels = [], []
     # Some windows of each text, cut out before any row is moved.
     spots = [rng.random() for _ in range(SAMPLE_WINDOWS)]
     parts = F.array(*(F.expr(f"substring(text, 1 + cast(floor(greatest(length(text) - {WINDOW}, 0) * {s}) as int), {WINDOW})") for s in spots))
-    narrow = labelled.where(F.length("text") > 0).select("doc_id", "lang", parts.alias("parts"))
+    usual = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    narrow = labelled.where(F.length("text") > 0).join(F.broadcast(usual), "lang").select("doc_id", "lang", parts.alias("parts"))
     sample = per_class(narrow, "lang", SAMPLE_TEXTS, seed)
     rows = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.parts) for r in sample.collect())
     if not rows:
@@ -183,7 +187,7 @@ def identify_languages(docs: DataFrame, divisor: int = 4, held: int = 2, seed: i
     """Language of each whole text: doc_id, held_out, lang_pred, score (probability).
 
     ``docs`` has doc_id (long), text and lang; other columns are ignored. The network is fitted on a bounded sample
-    (SAMPLE_TEXTS texts a language) of rows with a lang whose crc32(doc_id) modulo ``divisor`` is not ``held``; its
+    (SAMPLE_TEXTS texts of each of the LANGUAGES most frequent languages) of rows with a lang whose crc32(doc_id) modulo ``divisor`` is not ``held``; its
     lang is no input of a prediction. Texts that are null or have no letter, and all texts if there is nothing to
     learn from, get ``und`` and score 0. A null doc_id is not held out. One row per input row; ties go to the
     first language in code point order.

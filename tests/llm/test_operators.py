@@ -376,6 +376,21 @@ def test_search(spark, monkeypatch):
     assert rows_of(search.top_inner_products(df.where("false"))) == []
 
 
+def test_frequent_keys_are_bounded(spark):
+    """Many keys with one large count do not pass the bound together; smaller counts do not slip in past them."""
+    rows = [(i, 1 << 21) for i in range(50)] + [(100 + i, 5) for i in range(5)] + [(200 + i, 1 << 40) for i in range(3)]
+    table = spark.createDataFrame(rows, "key long, seen long")
+    for most, want in ((10, 3), (2, 0), (53, 53), (100, 58), (55, 53)):
+        assert table.where(F.col("seen") >= ctw._frequent(table, most)).count() == want <= most
+
+
+def test_stray_languages_do_not_grow_the_sample(spark, sf, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("stray"), F.col("doc_id"))).otherwise(F.col("lang")))
+    found = {r.lang_pred for r in language.identify_languages(docs).collect()}
+    assert found <= {"en", "fr", "de", "es", "und"} and len(found - {"und"}) <= 3
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
