@@ -22,6 +22,7 @@ from aspectra.operators import (
     metrics,
     phrases,
     position,
+    subwords,
     tokens,
     vectors,
     vocab,
@@ -42,6 +43,7 @@ MIN_WORD_COUNT = 5
 JOINT_EPOCHS = 4
 JOINT_RATE = 0.5
 JOINT_MOMENTUM = 0.9
+SUBWORD_MERGES = 16
 SHIFT_WINDOW = 50
 SHIFT_REACH = 16
 # The default abbreviations are Vietnamese and do not occur in the test text; these do.
@@ -312,6 +314,21 @@ def coded_rows(spark: SparkSession, sf: str, large: bool) -> DataFrame:
     )
 
 
+@query
+def vocab_subword(spark: SparkSession, sf: str) -> DataFrame:
+    """The first merges of a subword vocabulary over the words of all texts."""
+    return subwords.learn_merges(fx.lower_reviews(spark, sf), SUBWORD_MERGES)
+
+
+@query
+def sequence_encode_subword(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.lower_reviews(spark, sf)
+    merges = subwords.learn_merges(docs, SUBWORD_MERGES)
+    vocab_rows = stored(subwords.subword_vocab(docs, merges, VOCAB_SIZE), "subwords")
+    coded = subwords.encode_subwords(docs, merges, vocab_rows, MAX_LEN)
+    return coded.select("review_id", "n_pieces", F.array_join("ids", " ").alias("ids"), F.array_join("mask", "").alias("mask"))
+
+
 # --- splits and distributions --------------------------------------------------------------------
 
 
