@@ -91,11 +91,10 @@ def iterative_folds(df: DataFrame, aspects=ASPECTS, k: int = 5, seed: int = 0, k
     return rows.join(done.select(F.col("row").alias("_row"), "fold"), "_row").select(*df.columns, "fold")
 
 
-def label_spread(folded: DataFrame, aspects=ASPECTS) -> DataFrame:
+def label_spread(folded: DataFrame, aspects=ASPECTS, k: int = 5) -> DataFrame:
     """(aspect, score, rows, least, most): the rows of each label, and its rows in the folds that have fewest and most."""
     long = folded.unpivot(["fold"], list(aspects), "aspect", "score").where("score > 0")
     counts = long.groupBy("aspect", "score", "fold").agg(F.count("*").alias("n"))
-    folds = folded.select("fold").distinct().withColumn("one", F.lit(1))
-    every = counts.select("aspect", "score").distinct().withColumn("one", F.lit(1)).join(folds, "one").drop("one")
-    full = every.join(counts, ["aspect", "score", "fold"], "left").fillna(0, ["n"])
-    return full.groupBy("aspect", "score").agg(F.sum("n").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # A fold without a row of the label has no count.
+    least = F.when(F.count("*") < k, 0).otherwise(F.min("n")).cast("long")
+    return counts.groupBy("aspect", "score").agg(F.sum("n").alias("rows"), least.alias("least"), F.max("n").alias("most"))

@@ -20,6 +20,7 @@ from aspectra.plans.queries import (
     SHIFT_REACH,
     SHIFT_WINDOW,
     STOP_WORDS,
+    SUBWORD_MERGES,
     VOCAB_SIZE,
 )
 from aspectra.schema import ASPECTS
@@ -559,7 +560,41 @@ def joint_fit() -> list[str]:
     return parts
 
 
+def subword_merges() -> list[str]:
+    """Symbols between bars, so that a merge is a replacement of text; one round after the other."""
+    parts = [
+        "sub0 AS MATERIALIZED (SELECT word, count(*) AS c,"
+        " '|' || array_to_string(regexp_extract_all(word, '.'), '||') || '</w>|' AS x FROM tok GROUP BY word)",
+    ]
+    for i in range(SUBWORD_MERGES):
+        parts += [
+            f"two{i} AS (SELECT l, r, sum(c)::BIGINT AS n FROM (SELECT c, s[j] AS l, s[j + 1] AS r FROM (SELECT c, s, unnest(range(1, len(s))) AS j"
+            f" FROM (SELECT c, string_split(x[2 : len(x) - 1], '||') AS s FROM sub{i}) WHERE len(s) > 1)) GROUP BY l, r)",
+            f"top{i} AS MATERIALIZED (SELECT l, r, n FROM two{i} ORDER BY n DESC, l, r LIMIT 1)",
+            f"sub{i + 1} AS MATERIALIZED (SELECT word, c, replace(x, '|' || l || '||' || r || '|', '|' || l || r || '|') AS x FROM sub{i}, top{i})",
+        ]
+    return parts
+
+
 ORACLE |= {
+    "vocab_subword": cte(WORDS, TOKENS, *subword_merges())
+    + " UNION ALL ".join(f'SELECT CAST({i} AS INT) AS rank, l AS "left", r AS "right", n AS count FROM top{i}' for i in range(SUBWORD_MERGES)),
+    "sequence_encode_subword": cte(
+        WORDS,
+        TOKENS,
+        *subword_merges(),
+        f"cut AS (SELECT word, c, string_split(x[2 : len(x) - 1], '||') AS s FROM sub{SUBWORD_MERGES})",
+        "piece AS (SELECT word, c, unnest(s) AS piece, generate_subscripts(s, 1) AS place FROM cut)",
+        "voc AS (SELECT piece, row_number() OVER (ORDER BY sum(c) DESC, piece) + 1 AS id FROM piece GROUP BY piece"
+        f" QUALIFY id <= {VOCAB_SIZE + 1})",
+        "ids AS (SELECT review_id, list(coalesce(id, 1) ORDER BY pos, place) AS ids FROM tok JOIN piece USING (word)"
+        " LEFT JOIN voc USING (piece) GROUP BY review_id)",
+        f"full_ids AS (SELECT review_id, coalesce(len(ids), 0) AS n, least(coalesce(len(ids), 0), {MAX_LEN}) AS m,"
+        f" coalesce(ids[1:{MAX_LEN}], []) AS ids FROM w LEFT JOIN ids USING (review_id))",
+    )
+    + "SELECT review_id, CAST(n AS INT) AS n_pieces,"
+    f" array_to_string(list_concat(ids, list_transform(range({MAX_LEN} - m), lambda x: 0)), ' ')"
+    f" AS ids, concat(repeat('1', m), repeat('0', {MAX_LEN} - m)) AS mask FROM full_ids",
     "compound_mine_long": cte(WORDS, TOKENS, *RUNS)
     + f"SELECT phrase, n, count, {r6('score')} AS score FROM phrases",
     "compound_merge_list": cte(
