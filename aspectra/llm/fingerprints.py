@@ -37,7 +37,8 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Distinct paragraphs: lines, cut at the first white space after every 320 characters."""
+    """Distinct paragraphs: lines, cut at the first white space after every 320 characters; where a word of more than
+    80 characters stands there, the rest of the line is one paragraph, so that long runs stay linear."""
     cut = F.regexp_replace(text, r"((?:\G|(?<=\n))[^\n]{320}\S{0,80}+)\s", "$1\n")
     return F.array_distinct(F.filter(F.transform(F.split(cut, "\n"), F.trim), lambda p: p != ""))
 

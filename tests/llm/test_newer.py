@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -14,7 +15,7 @@ from conftest_llm import TEXTS, table
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from aspectra.llm import divergence, middle, pieces
+from aspectra.llm import divergence, language, middle, pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -249,3 +250,33 @@ def test_share_is_exact_for_large_counts(spark):
     pairs = [(7 * 10**15, 8 * 10**15, 12345), (0, 0, 1), (5, 5, 10**6), (9 * 10**12, 9 * 10**12, 0)]
     got = spark.createDataFrame(pairs, "c long, t long, v long").select(divergence.share("c", "t", "v").alias("p"), F.col("v")).collect()
     assert [r.p for r in got] == [1 + 10**9 * (c + 1) // (t + v) if v else None for c, t, v in pairs]
+
+
+# --- byte network --------------------------------------------------------------------------------
+
+
+def test_byte_network_is_a_convolution():
+    """Probabilities of whole texts against loops over windows, filters, places and widths."""
+    rng = np.random.default_rng(1)
+    n = language.FILTERS * len(language.WIDTHS)
+    net = language.ByteNetwork(
+        [rng.normal(size=(w, 256, language.FILTERS)).astype(np.float32) for w in language.WIDTHS],
+        rng.normal(size=n).astype(np.float32), rng.normal(size=(n, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32), ["a", "b", "c"],
+    )
+    for text in ("short", "x" * 127, "y" * 128, "z" * 129, "Ünïcödé words and more " * 40):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        windows, row = language.windows_of(raw, np.array([0, len(raw)]))
+        step, starts = language.WINDOW - language._OVERLAP, []
+        while not starts or starts[-1] + language.WINDOW < len(raw):
+            starts.append(len(starts) * step)
+        assert len(windows) == len(starts) and (row == 0).all()
+        for window, start in zip(windows, starts):
+            assert bytes(window) == bytes(raw[start : start + language.WINDOW]).ljust(language.WINDOW, b"\0")
+            hidden = []
+            for table, width in zip(net.tables, language.WIDTHS):
+                for f in range(language.FILTERS):
+                    hidden.append(max(sum(float(table[k, window[i + k], f]) for k in range(width)) for i in range(language.WINDOW - width + 1)))
+            hidden = np.maximum(np.array(hidden) + net.bias, 0)
+            scores = hidden @ net.weights + net.offset
+            want = scores - scores.max() - np.log(np.exp(scores - scores.max()).sum())
+            assert np.allclose(net.log_probabilities(window[None, :])[0], want, atol=1e-4)

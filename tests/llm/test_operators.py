@@ -12,6 +12,7 @@ import numpy as np
 import plain
 import public_tokenizers
 import pytest
+import regex
 from conftest_llm import TEXTS, table
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -155,6 +156,31 @@ def test_fingerprints(odd):
     assert by[2].fingerprint == by[3].fingerprint and by[2].near_edited == 1
 
 
+def plain_paragraphs(text):
+    cut = regex.sub(r"((?:\G|(?<=\n))[^\n]{320}\S{0,80}+)\s", "\\1\n", text, flags=regex.ASCII)
+    return {p.strip(" ") for p in cut.split("\n")} - {""}
+
+
+def test_fingerprint_likeness_is_that_of_the_paragraphs(spark, sf):
+    """Shared paragraphs, twice, by those of both: for the edited text and for the next document."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = sorted(texts)
+
+    def alike(a, b):
+        a, b = plain_paragraphs(a), plain_paragraphs(b)
+        return 2 * len(a & b) / (len(a) + len(b)) if a | b else 1.0
+
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    for i, doc_id in enumerate(order):
+        text, after = texts[doc_id], texts[order[(i + 1) % len(order)]]
+        keep = len(text) - len(text) // 2
+        edited = text[:keep] + after[: len(text) // 2]
+        assert got[doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[doc_id].near_edited == pytest.approx(alike(text, edited))
+        assert got[doc_id].near_next == pytest.approx(alike(text, after))
+
+
 def test_fingerprints_empty(empty):
     assert rows_of(fingerprints.fingerprints(empty)) == []
 
