@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import plain
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -15,7 +17,7 @@ from conftest_llm import TEXTS, table
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from aspectra.llm import divergence, language, middle, pieces
+from aspectra.llm import ctw, divergence, language, middle, pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -280,3 +282,67 @@ def test_byte_network_is_a_convolution():
             scores = hidden @ net.weights + net.offset
             want = scores - scores.max() - np.log(np.exp(scores - scores.max()).sum())
             assert np.allclose(net.log_probabilities(window[None, :])[0], want, atol=1e-4)
+
+
+# --- context trees -------------------------------------------------------------------------------
+
+
+def plain_tree_scores(rows, depth=5):
+    """log10 probability of every text, and its coded bytes, from nested dictionaries."""
+
+    def coded(text):
+        data = " ".join(plain.words(text, True)).encode() + b"\n"
+        padded = b"\n" * depth + data
+        return [(padded[i : i + depth], b) for i, b in enumerate(data)]
+
+    counts = defaultdict(lambda: [0, 0])
+    for doc_id, text in rows:
+        if doc_id is None or plain.crc(doc_id, 7) != 2:
+            for context, byte in coded(text):
+                for level in range(8):
+                    node = 1 << level | byte >> (8 - level)
+                    for d in range(depth + 1):
+                        counts[d, context[depth - d :], node][byte >> (7 - level) & 1] += 1
+
+    def kt(zeros, ones):
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(zeros + ones + 1)
+
+    weighted, share, below = {}, {}, defaultdict(float)
+    for d in range(depth, -1, -1):
+        for key in [k for k in counts if k[0] == d]:
+            own = kt(*counts[key])
+            weighted[key] = own if d == depth else math.log(0.5) + np.logaddexp(own, below[key])
+            share[key] = 1.0 if d == depth else math.exp(own + math.log(0.5) - weighted[key])
+            if d:
+                below[d - 1, key[1][1:], key[2]] += weighted[key]
+
+    out = []
+    for doc_id, text in rows:
+        total, stream = 0.0, coded(text)
+        for context, byte in stream:
+            for level in range(8):
+                node, bit = 1 << level | byte >> (8 - level), byte >> (7 - level) & 1
+                p, deepest = 0.5, True
+                for d in range(depth, -1, -1):
+                    key = (d, context[depth - d :], node)
+                    if key in counts:
+                        own = (counts[key][bit] + 0.5) / (sum(counts[key]) + 1)
+                        p = own if deepest else share[key] * own + (1 - share[key]) * p
+                        deepest = False
+                total += math.log10(p)
+        out.append((doc_id, total, len(stream)))
+    return out
+
+
+@pytest.mark.parametrize("held_in_tables", [True, False])
+def test_scores_are_those_of_a_plain_context_tree(spark, monkeypatch, held_in_tables):
+    """Grams looked up in the tables of the tasks, and grams that are joined."""
+    if not held_in_tables:
+        monkeypatch.setattr(ctw, "GRAMS", 20)
+        monkeypatch.setattr(ctw, "WORDS", 3)
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "Sat", "on", "mat", "état", "x", "世界"]) for _ in range(rng.randrange(9)))) for i in range(40)]
+    rows += [(100, None), (101, ""), (None, "the cat"), (102, "\tunseen  words!\n")]
+    got = ctw.score_texts(table(spark, rows).repartition(3)).collect()
+    want = sorted((str(i), round(total, 6), n) for i, total, n in plain_tree_scores(rows))
+    assert sorted((str(r.doc_id), round(r.score, 6), round(-r.score * math.log2(10) / r.code_length_per_byte)) for r in got) == want
