@@ -402,6 +402,38 @@ def test_search(spark, monkeypatch):
     assert rows_of(search.top_inner_products(df.where("false"))) == []
 
 
+@pytest.mark.parametrize("broadcast", [search.BOX_BYTES, 0])
+def test_search_over_many_shards(spark, monkeypatch, broadcast):
+    """Shards of 64 rows, several packs, blocks and spans, a third of all rows one vector, ties across shards."""
+    for name, value in {"BLOCK": 8, "PACK": 4, "SPAN": 2, "CELL": 4, "BOX_BYTES": broadcast}.items():
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(size=5) + 6 * (i % 4)).round(1).tolist()) for i in range(800)]
+    rows += [(1000 + i, [1.5, -1.0, 0.0, 2.0, 1.0]) for i in range(500)]
+    rows += [(2000 + i, rng.normal(size=3).round(1).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = search.top_inner_products(df, 5, 20, 64).collect()
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, 5, 20)
+
+
+def test_search_leaves_out_far_shards(spark):
+    """Queries of clustered vectors go to a small share of the shards, smaller than those of scattered ones."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(32, 16)) * 4
+    near = [(i, (centres[i % 32] + rng.normal(size=16) * 0.2).tolist()) for i in range(6400)]
+    far = [(i, rng.normal(size=16).tolist()) for i in range(6400)]
+    share = {}
+    for name, rows in (("near", near), ("far", far)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        row = search.search_effort(df, 5, 50, 256).first()
+        assert row.queries == 128 and row.shards >= 25 and row.pairs == 128 * (row.shards - 1)
+        assert row.searched == (row.near_pairs + row.rest_pairs) / row.pairs
+        share[name] = row.searched
+    print(share)
+    assert share["near"] < 0.2 < share["far"] <= 1
+    assert search.search_effort(df.where("false")).first().asDict() == {"queries": 0, "shards": 0, "pairs": 0, "near_pairs": 0, "rest_pairs": 0, "searched": None}
+
+
 def test_frequent_keys_are_bounded(spark):
     """Many keys with one large count do not pass the bound together; smaller counts do not slip in past them."""
     rows = [(i, 1 << 21) for i in range(50)] + [(100 + i, 5) for i in range(5)] + [(200 + i, 1 << 40) for i in range(3)]
