@@ -2,12 +2,15 @@
 
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from aspectra.operators import compounds, distribution, folds, heads, lookup, tokens, vectors, vocab
 from aspectra.plans import fixtures as fx
+from aspectra.plans.oracle import ORACLE
+from aspectra.plans.queries import QUERIES
 from aspectra.schema import ASPECTS
 
 LABELS = ", ".join(f"{a} int" for a in ASPECTS)
@@ -214,6 +217,28 @@ def test_vectors(spark):
         vectors.pool(tokens_, "median")
 
 
+def test_pooling_of_vectors_of_several_lengths(spark):
+    """Tokens with too few layers, alone in their group and beside whole ones."""
+    rows = [(1, 0, [1.0, 2.0, 3.0]), (1, 1, [3.0]), (1, 2, [5.0, 4.0]), (2, 0, [7.0]), (3, 0, None), (4, 0, [1.0, 1.0, 1.0]), (4, 1, [0.0, 3.0, -1.0])]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, vec array<float>")
+    got = {r.doc_id: r.vec for r in vectors.pool(df, "mean_max").collect()}
+    assert got == {1: [3, 3, 3, 5, 4, 3], 2: [7, None, None, 7, None, None], 4: [0.5, 2, 0, 1, 3, 1]}
+    assert {r.doc_id: r.vec for r in vectors.pool(df).collect()} == {k: v[:3] for k, v in got.items()}
+
+
+def test_pooled_tokens_of_an_odd_number_of_vectors(spark, sf, tmp_path):
+    """As the SQL gives them: the last token has two layers, alone in its document, or beside others."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    for n in (42, 50):
+        path = str(tmp_path / str(n))
+        table.where(F.col("vec_id") < n).write.parquet(f"{path}/embeddings.parquet")
+        got = QUERIES["pool_tokens"](spark, path)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet/*.parquet'")
+        want = {(doc, dim): value for doc, dim, value in con.execute(ORACLE["pool_tokens"]).fetchall()}
+        assert {(r.doc_id, r.dim): r.value for r in got.collect()} == pytest.approx(want)
+
+
 def test_mean_heads(spark):
     rng = np.random.default_rng(0)
     rows = [
