@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from aspectra.functions.text import tokenize
-from aspectra.operators.lookup import ROW, lookup_join, numbered
-from aspectra.session import materialise
+from aspectra.operators.lookup import lookup_join
+from aspectra.operators.runs import Found, count_runs, joined_words, key_filter, looked_up
+from aspectra.session import materialise, stored
 
-# Grouping ids of the rollup in ``mine_compounds``.
+# Levels of the counts in ``mine_compounds``.
 PAIR, WORD, CORPUS = 0, 1, 3
 
 
@@ -18,18 +21,22 @@ def mine_compounds(
     """Adjacent pairs seen at least ``min_count`` times with pointwise mutual information of at
     least ``min_pmi``: (first, second, count, pmi).
 
-    A rollup counts pairs, single words and the corpus length in one scan and one shuffle (the last
-    word of a text forms a pair with nothing). A pair is never more frequent than its words, so the
-    count filter loses no word that a kept pair needs; only the filtered counts are stored, and they
-    are read three times.
+    Words are counted first. A pair is never more frequent than its words, so only pairs of two words that pass the filter
+    of frequent words are counted; what it lets pass besides them falls to the count. Both counts leave a task
+    as one row per distinct word or pair of a slice of texts; only the filtered counts are stored with the corpus
+    length, and they are read three times.
     """
-    tokens = df.select(tokenize(F.col(text)).alias("t"))
-    following = F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))
+    words = stored(df.select(joined_words(F.col(text)).alias("words")), "words")
+    singles = stored(count_runs(words, 1), "word-counts")
+    frequent = singles.where(F.col("count") >= min_count)
+    pairs = count_runs(words, 2, key_filter(frequent, "phrase")).where(F.col("count") >= min_count)
+    both = F.split("phrase", " ")
+    length = singles.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+    none = F.lit(None).cast("string")
     counts = (
-        tokens.select(F.inline(F.arrays_zip(F.col("t").alias("first"), following.alias("second"))))
-        .rollup("first", "second")
-        .agg(F.count("*").alias("count"), F.grouping_id().alias("level"))
-        .where((F.col("count") >= min_count) | (F.col("level") == CORPUS))
+        pairs.select(both[0].alias("first"), both[1].alias("second"), "count", F.lit(PAIR).alias("level"))
+        .unionByName(frequent.select(F.col("phrase").alias("first"), none.alias("second"), "count", F.lit(WORD).alias("level")))
+        .unionByName(length.select(none.alias("first"), none.alias("second"), "count", F.lit(CORPUS).alias("level")))
     )
     counts = materialise(counts)
 
@@ -55,24 +62,21 @@ def tag_compounds(
     """Add ``tokens`` and ``tags``: a token is ``I`` when it and the one before it are a listed
     pair, else ``B``. ``lexicon`` is (first, second); it is read several times, so pass a stored
     table. ``large`` takes the way of lists beyond the bounds of a broadcast; the rows are the same."""
-    lexicon = lexicon.select("first", "second").distinct()
-    stored = numbered(df)
-    tokens = stored.select(ROW, tokenize(F.col(text)).alias("t"))
-    shifted = F.concat(F.array(F.lit(None).cast("string")), F.col("t"))
-    pairs = F.arrays_zip(shifted.alias("first"), F.col("t").alias("second"))
-    rows = (
-        tokens.select(ROW, F.posexplode(pairs).alias("pos", "pair"))
-        .select(ROW, "pos", "pair.first", "pair.second")
-        .where(F.col("second").isNotNull())
-    )
-    # Only the places of compounds go through the shuffle; all other words are B.
-    inside = lookup_join(rows.where(F.col("first").isNotNull()), lexicon, ["first", "second"], "left_semi", large)
-    places = inside.groupBy(ROW).agg(F.array_sort(F.collect_list("pos")).alias("places"))
-    return with_tags(stored, places, text).select(*df.columns, "tokens", "tags")
+    pairs = lexicon.where(F.col("first").isNotNull() & F.col("second").isNotNull())
+    pairs = pairs.select(F.concat_ws(" ", "first", "second").alias("pair")).distinct()
+    found = looked_up(df, joined_words(F.col(text)), pairs, range(2, 3), _second_places, "places", "array<int>", large=large)
+    return with_tags(found, text).select(*df.columns, "tokens", "tags")
+
+
+def _second_places(found: Found, _: pa.Array | None) -> pa.Array:
+    """Places of the second words of all pairs, from 0 in each row."""
+    bounds = found.bounds()
+    within = found.at + 1 - np.repeat(found.words.bounds[:-1], np.diff(bounds))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(within, pa.int32()))
 
 
-def with_tags(rows: DataFrame, places: DataFrame, text: str) -> DataFrame:
-    """Numbered rows with ``tokens`` and ``tags``, ``I`` at the ascending ``places`` (from 0) of (row, places)."""
+def with_tags(rows: DataFrame, text: str) -> DataFrame:
+    """Rows with ``tokens`` and ``tags``, ``I`` at the ascending ``places`` (from 0) of the row."""
     tags = F.flatten(
         F.zip_with(
             # From each place to the next: one I, then B until the next place.
@@ -81,9 +85,10 @@ def with_tags(rows: DataFrame, places: DataFrame, text: str) -> DataFrame:
             lambda at, then: F.concat(F.array(F.lit("I")), F.array_repeat(F.lit("B"), then - at - 1)),
         )
     )
-    before = F.array_repeat(F.lit("B"), F.coalesce(F.element_at("places", 1), F.size("tokens")))
-    tagged = rows.withColumn("tokens", tokenize(F.col(text))).join(places, ROW, "left")
-    tags = F.when(F.col("places").isNull(), F.array_repeat(F.lit("B"), F.size("tokens"))).otherwise(F.concat(before, tags))
+    none = F.size("places") == 0
+    before = F.array_repeat(F.lit("B"), F.coalesce(F.get("places", F.lit(0)), F.size("tokens")))
+    tagged = rows.withColumn("tokens", tokenize(F.col(text)))
+    tags = F.when(none, F.array_repeat(F.lit("B"), F.size("tokens"))).otherwise(F.concat(before, tags))
     return tagged.withColumn("tags", F.when(F.col("tokens").isNotNull(), tags)).drop("places")
 
 

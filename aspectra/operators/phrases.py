@@ -1,7 +1,7 @@
 """Words of several syllables: mined level by level, and found in texts by longest match or by the best path.
 
-A phrase is its words joined by single spaces. A text's places where a listed phrase stands are found by one join of its
-runs of two to ``longest`` words with the list; what is kept of them is chosen in one pass over the places of a row.
+A phrase is its words joined by single spaces. A text's places where a listed phrase stands are found by looking up its
+runs of two to ``longest`` words (``operators/runs.py``); what is kept of them is chosen in one pass over the places of a row.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from aspectra.functions.text import tokenize
+from aspectra.operators import lookup
 from aspectra.operators.compounds import merge_compounds, with_tags
 from aspectra.operators.lookup import ROW, lookup_join, numbered
+from aspectra.operators.runs import Found, count_runs, joined_words, key_filter, looked_up
 from aspectra.operators.tokens import token_rows
 from aspectra.session import stored
 
@@ -29,23 +30,32 @@ def mine_phrases(
 
     Mined by levels: a run of n words is counted only where its first and its last n - 1 words both
     passed, which loses none, since no run is more frequent than its parts. A level keeps the places of the runs that
-    passed, so each shuffle is bounded by the survivors of the one before; the first keeps frequent words.
+    passed, so each shuffle is bounded by the survivors of the one before; the first keeps frequent words. From a level
+    that is beyond the bounds of a broadcast on, no places are kept: a filter of the level's runs picks the runs to count
+    from the texts, and each task hands on distinct ones with their counts.
     The score is the mutual information per joint, ln(count * N^(n-1) / product of word counts) / (n - 1) with N the
     words of the corpus; ``min_score`` filters the result, not the growth.
     """
     if longest < 2:
         raise ValueError("phrases have at least two words")
-    places = token_rows(numbered(df.select(text)), text, ROW).withColumnRenamed("word", "phrase")
-    levels = []
+    words = stored(df.select(joined_words(F.col(text)).alias("words")), "words")
+    levels, places, parts = [], None, None
     for n in range(1, longest + 1):
-        counts = places.groupBy("phrase").agg(F.count("*").alias("count"))
+        if places is not None:
+            counts = places.groupBy("phrase").agg(F.count("*").alias("count"))
+        else:
+            counts = count_runs(words, n, parts)
         if n == 1:
             counts = stored(counts, "word-counts")
             total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total")).first()["total"]
         passed = counts.where(F.col("count") >= min_count)
         levels.append(stored(passed, f"phrases-{n}") if n > 1 else passed)
-        if n < longest:
-            survivors = lookup_join(places, levels[-1].select("phrase"), ["phrase"], "left_semi")
+        if n == longest:
+            break
+        if (n == 1 or places is not None) and lookup.small_count(levels[-1].select("phrase")) is not None:
+            if n == 1:
+                places = token_rows(numbered(df.select(text)), text, ROW).withColumnRenamed("word", "phrase")
+            survivors = places.join(F.broadcast(levels[-1].select("phrase")), ["phrase"], "left_semi")
             survivors = stored(survivors, f"places-{n}")
             row = Window.partitionBy(ROW).orderBy("pos")
             following, then = F.lead("phrase").over(row), F.lead("pos").over(row)
@@ -55,6 +65,8 @@ def mine_phrases(
                 .where(F.col("next_pos") == F.col("pos") + 1)
                 .select(ROW, "pos", grown.alias("phrase"))
             )
+        else:
+            places, parts = None, key_filter(levels[-1], "phrase")
     phrases = reduce(DataFrame.unionByName, (level.withColumn("n", F.lit(n + 2)) for n, level in enumerate(levels[1:])))
     words = phrases.select("phrase", F.explode(F.split("phrase", " ")).alias("word"))
     singles = levels[0].select(F.col("phrase").alias("word"), F.col("count").alias("word_count"))
@@ -80,85 +92,56 @@ def word_scores(df: DataFrame, phrases: DataFrame, text: str = "text") -> DataFr
     return every.select("phrase", "n", F.round(MICRO * F.log(F.col("count") / F.lit(float(total)))).cast("long").alias("score"))
 
 
-def _runs(tokens: Column, shortest: int, longest: int) -> Column:
-    """(pos, n, phrase) of each run of ``shortest`` to ``longest`` words, positions from 0."""
-
-    def of(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            starts,
-            lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i + 1, n), " ").alias("phrase")),
-        )
-
-    return F.concat(*[of(n) for n in range(shortest, longest + 1)])
-
-
-def phrase_places(rows: DataFrame, phrases: DataFrame, shortest: int, longest: int, text: str, large: bool) -> DataFrame:
-    """(row, places): for each numbered row with a listed phrase its (pos, n, score), by position and longest first."""
-    runs = rows.select(ROW, tokenize(F.col(text)).alias("t")).select(ROW, F.inline(_runs(F.col("t"), shortest, longest)))
-    found = lookup_join(runs, phrases.select("phrase", "score"), ["phrase"], "inner", large)
-    entry = F.struct("pos", (-F.col("n")).alias("back"), "score")
-    return found.groupBy(ROW).agg(F.array_sort(F.collect_list(entry)).alias("places"))
-
-
-def _flat(places: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of each row, and position, length and score of all its places; a null row has none."""
-    sizes = np.asarray(places.value_lengths().fill_null(0))
-    flat = places.drop_null().flatten()
-    pos, back, score = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("pos", "back", "score"))
-    return np.concatenate([[0], np.cumsum(sizes)]), pos, -back, score
-
-
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _longest_first(places: pa.Array) -> pa.Array:
+def _longest_first(found: Found, _: pa.Array | None) -> pa.Array:
     """Places after the first of each chosen phrase: from the left, the longest that begins at the first free place."""
-    bounds, pos, n, _ = _flat(places)
+    at, n, finds = found.at.tolist(), found.n.tolist(), found.bounds().tolist()
     out = []
-    for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        free, inside = 0, []
-        for p, k in zip(pos[start:stop].tolist(), n[start:stop].tolist()):
-            if p >= free:
-                free = p + k
-                inside.extend(range(p + 1, free))
+    for begin, start, stop in zip(found.words.bounds.tolist(), finds, finds[1:]):
+        free, inside = begin, []
+        for i in range(start, stop):
+            if at[i] >= free:
+                free = at[i] + n[i]
+                inside.extend(range(at[i] + 1 - begin, free - begin))
         out.append(inside)
     return pa.array(out, pa.list_(pa.int32()))
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _best_path(places: pa.Array, size: pa.Array) -> pa.Array:
+def _best_path(found: Found, _: pa.Array | None) -> pa.Array:
     """The same for the division of the whole text with the greatest sum of scores.
 
-    Worked from the end, so that among equal sums the one with the longer word at the first difference wins.
+    Worked from the end, so that among equal sums the one with the longer word at the first difference wins. A word
+    counts 0 alone if it is not listed.
     """
-    bounds, pos, n, score = _flat(places)
-    out = []
-    for start, stop, words in zip(bounds[:-1].tolist(), bounds[1:].tolist(), size.fill_null(0).to_pylist()):
-        best, step = [0] * (words + 1), [1] * words
-        at = stop - 1
-        rows = list(zip(pos[start:stop].tolist(), n[start:stop].tolist(), score[start:stop].tolist()))
-        for i in range(words - 1, -1, -1):
-            # Alone without a score of its own, unless one is listed; longer words come last here, and win ties.
-            alone = at < start or rows[at - start][:2] != (i, 1)
-            top = best[i + 1] if alone else None
-            while at >= start and rows[at - start][0] == i:
-                _, k, s = rows[at - start]
-                if top is None or s + best[i + k] >= top:
-                    top, step[i] = s + best[i + k], k
-                at -= 1
-            best[i] = top
-        i, inside = 0, []
-        while i < words:
-            inside.extend(range(i + 1, i + step[i]))
-            i += step[i]
-        out.append(inside)
+    score = found.values.take(pa.array(found.entry)).to_numpy(zero_copy_only=False)
+    alone = np.zeros(len(found.words.flat), np.int64)
+    alone[found.at[found.n == 1]] = score[found.n == 1]
+    more = found.n > 1
+    # Of a place the shorter phrase first: the longer one comes last, and wins ties.
+    at, n, score = found.at[more][::-1].tolist(), found.n[more][::-1].tolist(), score[more][::-1].tolist()
+    alone, words = alone.tolist(), found.words.bounds.tolist()
+    at.append(-1)
+    out, j = [None] * (len(words) - 1), 0
+    for row in range(len(words) - 2, -1, -1):
+        start, stop = words[row], words[row + 1]
+        best, step = [0] * (stop - start + 1), {}
+        for i in range(stop - 1, start - 1, -1):
+            here = i - start
+            top = alone[i] + best[here + 1]
+            while at[j] == i:
+                other = score[j] + best[here + n[j]]
+                if other >= top:
+                    top, step[here] = other, n[j]
+                j += 1
+            best[here] = top
+        inside, here = [], 0
+        while here < stop - start:
+            size = step.get(here, 1)
+            inside.extend(range(here + 1, here + size))
+            here += size
+        out[row] = inside
     return pa.array(out, pa.list_(pa.int32()))
 
 
-def _tagged(rows: DataFrame, inside: DataFrame, text: str) -> DataFrame:
-    chosen = inside.where(F.size("places") > 0)
-    return with_tags(rows, chosen, text)
-
-
 def tag_longest(df: DataFrame, phrases: DataFrame, longest: int = 4, text: str = "text", large: bool = False) -> DataFrame:
     """Add ``tokens`` and ``tags`` (``B``, then ``I`` in a phrase): longest match from the left.
 
@@ -166,10 +149,9 @@ def tag_longest(df: DataFrame, phrases: DataFrame, longest: int = 4, text: str =
     ``longest`` are not looked for. Rows that repeat a key, or have none, are kept apart; a null text has null
     tokens. ``large`` takes the way of lists beyond the bounds of a broadcast; the rows are the same.
     """
-    rows = numbered(df)
-    listed = phrases.select("phrase").distinct().withColumn("score", F.lit(0).cast("long"))
-    places = phrase_places(rows, listed, 2, longest, text, large)
-    return _tagged(rows, places.select(ROW, _longest_first("places").alias("places")), text).select(*df.columns, "tokens", "tags")
+    listed = phrases.select("phrase").distinct()
+    found = looked_up(df, joined_words(F.col(text)), listed, range(2, longest + 1), _longest_first, "places", "array<int>", large=large)
+    return with_tags(found, text).select(*df.columns, "tokens", "tags")
 
 
 def tag_best(df: DataFrame, scores: DataFrame, longest: int = 4, text: str = "text", large: bool = False) -> DataFrame:
@@ -178,10 +160,9 @@ def tag_best(df: DataFrame, scores: DataFrame, longest: int = 4, text: str = "te
     ``scores`` is (phrase, n, score) with whole-number scores, single words included (``word_scores``). A word
     without a score of its own counts 0 when it stands alone.
     """
-    rows = numbered(df)
-    places = phrase_places(rows, scores, 1, longest, text, large)
-    sized = rows.select(ROW, F.size(tokenize(F.col(text))).alias("size")).join(places, ROW)
-    return _tagged(rows, sized.select(ROW, _best_path("places", "size").alias("places")), text).select(*df.columns, "tokens", "tags")
+    listed = scores.select("phrase", F.col("score").cast("long").alias("score"))
+    found = looked_up(df, joined_words(F.col(text)), listed, range(1, longest + 1), _best_path, "places", "array<int>", large=large)
+    return with_tags(found, text).select(*df.columns, "tokens", "tags")
 
 
 def merge_phrases(df: DataFrame, phrases: DataFrame, longest: int = 4, text: str = "text", best: bool = False, large: bool = False) -> DataFrame:

@@ -167,3 +167,22 @@ def test_best_path_of_a_long_text(spark):
 def test_numbers_are_given_once(docs):
     rows = lookup.numbered(docs)
     assert lookup.numbered(rows) is rows
+
+
+@pytest.mark.parametrize("least", [1, 5, 40])
+def test_mining_beyond_the_bounds_keeps_no_places(docs, monkeypatch, least):
+    """The same phrases, counted from the texts level by level; no table of places is stored."""
+    monkeypatch.setattr(lookup, "small_count", lambda *a, **k: None)
+    names, keep = [], phrases.stored
+    monkeypatch.setattr(phrases, "stored", lambda df, name: names.append(name) or keep(df, name))
+    counts = plain_counts([r.text for r in docs.collect()], 4)
+    got = phrases.mine_phrases(docs, least, 4).collect()
+    assert {(r.phrase, r.n, r["count"]) for r in got} == {(p, p.count(" ") + 1, n) for p, n in counts.items() if n >= least and " " in p}
+    assert not [n for n in names if n.startswith("places")]
+
+
+def test_long_lists_move_no_places(docs, spark):
+    """Distinct runs of a batch are looked up, not a row for each place."""
+    table = spark.createDataFrame([("a b", 2, 5), ("b c d", 3, 7)], "phrase string, n int, score long")
+    for run in (phrases.tag_longest, phrases.tag_best):
+        assert "Generate" not in run(docs, table, large=True)._jdf.queryExecution().executedPlan().toString()
