@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aspectra.operators import compounds, distribution, folds, heads, lookup, tokens, vectors, vocab
+from aspectra.operators import compounds, distribution, folds, heads, lookup, runs, tokens, vectors, vocab
 from aspectra.plans import fixtures as fx
 from aspectra.plans.oracle import ORACLE
 from aspectra.plans.queries import QUERIES
@@ -266,3 +266,18 @@ def test_mean_heads(spark):
         heads.score_heads(uneven, fitted).collect()
     nearest = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert [got[i] for i in range(60)] == nearest.tolist()
+
+
+def test_pairs_are_counted_in_slices_and_looked_up_by_batch(spark, monkeypatch):
+    """No row per place in the plan of a long list; slices and batches of a few rows change nothing."""
+    docs = spark.range(300).select(F.col("id").alias("review_id"), F.concat_ws(" ", F.lit("new york"), F.col("id") % 9, F.lit("york city new york")).alias("text"))
+    lexicon = spark.createDataFrame([("new", "york"), ("york", "city"), ("8", "york")], "first string, second string")
+    whole = compounds.tag_compounds(docs, lexicon), compounds.mine_compounds(docs, 20, None)
+    whole = [sorted(map(repr, df.collect())) for df in whole]
+    tagged = compounds.tag_compounds(docs, lexicon, large=True)
+    assert "Generate" not in tagged._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(runs, "BATCH", 3)
+    monkeypatch.setattr(runs, "SLICE", 64)
+    parts = compounds.tag_compounds(docs, lexicon, large=True), compounds.mine_compounds(docs, 20, None)
+    assert whole == [sorted(map(repr, df.collect())) for df in parts]
+    assert any(r.count("'I'") == 4 for r in whole[0])
