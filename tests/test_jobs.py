@@ -281,3 +281,15 @@ def test_pairs_are_counted_in_slices_and_looked_up_by_batch(spark, monkeypatch):
     parts = compounds.tag_compounds(docs, lexicon, large=True), compounds.mine_compounds(docs, 20, None)
     assert whole == [sorted(map(repr, df.collect())) for df in parts]
     assert any(r.count("'I'") == 4 for r in whole[0])
+
+
+def test_long_word_lists_move_no_words(spark):
+    """Terms, stop words and ids are looked up by distinct words of a batch: no row for each word in the plan."""
+    docs = spark.createDataFrame([(1, "the  Cat ΟΔΟΣ of York "), (2, ""), (3, None), (None, " the")], "review_id long, text string")
+    terms = spark.createDataFrame([("THE", "this"), ("οδος", "Street"), ("york", None), ("of", "of the")], "short string, full string")
+    words, ids = terms.select(F.lower("short").alias("word")), spark.createDataFrame([("the", 2), ("of", 3)], "word string, id int")
+    for large in (False, True):
+        for df in (tokens.expand_terms(docs, terms, large=large), tokens.remove_stopwords(docs, words, large=large), vocab.encode(docs, ids, 3, large=large)):
+            assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {r.review_id: r.text for r in tokens.expand_terms(docs, terms, large=large).collect()}
+        assert got == {1: "this  Cat Street of the York ", 2: "", 3: None, None: " this"}
