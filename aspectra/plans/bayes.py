@@ -9,16 +9,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from aspectra.functions.labels import checked_class
 from aspectra.functions.text import tokenize
-from aspectra.operators.lookup import ROW, lookup_join, numbered
+from aspectra.operators.runs import Found, joined_words, looked_up
 from aspectra.schema import ASPECTS, CLASSES
 from aspectra.session import stored
 
 #: Weights are in parts of this number.
 MICRO = 1_000_000
+#: Words whose weights are added up at once.
+AT_ONCE = 1 << 16
 
 
 def _micro(c: Column) -> Column:
@@ -50,20 +54,36 @@ class BayesHeads:
     def logits(self, df: DataFrame, text: str) -> DataFrame:
         """``df`` with ``<aspect>_logits``: the summed weights of its words, in natural logarithms.
 
-        Words are joined to their weights, a word that occurs n times once; sums leave a task as one row per review.
+        Words are looked up and summed in the tasks that hold the texts.
         """
-        rows = numbered(df)
-        counts = rows.select(ROW, F.explode(tokenize(F.col(text))).alias("word")).groupBy(ROW, "word").agg(F.count("*").alias("n"))
-        known = lookup_join(counts, self.words, ["word"], "inner")
-        sums = [F.sum(F.col("n") * F.col("weights")[i]).alias(f"s{i}") for i in range(len(self.base))]
-        found = known.groupBy(ROW).agg(*sums)
+        found = looked_up(df, joined_words(F.col(text)), self.words.select("word", "weights"), range(1, 2), _sums(len(self.base)), "_sums", "array<long>")
 
         def head(a: int) -> Column:
             places = range(a * self.classes, (a + 1) * self.classes)
-            return F.array(*[(F.coalesce(f"s{i}", F.lit(0)) + F.lit(self.base[i])) / float(MICRO) for i in places])
-
-        scored = rows.join(found, ROW, "left")
-        return scored.select(*df.columns, *[head(a).alias(f"{name}_logits") for a, name in enumerate(self.aspects)])
+            return F.array(*[(F.col("_sums")[i] + F.lit(self.base[i])) / float(MICRO) for i in places])
+
+        return found.select(*df.columns, *[head(a).alias(f"{name}_logits") for a, name in enumerate(self.aspects)])
+
+
+def _sums(size: int):
+    """The sums of the finds' values, ``size`` whole numbers, in each row."""
+
+    def choose(found: Found, _: pa.Array | None) -> pa.Array:
+        bounds = found.bounds()
+        out = np.zeros((len(bounds) - 1, size), np.int64)
+        if len(found.at):
+            weights = found.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            rows = np.flatnonzero(np.diff(bounds))
+            starts, first = bounds[:-1][rows], 0
+            while first < len(rows):
+                # Some rows at a time, so that the weights of all their words are a matrix of bounded size.
+                last = max(int(np.searchsorted(starts, starts[first] + AT_ONCE)), first + 1)
+                begin, end = starts[first], bounds[rows[last - 1] + 1]
+                out[rows[first:last]] = np.add.reduceat(weights[found.entry[begin:end]], starts[first:last] - begin, axis=0)
+                first = last
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, size), pa.int32()), pa.array(out.ravel()))
+
+    return choose
 
 
 def fit_bayes_heads(
