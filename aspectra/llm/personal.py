@@ -37,8 +37,8 @@ CANDIDATES = {
     "card": r"[0-9](?:[ .-]{0,2}[0-9]){11,19}",
     "phone": r"(?:\+|\(|00)?[0-9](?:[ ().-]{0,2}[0-9]){6,14}",
 }
-#: Candidates of the table to learn from, at most; made-up examples of each kind and label.
-SAMPLE, MADE_UP = 4_000, 250
+#: Weight of all candidates of the table together, at most; made-up examples of each kind and label, of weight 1 each.
+WEIGHT, MADE_UP = 4_000, 250
 #: Share of accepted examples kept back that must be right, and the thresholds tried, the last one if none will do.
 PRECISION, STEPS = 0.99, (0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 #: Characters of context on either side.
@@ -296,14 +296,15 @@ def _made_up(spark) -> DataFrame:
 
 
 def _examples(near: DataFrame) -> DataFrame:
-    """(k, v, left, right, label, h) to learn from; ``near`` are the candidates of the table with ``known``, whether a base
+    """(k, v, left, right, label, h, weight) to learn from; ``near`` are all candidates of the table with ``known``, whether a base
     span of their kind stands there, and ``sound``, whether they may be personal data at all."""
     order = F.xxhash64("v", "left", "k")
-    columns = ["k", "v", "left", "right", "known", "sound"]
-    sample = near.select(*columns, order.alias("h")).where("known or not sound").orderBy("h").limit(SAMPLE)
-    sample = stored(sample, "candidate-sample")
-    shape = ["k", "v", "left", "right", "h"]
-    spans = sample.where("known").select(*shape).unionByName(_made_up(near.sparkSession))
+    found = near.where("known or not sound")
+    # However many there are, those of the table weigh as WEIGHT together, beside the made-up ones.
+    weight = F.lit(min(1.0, WEIGHT / max(found.count(), 1)))
+    found = found.select("k", "v", "left", "right", "known", "sound", order.alias("h"), weight.alias("weight"))
+    shape = ["k", "v", "left", "right", "h", "weight"]
+    spans = found.where("known").select(*shape).unionByName(_made_up(near.sparkSession).withColumn("weight", F.lit(1.0)))
     k, v, h = F.col("k"), F.col("v"), F.col("h")
     # A decoy stands in the surroundings of spans, in neutral ones and in those of numbers.
     ref = _surroundings(F.col("left"), F.xxhash64(h, F.lit("decoy")), 3, 4)
@@ -311,7 +312,7 @@ def _examples(near: DataFrame) -> DataFrame:
         spans.withColumn("label", F.lit(1.0)),
         spans.withColumns({"v": _rewritten(k, v, h), "label": F.lit(1.0)}),
         spans.withColumns({"v": _decoy(k, v, h), "left": ref, "label": F.lit(0.0)}),
-        sample.where("not known and not sound").select(*shape, F.lit(0.0).alias("label")),
+        found.where("not known and not sound").select(*shape, F.lit(0.0).alias("label")),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -358,12 +359,12 @@ def _additions(scanned: DataFrame) -> DataFrame:
     """(_row, _more) with the spans that the trees add."""
     near = stored(_placed(scanned), "candidates")
     vectors = VectorAssembler(inputCols=list(_FEATURES), outputCol="features")
-    examples = stored(_describe(_examples(near)).select("k", "label", "h", *_FEATURES), "examples")
+    examples = stored(_describe(_examples(near)).select("k", "label", "h", "weight", *_FEATURES), "examples")
     examples = vectors.transform(examples)
     back = F.pmod(F.xxhash64("h", "label"), F.lit(4)) == 0
-    model = GBTClassifier(maxIter=16, maxDepth=4, maxBins=32, stepSize=0.3, seed=1, cacheNodeIds=False).fit(examples.where(~back))
+    model = GBTClassifier(maxIter=16, maxDepth=4, maxBins=32, stepSize=0.3, seed=1, cacheNodeIds=False, weightCol="weight").fit(examples.where(~back))
     score = vector_to_array("probability")[1]
-    least = thresholds(model.transform(examples.where(back)).select("k", "label", score.alias("p")))
+    least = thresholds(model.transform(examples.where(back)).select("k", "label", "weight", score.alias("p")))
     # What the base patterns found is there already; what cannot be personal data is not scored.
     rest = _describe(near.where("sound and not taken"))
     passing = F.element_at(F.array(*map(F.lit, least)), F.col("k") + 1) <= F.col("p")
@@ -372,10 +373,12 @@ def _additions(scanned: DataFrame) -> DataFrame:
 
 
 def thresholds(held: DataFrame) -> list[float]:
-    """Per kind, the least of STEPS at which PRECISION of the accepted (k, label, p) are right; the last if none is."""
+    """Per kind, the least of STEPS at which PRECISION of the accepted (k, label, p) are right, by ``weight`` if they
+    have one; the last if none is."""
+    weight = F.col("weight") if "weight" in held.columns else F.lit(1.0)
     right = held.groupBy("k").agg(
-        *(F.sum(F.when(F.col("p") >= t, F.col("label"))).alias(f"r{i}") for i, t in enumerate(STEPS)),
-        *(F.count(F.when(F.col("p") >= t, 1)).alias(f"n{i}") for i, t in enumerate(STEPS)),
+        *(F.sum(F.when(F.col("p") >= t, F.col("label") * weight)).alias(f"r{i}") for i, t in enumerate(STEPS)),
+        *(F.sum(F.when(F.col("p") >= t, weight)).alias(f"n{i}") for i, t in enumerate(STEPS)),
     )
     least = [STEPS[-1]] * len(KINDS)
     for r in right.collect():
@@ -402,7 +405,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     ``docs`` has doc_id and text; other columns are ignored. Returns doc_id, n_email, n_ip, n_card and n_phone (base
     spans), base_sha256 (of the base spans written kind:start:end, by kind and start) and spans (base and added
     spans, written alike, overlapping ones included). A null text is empty and has none. Rows that repeat a doc_id
-    are rows of their own. The trees are fitted on at most SAMPLE candidates of the table, rewritten and as decoys,
+    are rows of their own. The trees are fitted on all candidates of the table, rewritten and as decoys,
     and on MADE_UP examples of each kind, so a table of any size, also one without base spans, has its spans
     added. An empty table gives an empty table.
     """

@@ -599,3 +599,13 @@ def test_personal_many_matches(spark):
     want = [(m.start(), m.end()) for m in plain.KINDS[0][1].finditer(text)]
     assert row.n_email == 30_000 and row.spans.split(",")[:30_000] == [f"email:{s}:{e}" for s, e in want]
     assert personal.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == " ".join(["[EMAIL]"] * 30_000)
+
+
+def test_personal_data_learns_from_every_candidate(spark):
+    """More candidates than weigh 1 each: all are examples, and together they weigh as many."""
+    near = spark.range(personal.WEIGHT + 2000).select(
+        F.lit(3).alias("k"), F.format_string("+1 555 %07d", "id").alias("v"), F.lit("call ").alias("left"), F.lit("").alias("right"),
+        F.lit(False).alias("known"), F.lit(False).alias("sound"),
+    )
+    learned = personal._examples(near).join(near.select("v"), "v", "left_semi").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
+    assert learned.n == personal.WEIGHT + 2000 and abs(learned.w - personal.WEIGHT) < 1e-6
