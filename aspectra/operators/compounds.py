@@ -8,12 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from aspectra.functions.text import tokenize
 from aspectra.operators.lookup import lookup_join
-from aspectra.operators.runs import Found, count_runs, joined_words, key_filter, looked_up
+from aspectra.operators.runs import Found, count_pairs, count_runs, joined_words, key_filter, looked_up, with_word_ids
 from aspectra.session import materialise, stored
 
-# Levels of the counts in ``mine_compounds``.
-PAIR, WORD, CORPUS = 0, 1, 3
-
 
 def mine_compounds(
     df: DataFrame, min_count: int = 20, min_pmi: float | None = 1.0, text: str = "text"
@@ -22,32 +19,20 @@ def mine_compounds(
     least ``min_pmi``: (first, second, count, pmi).
 
     Words are counted first. A pair is never more frequent than its words, so only pairs of two words that pass the filter
-    of frequent words are counted; what it lets pass besides them falls to the count. Both counts leave a task
-    as one row per distinct word or pair of a slice of texts; only the filtered counts are stored with the corpus
-    length, and they are read three times.
+    of frequent words are counted; what it lets pass besides them falls to the count. Pairs are counted by ids of
+    their words, which no two words share, and get the words back with their counts. Both counts leave a task as one
+    row per distinct word or pair.
     """
     words = stored(df.select(joined_words(F.col(text)).alias("words")), "words")
-    singles = stored(count_runs(words, 1), "word-counts")
+    singles, salt = with_word_ids(count_runs(words, 1))
     frequent = singles.where(F.col("count") >= min_count)
-    pairs = count_runs(words, 2, key_filter(frequent, "phrase")).where(F.col("count") >= min_count)
-    both = F.split("phrase", " ")
-    length = singles.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
-    none = F.lit(None).cast("string")
-    counts = (
-        pairs.select(both[0].alias("first"), both[1].alias("second"), "count", F.lit(PAIR).alias("level"))
-        .unionByName(frequent.select(F.col("phrase").alias("first"), none.alias("second"), "count", F.lit(WORD).alias("level")))
-        .unionByName(length.select(none.alias("first"), none.alias("second"), "count", F.lit(CORPUS).alias("level")))
-    )
-    counts = materialise(counts)
-
-    total = counts.where(F.col("level") == CORPUS).select("count").scalar()
-    words = counts.where(F.col("level") == WORD)
-    pairs = counts.where((F.col("level") == PAIR) & F.col("second").isNotNull())
+    pairs = materialise(count_pairs(words, salt, key_filter(frequent, "phrase")).where(F.col("count") >= min_count))
+    total = singles.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count")).scalar()
     for side in ("first", "second"):
-        side_counts = words.select(
-            F.col("first").alias(side), F.col("count").cast("double").alias(f"{side}_count")
+        side_counts = frequent.select(
+            F.col("id").alias(f"{side}_id"), F.col("phrase").alias(side), F.col("count").cast("double").alias(f"{side}_count")
         )
-        pairs = lookup_join(pairs, side_counts, [side], "inner")
+        pairs = lookup_join(pairs, side_counts, [f"{side}_id"], "inner")
     # As doubles: the product of two counts may pass 2^63.
     pmi = F.log(
         F.col("count").cast("double") * total.cast("double") / (F.col("first_count") * F.col("second_count"))

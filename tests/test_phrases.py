@@ -6,10 +6,11 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from aspectra.operators import compounds, lookup, phrases
+from aspectra.operators import compounds, lookup, phrases, runs
 from aspectra.plans import fixtures as fx
 
 WORD = re.compile(r"[^\W]+", re.UNICODE)
@@ -186,3 +187,37 @@ def test_long_lists_move_no_places(docs, spark):
     table = spark.createDataFrame([("a b", 2, 5), ("b c d", 3, 7)], "phrase string, n int, score long")
     for run in (phrases.tag_longest, phrases.tag_best):
         assert "Generate" not in run(docs, table, large=True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pair_ids_tell_words_apart(spark, monkeypatch):
+    """Pairs are counted by ids of their words; a salt with which two words share an id is passed over."""
+    made = runs.word_hashes
+    texts = spark.createDataFrame([(i, "a b c b a b") for i in range(3)], "review_id long, text string")
+    want = sorted(map(tuple, compounds.mine_compounds(texts, 1, None).collect()))
+    assert {(r[0], r[1], r[2]) for r in want} == {("a", "b", 6), ("b", "c", 3), ("c", "b", 3), ("b", "a", 3)}
+    monkeypatch.setattr(runs, "word_hashes", lambda w, salt=0: made(w, salt) if salt > 1 else made(w, salt) * 0)
+    counted = spark.createDataFrame([("a", 6), ("b", 9), ("c", 3)], "phrase string, count long")
+    _, salt = runs.with_word_ids(counted)
+    assert salt == 2
+
+
+def test_word_hashes_are_of_the_words_alone(spark):
+    """The same for a word whatever stands beside it, and apart for words of the same bytes."""
+    words = ["ab", "ba", "", "aab", "aba", "không", "a" * 5000, "a" * 4999 + "b"]
+    together = runs.word_hashes(pa.array(words))
+    alone = [runs.word_hashes(pa.array(["x" * i, w]).slice(1))[0] for i, w in enumerate(words)]
+    assert together.tolist() == [int(h) for h in alone] and len(set(together.tolist())) == len(words)
+
+
+def test_large_lookup_asks_one_row_per_batch_and_shard(spark, monkeypatch):
+    """Runs asked of several shards, by several batches and slices, give the rows of the broadcast."""
+    monkeypatch.setattr(runs, "ASKED", 2)
+    monkeypatch.setattr(runs, "BATCH", 2)
+    monkeypatch.setattr(runs, "SLICE", 64)
+    rows = [(i % 7 if i % 5 else None, None if i % 11 == 3 else " ".join(f"w{(i * k) % 9}" for k in range(i % 13))) for i in range(60)]
+    texts = spark.createDataFrame(rows, "review_id long, text string").repartition(3)
+    listed = spark.createDataFrame([(f"w{a}", f"w{b}") for a in range(9) for b in range(0, 9, 2)], "first string, second string")
+    one, two = (compounds.tag_compounds(texts, listed, large=large) for large in (False, True))
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    plan = two._jdf.queryExecution().toString()
+    assert "_runs" in plan and "_shard" in plan
