@@ -10,6 +10,9 @@ bucket's hub, the member that shares most buckets with others, which links most
 that still hold several components then meet by prefixes: in one order of all shingles, rare ones first, two
 sets of enough similarity share one of their first shingles, at places that still allow the overlap they need.
 This second way is exact, so the components are those of all candidate pairs.
+
+All tables here grow with the input, so joins are by sort and merge whatever their size, and none passes through the
+driver as a broadcast.
 """
 
 from __future__ import annotations
@@ -188,7 +191,7 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for items in batch.column("items"):
             np.add.at(counts, _slots(np.frombuffer(items.as_buffer(), dtype=np.uint64)), 1)
     used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["slot", "n"])
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -197,9 +200,11 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     The order is by the count of a shingle's slot, then by the shingle itself, so it is one order for all sets;
     the table of slots has COUNTERS entries whatever the input.
     """
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    slots = sets.select("items").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+    # No shingle of these sets is in a slot of count 0, so those of 1 need not be listed.
+    slots = sets.select("items").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    n = slots.column("n").to_numpy()
+    counts = np.ones(COUNTERS, dtype=np.min_scalar_type(n.max(initial=1)))
+    counts[slots.column("slot").to_numpy()] = n
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,14 +249,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     bands = filled.select("node", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("bucket")
     # Members of buckets of several classes: the candidates.
-    members = stored(bands.join(shared, "bucket").select("bucket", "node").distinct(), "buckets")
+    members = stored(bands.join(shared.hint("merge"), "bucket").select("bucket", "node").distinct(), "buckets")
 
     reps = (
-        filled.select("node", "d", "tk").join(members.select("node").distinct(), "node")
+        filled.select("node", "d", "tk").join(members.select("node").distinct().hint("merge"), "node")
         .groupBy("node").agg(F.min("d").alias("d"), F.min_by("tk", "d").alias("tk"))
     )
     run, schema = _set_rows(words)
-    sets = stored(docs.join(reps, ["d", "tk"]).select("node", "text").mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
+    sets = stored(docs.join(reps.hint("merge"), ["d", "tk"]).select("node", "text").mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """Links among the pairs (a, b) with a < b, stored."""
@@ -263,39 +268,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         # Sets of too different a size cannot reach the threshold.
         alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
         run, schema = _prune(threshold, miss)
-        left = pairs.join(one, "a").join(two, "b").where(alike).select("a", "b", "sig_a", "sig_b").mapInArrow(run, schema)
+        left = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(alike).select("a", "b", "sig_a", "sig_b").mapInArrow(run, schema)
         left = stored(left, f"{label}-left")
         one, two = ends("items")
         run, schema = _confirm(percent)
-        return stored(left.join(one, "a").join(two, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, schema), f"{label}-links")
+        return stored(left.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, schema), f"{label}-links")
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
-    met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("m").alias("met"))
-    hubs = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", "met").alias("hub"))
-    links = verified(members.join(hubs, "bucket").where("node != hub").select(*ordered("node", "hub")).distinct(), "hubs")
+    met = members.join(sizes.hint("merge"), "bucket").groupBy("node").agg(F.sum("m").alias("met"))
+    hubs = members.join(met.hint("merge"), "node").groupBy("bucket").agg(F.max_by("node", "met").alias("hub"))
+    links = verified(members.join(hubs.hint("merge"), "bucket").where("node != hub").select(*ordered("node", "hub")).distinct(), "hubs")
     roots = materialise(components(links))
 
-    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    apart = stored(placed.join(split, "bucket").select("node", "root").distinct().join(sets, "node").select("node", "root", "items"), "apart")
+    apart = stored(placed.join(split.hint("merge"), "bucket").select("node", "root").distinct().join(sets.hint("merge"), "node").select("node", "root", "items"), "apart")
     starts = _prefixes(apart, percent)
     one, two = (starts.select("token", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "root", "n", "at"))) for e in "ab")
     # What two sets must share, and what they still can from these places on.
     need = percent * (F.col("n_a") + F.col("n_b"))
     reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + percent)
-    pairs = one.join(two, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (reach >= need))
+    pairs = one.join(two.hint("merge"), "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (reach >= need))
     more = verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "prefixes")
     if not more.isEmpty():
-        roots = components(links.union(more))
+        # The components found so far stand for the links they came from.
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     nodes = filled.groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    nodes = nodes.join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     groups = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.select("node", "root").join(groups, "root").select("node", "component_id")
-    full = filled.select("doc_id", "n_shingles", "node").join(nodes, "node").select("doc_id", "n_shingles", "component_id")
+    nodes = nodes.select("node", "root").join(groups.hint("merge"), "root").select("node", "component_id")
+    full = filled.select("doc_id", "n_shingles", "node").join(nodes.hint("merge"), "node").select("doc_id", "n_shingles", "component_id")
     bare = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -313,5 +319,5 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, miss: float
     found = near_duplicates(rows.select(F.col("_at").alias("doc_id"), text.alias("text")), words, percent, miss)
     ids = rows.select(F.col("_at").alias("doc_id"), F.struct(doc_id.isNull(), doc_id, F.col("_at").alias("at")).alias("order"))
     # A large component leaves each task as one row.
-    kept = found.join(ids, "doc_id").groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.at").alias("_at"))
-    return rows.join(kept, "_at", "left_semi").select("_doc.*")
+    kept = found.join(ids.hint("merge"), "doc_id").groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.at").alias("_at"))
+    return rows.join(kept.hint("merge"), "_at", "left_semi").select("_doc.*")

@@ -17,7 +17,7 @@ from conftest_llm import TEXTS, table
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aspectra.llm import ctw, fingerprints, language, mixing, neighbours, packing, personal, quality, search, substrings
+from aspectra.llm import components, ctw, fingerprints, language, mixing, neighbours, packing, personal, quality, search, substrings
 
 
 def rows_of(df):
@@ -128,6 +128,29 @@ def test_near_one_large_group(spark):
     assert [got[i] for i in range(40)] == want
 
 
+def test_near_joins_pass_no_table_through_the_driver(spark):
+    """Small tables would be broadcast otherwise."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 5, i % 5 + 40))) for i in range(30)]
+    edges = spark.createDataFrame([(3, 2), (2, 1), (9, 8), (1, 1)], "a long, b long")
+    star = components._small_star(components._large_star(edges))
+    for df in (neighbours.near_duplicates(table(spark, rows), 2, 80), neighbours.one_of_each(table(spark, rows), 2, 80), star):
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(components, "materialise", lambda df, f=components.materialise: steps.append(1) or f(df))
+    stars, chain = [(5, 1), (1, 5), (7, 1), (4, 4), (9, 2)], [(i, i + 1) for i in range(10, 30)]
+    got = components.components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)]
+    assert len(steps) == 1  # stored, and not contracted
+    got = components.components(spark.createDataFrame(stars + chain, "a long, b long")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2), *((i, 10) for i in range(10, 31))]
+    assert components.components(spark.createDataFrame([(4, 4)], "a long, b long")).collect() == []
+
+
 def test_near_empty(empty):
     assert rows_of(neighbours.near_duplicates(empty)) == []
 
